@@ -33,14 +33,32 @@ def digests(content: bytes) -> tuple[str, int]:
     return xxhash.xxh3_128_hexdigest(content), xxhash.xxh3_64_intdigest(content, 0x5EED) >> 1
 
 
-def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
+#: Hexadecimal digits of a digest that name its slot in the bitmap of suspects: 16 M slots, 2 MB.
+SLOT = 6
+
+
+def suspects(digest: DataFrame, column: str) -> bytearray:
+    """A bitmap of the slots that two or more rows' digests share; its size is the same for every input."""
+    slot = F.conv(F.substring(column, 33 - SLOT, SLOT), 16, 10).cast("long")
+    shared = digest.groupBy(slot.alias("slot")).count().filter("count > 1")
+    words = shared.groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    bitmap = bytearray(16**SLOT // 8)
+    for word, bits in words.toLocalIterator():
+        bitmap[word * 8 : word * 8 + 8] = (bits % (1 << 64)).to_bytes(8, "little")
+    return bitmap
+
+
+def collisions(docs: DataFrame, text: str = "text", among: bytearray | None = None) -> DataFrame:
     """Contents that share a digest with a different content: digest, check, class (1 or more).
 
+    among: a result of suspects() for the same texts; contents whose slot is not in it share no digest and are
+    not sent.
     Each map task sends one compressed copy of a content that it has seen (an exact copy is compared where it
     is read), so a content that a third of all rows hold costs one row per task. In a bucket, contents are
     compared byte by byte. Almost always empty.
     """
     sent_schema = "digest string, `check` long, packed binary"
+    bitmap = docs.sparkSession.sparkContext.broadcast(bytes(among)) if among is not None else None
 
     def send(batches):
         import zstandard
@@ -52,7 +70,8 @@ def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
             for (t,) in rows(batches, "t"):
                 content = canonical(t)
                 d, c = digests(content)
-                if seen.get(d) == content:
+                slot = int(d[-SLOT:], 16)
+                if bitmap and not bitmap.value[slot // 8] >> slot % 8 & 1 or seen.get(d) == content:
                     continue
                 yield d, c, pack.compress(content)
                 if held + len(content) > 32 << 20:
@@ -178,7 +197,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = tails.join(order, "part").join(heads, "next_part").select("doc_id", "text", "next_text").mapInArrow(join_edges, ROW)
     out = walked.filter("edge is null").drop("part", "edge", "text").unionByName(edges)
 
-    found = staged(collisions(docs), "collisions")
+    found = staged(collisions(docs, among=suspects(out, "fingerprint")), "collisions")
     for column, check in (("fingerprint", "check"), ("edited_fingerprint", "edited_check"), ("next_fingerprint", "next_check")):
         out = classed(out, found, column, check)
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
