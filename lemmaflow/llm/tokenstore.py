@@ -29,7 +29,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 #: Entries that a cache of a Python worker may hold; a full cache keeps what it has, mostly frequent words.
-CACHED = 1_200_000
+CACHED = 600_000
 
 
 class _Pieces(dict):
@@ -61,9 +61,10 @@ class _Pieces(dict):
 class _Words(dict):
     """A space-delimited word (prefix: what stands before it) to packed ids."""
 
-    def __init__(self, pieces, prefix):
+    def __init__(self, pieces, prefix, most):
         import regex
 
+        self.most = most
         self.pieces, self.prefix, self.cut = pieces, prefix, regex.compile(PRETOKEN).findall
 
     def __missing__(self, word):
@@ -74,7 +75,7 @@ class _Words(dict):
         else:
             pieces = self.pieces
             ids = b"".join([pieces[p] for p in self.cut(self.prefix + word)])
-        if len(self) < CACHED:
+        if len(self) < self.most:
             self[word] = ids
         return ids
 
@@ -82,31 +83,38 @@ class _Words(dict):
 class ByteLevelEncoder:
     """Same ids as tokenizers' encode(text, add_special_tokens=False), packed, with caches of words.
 
-    A space between two non-space characters always ends a pre-token and starts the next, and so does a
-    lone newline; texts are cut there first. Texts with runs of white space go through the pattern whole.
+    A lone space or newline between two other characters always ends a pre-token: texts whose only white space
+    is of that kind are cut there first. Other texts go through the pattern whole.
     """
 
     def __init__(self, path: str):
-        import re
-
         import regex
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         self.width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
         self.pieces = _Pieces(tok, self.width)
-        self.bare, self.spaced = _Words(self.pieces, ""), _Words(self.pieces, " ")
-        self.runs, self.cut = re.compile(r"\s\s|^\s|\s$|[^\S \n]").search, regex.compile(PRETOKEN).findall
+        self.bare, self.spaced = _Words(self.pieces, "", CACHED // 4), _Words(self.pieces, " ", CACHED)
+        self.cut = regex.compile(PRETOKEN).findall
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        if text.isascii():
+            return not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+        return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.runs(text):
+        if not self.plain(text):
             return b"".join([self.pieces[p] for p in self.cut(text)])
-        newline, out = self.pieces["\n"], []
+        newline, out, spaced = self.pieces["\n"], [], self.spaced.__getitem__
         for line in text.split("\n"):
             words = line.split(" ")
-            out.append(self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
+            first = words.pop(0)
+            out.append((self.bare[first] if first else b"") + b"".join(map(spaced, words)))
         return newline.join(out)
 
 
@@ -119,14 +127,14 @@ def cuts(ids) -> list[int]:
     if n <= MIN_CHUNK:
         return [n] if n else []
     with np.errstate(over="ignore"):
-        h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        factor, step = 0xBF58476D1CE4E5B9, 1
+        h = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        factor, step = 0x85EBCA6B, 1
         while step < 16:
-            h[step:] = h[step:] + np.uint64(factor) * h[:-step]
-            factor, step = factor * factor % (1 << 64), step * 2
+            h[step:] += np.uint32(factor) * h[:-step]
+            factor, step = factor * factor % (1 << 32), step * 2
     ends, at = [], 0
-    for e in (np.flatnonzero(h >> np.uint64(64 - MEAN_BITS) == 0) + 1).tolist():
+    for e in (np.flatnonzero(h < 1 << 32 - MEAN_BITS) + 1).tolist():
         while e - at > MAX_CHUNK:
             at += MAX_CHUNK
             ends.append(at)
@@ -173,7 +181,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = f"{TOKENIZER_DIR}/b
         end = b"" if end_id is None else end_id.to_bytes(w, "little")
 
         def records():
-            seen = set()
+            seen: set[bytes] = set()
             for row, (doc_id, text) in enumerate(rows(batches, "doc_id", "text")):
                 data = encoder(text or "") + end
                 keys, at = [], 0
