@@ -184,3 +184,17 @@ WITH own AS (
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken FROM taken
 UNION ALL SELECT doc_id, size, source_size, target, 0 FROM stream WHERE n_blocks = 0
 """
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: taken / size times, rounded; docs' own columns.
+
+    Documents without words are not taken. Rows equal in doc_id, source and size are one document here: each
+    comes as often as the mean of what the mix takes of them, rounded.
+    """
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
+    own = own.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")).drop("text")
+    times = mix(docs.select("doc_id", "source", "text"), **options).filter("size > 0").groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
+    times = times.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).filter("times > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
+    return own.join(times.hint("shuffle_hash"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select("_row.*")

@@ -367,5 +367,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return full.unionByName(members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when one document of each component does: that with the smallest doc_id, and
+    all documents without a word or without a doc_id. Of rows that repeat a doc_id, one stays for each text.
+
+    docs' own columns, whatever their names.
+    """
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.col("text"))
+    found = near_duplicates(docs.select("doc_id", "text")).filter("n_shingles > 0 and doc_id is not null and doc_id <> component_id")
+    gone = staged(found.select("doc_id").distinct(), "ngram-gone")
+    return own.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select("_row.*")
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
