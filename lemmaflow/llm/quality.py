@@ -105,7 +105,9 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     columns pass through (names of the counts should not clash; see quality_filter for any columns).
     """
     order = [r for r, _, _ in ordered(docs, rules)]
-    return measured(docs).withColumn("reason", reason(order))
+    # As a generator's output, reason is computed once: a filter on it isn't pushed into the projections below,
+    # where its inputs, and theirs in turn, would be written out in it again and again.
+    return measured(docs).withColumn("reason", F.explode(F.array(reason(order))))
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
