@@ -29,7 +29,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 #: Entries that a cache of a Python worker may hold; a full cache keeps what it has, mostly frequent words.
-CACHED = 600_000
+CACHED = 250_000
 
 
 class _Pieces(dict):
@@ -190,7 +190,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = f"{TOKENIZER_DIR}/b
                     key = key_of(payload)
                     keys.append(key)
                     if key not in seen:
-                        if len(seen) > 500_000:
+                        if len(seen) > 200_000:
                             seen.clear()
                         seen.add(key)
                         yield 1, key, None, e - at, payload
@@ -200,7 +200,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = f"{TOKENIZER_DIR}/b
         yield from batched(records(), arrow_schema(schema))
 
     made = docs.select("doc_id", "text").mapInArrow(encode, schema).dropDuplicates(["kind", "key"])
-    made.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    made.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{path}/objects")
 
     kinds = spark.read.schema("key binary, doc_id long, n int, payload binary, kind int").parquet(f"{path}/objects")
     recipes = kinds.filter("kind = 0").select("doc_id", "n", F.col("payload").alias("recipe"), "key")
@@ -213,7 +213,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = f"{TOKENIZER_DIR}/b
         shard = TaskContext.get().partitionId()
         yield from batched(((shard, d, n, r, merkle(split_keys(r))) for d, n, r in rows(batches, "doc_id", "n", "recipe")), arrow_schema(entry))
 
-    ordered.mapInArrow(sign, entry).write.option("compression", "zstd").parquet(f"{path}/manifest")
+    ordered.mapInArrow(sign, entry).write.option("compression", "uncompressed").parquet(f"{path}/manifest")
     total = "shard int, first long, n_docs long, n_tokens long, root binary"
 
     def roots(t):
