@@ -247,7 +247,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, n int, payload binary").parquet(f"{path}/objects/kind=1")
+    return spark.read.schema("key binary, n int, payload binary, kind int").parquet(f"{path}/objects").filter("kind = 1").drop("kind")
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
