@@ -291,7 +291,7 @@ def test_op9_lines(spark, odd, none):
 def test_op9_simhash(spark, monkeypatch):
     lines = [" ".join(words(n, i)) for i, n in enumerate((4, 7, 200, 255, 256, 3000))]
     docs = spark.createDataFrame([(i, x, 0, 0, i) for i, x in enumerate(lines)], "doc_id long, norm string, text_hash long, pos int, key long")
-    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.expr("transform(split(norm, ' '), w -> xxhash64(w))").alias("h")).collect()}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.expr("transform(filter(split(norm, ' '), w -> length(w) >= 5), w -> xxhash64(w))").alias("h")).collect()}
     want = {d: sum(1 << k for k in range(60) if 2 * sum(x >> k & 1 for x in h) > len(h)) for d, h in hashes.items()}
     assert {r.doc_id: r.sim for r in linededup.simhashed(docs).collect()} == want
     monkeypatch.setattr(linededup, "MOST", 6)
