@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.functions import jsonrepair, symbolic
 from lemmaflow.functions import text as T
-from lemmaflow.operators import graph, linear, normalize, schema, verdict
+from lemmaflow.operators import critics, graph, linear, nodeproof, normalize, schema, verdict
 from lemmaflow.sources import artifacts
 from lemmaflow.streaming.verify import verify_stream
 
@@ -178,3 +178,45 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
     verify_stream(stream, lambda b: b.filter("id % 2 = 0"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_critics(spark):
+    rows = [
+        ("a", '{"pass": true, "issues": []}'),
+        ("b", '{"pass": false, "issues": [{"message": "no case x<0", "severity": "odd", "node_id": "N7"}]}'),
+        ("c", '{"pass": false}'),
+        ("d", "no json at all"),
+        ("e", '```json\n{"issues": ["text only"]}\n```'),
+        ("f", '{"issues": "wrong"}'),
+    ]
+    r = spark.createDataFrame([(k, "I1", "G1", t) for k, t in rows], "proof_id string, inference_id string, node_id string, text string")
+    got = {x.proof_id: (x.severity, x.blocking, x.node_id, x.claim) for x in critics.case_coverage(r).collect()}
+    assert got["b"] == ("medium", False, "N7", "no case x<0") and got["c"][0] == "medium" and got["d"][0] == got["f"][0] == "low"
+    assert got["e"][3] == "text only" and "a" not in got
+    assert {x.severity for x in critics.theorem_applicability(r.filter("proof_id = 'c'")).collect()} == {"high"}
+
+
+def test_node_proofs_and_inferences(spark, proof):
+    kind = "proof_id string, id string, node_type string, claim string, claim_formal string, statements array<string>"
+    rows = [("p", "A", "assumption", "c", None, []), ("p", "B", "lemma", "x = 1", None, ["so x=1"]), ("p", "C", "lemma", "x = 1", None, ["other"]), ("p", "D", "lemma", "c", "y=2", ["", "y=2"]), ("p", "E", "lemma", "c", None, None)]
+    got = {r.id: r.problem for r in nodeproof.node_proofs(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"C": "not_concluded", "D": "blank_statement", "E": "no_steps"}
+    nodes, _ = proof
+    infs = spark.createDataFrame([("p", "1", ["A1"], "X", ["r"]), ("p", "2", ["Y", "Z"], "L1", []), ("p", "3", ["A1"], "L1", []), ("p", "4", ["A1"], "L1", ["r"])], INFS)
+    assert {(r.inference_id, r.problem, r.missing) for r in nodeproof.inference_problems(nodes, infs).collect()} == {("1", "no_conclusion", "X"), ("2", "no_dependency", "Y"), ("2", "no_dependency", "Z"), ("3", "no_rules", None)}
+
+
+def test_annotated(spark):
+    kind = "proof_id string, goal string, nodes array<struct<id:string,source:boolean,covers:array<string>>>, infs array<struct<id:string,deps:array<string>,conclusion:string,rules:array<string>>>, obligations array<string>, blocked_nodes array<string>, blocked_infs array<string>, n_blocking long"
+    nodes = [("A", True, []), ("L", False, []), ("G", False, ["O1"])]
+    infs = [("I1", ["A"], "L", ["r"]), ("I2", ["L"], "G", ["r"])]
+    rows = [("ok", "G", nodes, infs, ["O1", "O2"], [], [], 0), ("bad", "G", nodes, infs, ["O1"], ["L"], [], 1), ("none", "G", [], [], ["O1"], [], [], 0), ("inf", "G", nodes, infs, ["O1"], [], ["I2"], 1)]
+    got = {r.proof_id: r for r in verdict.annotated(spark.createDataFrame(rows, kind)).collect()}
+    assert got["ok"].accepted and got["ok"].failed_obligations == []
+    assert not got["bad"].accepted and got["bad"].verified_nodes == ["A"] and got["bad"].verified_infs == ["I1"] and got["bad"].failed_infs == ["I2"]
+    assert not got["none"].accepted and got["inf"].failed_infs == ["I2"] and got["inf"].verified_nodes == ["A", "L"]
+
+
+@pytest.mark.parametrize("text,context,fails", [("x = x", "", False), ("x = 1", "", True), ("f(x)^2 = f(x)*f(x)", "", False), ("f(x) = g(x)", "", True), ("sqrt(x^2) = x", "x positive", False), ("sqrt(x^2) = x", "", True), ("x = y", "", False), ("x >= 0", "", True), (None, "", False)])
+def test_counterexample(text, context, fails):
+    assert (symbolic.counterexample(text, context) is not None) == fails
