@@ -16,12 +16,13 @@ TOKENIZER_DIR = os.environ.get("LEMMAFLOW_TOKENIZERS", "/opt/tokenizers")
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
+    All folders of a run are in one of the application's id, to remove when its results are no longer read.
     Only where that setting is absent (a local session, as in tests) a local temporary folder is used.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         base = "file://" + os.path.join(tempfile.gettempdir(), "lemmaflow")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
