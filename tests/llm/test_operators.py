@@ -351,12 +351,79 @@ def test_query_equals_sql(name, spark, sf_dir):
     oracle.same(QUERIES[name](spark, sf_dir), oracle.connect(sf_dir), ORACLE_SQL[name])
 
 
-def test_pipeline(spark, sf_dir):
+def distance_at_most(a, b, most):
+    """Is the edit distance of a and b at most that? The plain table, in a band."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(most + 1)}
+    for i in range(1, len(a) + 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = i if j == 0 else min(row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (a[i - 1] != b[j - 1]))
+        row = new
+    return row.get(len(b), most + 1) <= most
+
+
+def normal_line(line):
+    return " ".join(re.findall(r"[^\W_]+", line.lower()))
+
+
+def test_pipeline_brute_force(spark, sf_dir, tmp_path):
+    """Each stage against a plain version of it, on the stage's own input; the chain of them is run()."""
     import corpus_pipeline as c
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    got = c.run(spark, sf_dir).collect()
-    assert got and {r.doc_id for r in got} <= set(rows)
-    q = c.quality_stage(spark, docs, sf_dir)
-    assert q.columns == docs.columns and {r.doc_id for r in q.collect()} == {r.doc_id for r in quality.op6_quality(spark, sf_dir).filter("kept").collect()}
+    assert [name for name, _ in c.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "mixing", "SentencePiece"]
+    tables = [spark.read.parquet(f"{sf_dir}/documents.parquet")]
+    for k, (_, stage) in enumerate(c.STAGES):
+        out = stage(spark, tables[-1], sf_dir)
+        assert k == 4 or out.columns == list(c.COLUMNS)
+        out.coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        tables.append(spark.read.parquet(f"{tmp_path}/{k}"))
+    rows = [[tuple(r) for r in t.collect()] for t in tables]
+
+    def keeps(t):
+        n, chars, symbols, dup, repeat = brute_quality(t)
+        lines = sum(bool(x.split()) for x in t.split("\n"))
+        upper, letters = sum(x.isupper() for x in t), sum(x.isalpha() for x in t)
+        lettered = sum(any(x.isalpha() for x in w) for w in t.split())
+        return not (n < 50 or 100 * repeat > 50 * n or 10 * symbols > n or chars < 3 * n or chars > 10 * n or 2 * dup > lines or 2 * sum(x in "!?" for x in t) > n or 2 * upper > letters or 10 * lettered < 7 * n)
+
+    assert sorted(r for r in rows[0] if keeps(r[1] or "")) == sorted(rows[1])
+
+    # Line dedup: all exact repeats are dropped, and only lines that are near an earlier one.
+    after, earlier = {r[0]: r[1] for r in rows[2]}, []
+    for d, text, *_ in sorted(rows[1]):
+        left = (after[d] if d in after else "").split("\n")
+        for line in text.split("\n"):
+            norm = normal_line(line)
+            kept = bool(left) and left[0] == line
+            if kept:
+                left.pop(0)
+            if len(norm.split()) >= linededup.MIN_WORDS:
+                if norm in earlier:
+                    assert not kept
+                elif not kept:
+                    assert any(distance_at_most(norm, e, int(0.1 * max(len(norm), len(e)))) for e in earlier)
+                earlier.append(norm)
+            else:
+                assert kept or d not in after
+        assert not left or left == [""]
+
+    groups = {d: g for d, _, g in brute_components([r[:2] for r in rows[2]])}
+    assert sorted(r for r in rows[2] if groups[r[0]] == r[0]) == sorted(rows[3])
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/2/*.parquet'")
+    times = {d: round(t / s) if s else 0 for d, s, _, _, t in con.sql(ORACLE_SQL["op4_mixing"]).fetchall()}
+    got = [r[0] for r in rows[4]]
+    assert all(abs(got.count(d) - n) <= (1 if n else 0) for d, n in times.items()) and set(got) <= set(times)
+
+    t = pieces.PieceTable(pieces.MODEL)
+    want = []
+    for d, text, *_ in rows[4]:
+        ids = t.lib.encode(text, add_bos=True, add_eos=True)
+        want.append((d, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(t.lib.decode(ids).encode()).hexdigest()))
+    assert sorted(want) == sorted(rows[5])
+    assert sorted(tuple(r) for r in c.run(spark, sf_dir).collect()) == sorted(want)
