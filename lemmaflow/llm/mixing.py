@@ -79,12 +79,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", "idx", "weight", "target", "total")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, longest: int = LONGEST, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text, source) with size, source_size, target and taken, the words that the mix takes.
-
-    Null text has size 0, null source is a source of its own, of empty sources nothing is taken. Repeated rows
-    are separate documents. An empty table gives an empty result. The text column is only counted.
-    """
+def placed_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, longest: int = LONGEST, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """mix() with idx and shard, the place of the source and the shard of each document."""
     own = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = targets(sizes, weights, share, most)
@@ -107,7 +103,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     before = lambda j: f"((({j}) * quota + start) div n_blocks)"  # noqa: E731  blocks taken of the first j
     words = lambda x: F.expr(f"({before(f'{x} div block')}) * block + ({before(f'{x} div block + 1')} - {before(f'{x} div block')}) * ({x} % block)")
     out = upto.withColumn("taken", F.when(F.col("n_blocks") > 0, words("b") - words("(b - size)")).otherwise(0).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "idx", "shard")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text, source) with size, source_size, target and taken, the words that the mix takes.
+
+    Null text has size 0, null source is a source of its own, of empty sources nothing is taken. Repeated rows
+    are separate documents. An empty table gives an empty result. The text column is only counted.
+    """
+    return placed_mix(docs, **options).drop("idx", "shard")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,14 +192,20 @@ UNION ALL SELECT doc_id, size, source_size, target, 0 FROM stream WHERE n_blocks
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it: taken / size times, rounded; docs' own columns.
+    """The rows of docs, each as often as the mix takes it: taken / size times, rounded so that sums hold; docs' own
+    columns.
 
-    Documents without words are not taken. Rows equal in doc_id, source and size are one document here: each
-    comes as often as the mean of what the mix takes of them, rounded.
+    What rounding adds or leaves is carried on through each shard, from its longest document to its shortest.
+    Every document comes floor or ceil of taken / size times, and a shard's words differ from what the mix takes
+    of it by half its longest document at most. Documents without words are not taken. Rows equal in doc_id, source
+    and size are one document here: each comes equally often.
     """
     own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
     own = own.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")).drop("text")
-    times = mix(docs.select("doc_id", "source", "text"), **options).filter("size > 0").groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
-    times = times.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).filter("times > 0")
+    times = placed_mix(docs.select("doc_id", "source", "text"), **options).filter("size > 0").groupBy("idx", "shard", "doc_id", "source", "size").agg(F.avg("taken").alias("taken"), F.count("*").alias("n"))
+    longest = Window.partitionBy("idx", "shard").orderBy(F.desc(F.col("n") * F.col("size")), "doc_id", "size")
+    times = times.withColumn("upto", F.round(F.sum(F.col("taken") / F.col("size")).over(longest.rowsBetween(Window.unboundedPreceding, 0))))
+    times = times.withColumn("times", (F.col("upto") - F.lag("upto", 1, 0.0).over(longest)).cast("int")).filter("times > 0")
+    times = times.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "times")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
     return own.join(times.hint("shuffle_hash"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select("_row.*")

@@ -194,6 +194,27 @@ def test_op4_odd(odd, none):
     assert set(mixing.mixed(odd.withColumn("taken", F.lit(9))).columns) == {*odd.columns, "taken"}
 
 
+def test_op4_copies(spark):
+    """The copies of each source have as many words as the mix takes, by half its longest document; null and hot sources too."""
+    r = random.Random(6)
+    sources = [("a", 40), ("b", 1500), ("c", 80), ("d", 60), (None, 90)]
+    rows = [(10_000 * k + i, " ".join(["w"] * r.choice([0, 5, 60, 90, 400])), s) for k, (s, n) in enumerate(sources) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, longest, copies = {}, {}, {}
+    shares = {}
+    for x in mixing.placed_mix(docs).collect():
+        taken[x.source] = taken.get(x.source, 0) + x.taken
+        longest.setdefault(x.source, {})[x.shard] = 400
+        shares[x.doc_id] = x.taken / x.size if x.size else 0
+    for x in mixing.mixed(docs).collect():
+        copies[x.doc_id] = copies.get(x.doc_id, 0) + 1
+    for k, (s, n) in enumerate(sources):
+        got = sum(copies.get(d, 0) * len(t.split()) for d, t, source in rows if source == s)
+        assert abs(got - taken[s]) <= sum(longest[s].values()) / 2
+    assert all(int(x) <= copies.get(d, 0) <= int(x) + (x > int(x)) for d, x in shares.items())
+    assert sum(copies.get(d, 0) for d, t, s in rows if s == "b" and len(t.split()) == 400) > 50
+
+
 def test_op5_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
