@@ -83,6 +83,8 @@ class _Words(dict):
 class ByteLevelEncoder:
     """Same ids as tokenizers' encode(text, add_special_tokens=False), packed, with caches of words.
 
+    Added tokens of the vocabulary (such as <|endoftext|>) that stand in a text are cut out first, the longest of
+    those that start at one place, and have their own ids; what lies between them is encoded by itself.
     A lone space or newline between two other characters always ends a pre-token: texts whose only white space
     is of that kind are cut there first. Other texts go through the pattern whole.
     """
@@ -96,6 +98,12 @@ class ByteLevelEncoder:
         self.pieces = _Pieces(tok, self.width)
         self.bare, self.spaced = _Words(self.pieces, "", CACHED // 4), _Words(self.pieces, " ", CACHED)
         self.cut = regex.compile(PRETOKEN).findall
+        added = tok.get_added_tokens_decoder()
+        for a in added.values():
+            if a.single_word or a.lstrip or a.rstrip:
+                raise ValueError(f"added token {a.content!r} takes in what stands beside it")
+        self.added = {a.content: i.to_bytes(self.width, "little") for i, a in added.items()}
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -106,6 +114,13 @@ class ByteLevelEncoder:
         return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")
 
     def __call__(self, text: str) -> bytes:
+        for a in self.added:
+            if a in text:
+                parts = self.split(text)
+                return b"".join([self.added[p] if k % 2 else self.between(p) for k, p in enumerate(parts)])
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.plain(text):

@@ -239,6 +239,20 @@ def test_op5_round_trip(spark, odd, none):
     assert tokenstore.read_checksums(spark, path).count() == 0
 
 
+def test_op5_added_tokens():
+    """Ids of texts that hold the vocabulary's added token are the library's with its default settings."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = f"{tokenstore.TOKENIZER_DIR}/byte_bpe_50k.json"
+    tok, encoder = Tokenizer.from_file(path), tokenstore.ByteLevelEncoder(path)
+    r = random.Random(5)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|", "<|ENDOFTEXT|>", "<<|endoftext|>|>"]
+    texts += ["".join(r.choice(["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "word", "é中", "'s", "12", "."]) for _ in range(r.randrange(20))) for _ in range(2000)]
+    for x in texts:
+        assert np.frombuffer(encoder(x), f"<u{encoder.width}").tolist() == tok.encode(x, add_special_tokens=False).ids
+
+
 def test_op5_chunks():
     import numpy as np
 
