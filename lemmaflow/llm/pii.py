@@ -4,13 +4,16 @@ Entities are found by patterns (and checks such as Luhn's), and each gets a surr
 the entity alone decide: the same entity has the same surrogate in every document (coreference), of the same
 type, script, length and format; names get names of the same gender. A collision check over all distinct
 entities keeps two entities from sharing a surrogate and a surrogate from being an entity of the corpus: the
-losers move to their next candidate until none collides.
+losers move to their next candidate until none collides. A format that has no free value left (single initials,
+dense networks) is left after LONGER candidates: later ones are longer, and addresses leave their private network.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from .common import arrow_schema, batched, rows, staged, table
 KEY = b"lemmaflow surrogate key"
 #: Entities off their first candidate that are held in every task at most; with more, they are joined.
 HELD = 100_000
+#: Candidates of an entity's own length; each one after them is a character longer than the one before.
+LONGER = 30
 
 # Patterns by type, in the order in which they claim text.
 PATTERNS = {
@@ -86,18 +91,56 @@ class Draw:
         return x % n
 
 
+@lru_cache(1)
+def letters_by_script() -> dict[tuple[str, str], list[str]]:
+    """Letters in code point order by the first word of their name (the script) and their category."""
+    out = {}
+    for c in map(chr, range(0x110000)):
+        if c.isalpha():
+            out.setdefault((unicodedata.name(c, "").split(" ")[0].split("-")[0], unicodedata.category(c)), []).append(c)
+    return out
+
+
+@lru_cache(100_000)
+def alike(c: str) -> list[str]:
+    """Letters of c's script and category: those of its part of the code table, a wider one while under ten are there."""
+    same = letters_by_script()[unicodedata.name(c, "").split(" ")[0].split("-")[0], unicodedata.category(c)]
+    for part in (7, 9, 11):
+        near = [x for x in same if ord(x) >> part == ord(c) >> part]
+        if len(near) >= 10:
+            return near
+    return same
+
+
+def digit_like(c: str, digit: str) -> str:
+    """The digit in the block of c, a decimal digit of any script."""
+    return digit if c.isascii() else chr(ord(c) - unicodedata.decimal(c) + int(digit))
+
+
+def longer(kind: str, value: str, attempt: int) -> str:
+    """value with as many characters more as attempt is past the candidates of its own length."""
+    more = max(0, attempt - LONGER + 1)
+    if not more or kind == "ip":
+        return value
+    local, at, domain = value.rpartition("@") if kind == "email" else (value, "", "")
+    letter = next((c.lower() for c in reversed(local) if c.isalpha() and len(c.lower()) == 1 and len(alike(c.lower())) > 1), "a")
+    digit = next((c for c in reversed(local) if c.isdecimal()), "0")
+    return local + (letter if kind == "email" or kind.startswith("name_") else digit) * more + at + domain
+
+
 def shaped(value: str, draw: Draw, first_digit: bool = False) -> str:
     """Each letter becomes one of its script and case, each digit a digit; the rest stays."""
     out = []
     for c in value:
-        if c.isdigit() and c.isascii():
-            out.append(str(draw.below(9) + 1) if first_digit else str(draw.below(10)))
+        if c.isdecimal():
+            out.append(digit_like(c, str(draw.below(9) + 1) if first_digit else str(draw.below(10))))
             first_digit = False
         elif c.isalpha():
             low = c.lower()
             letters = next((s for r, s in ALPHABETS if low in r), None)
             if letters is None:
-                out.append(chr(0x4E00 + draw.below(5000)) if "一" <= c <= "鿿" else c)
+                near = None if "一" <= c <= "鿿" else alike(c)
+                out.append(chr(0x4E00 + draw.below(5000)) if near is None else near[draw.below(len(near))])
             else:
                 new = letters[draw.below(len(letters))]
                 out.append(new.upper() if c != low else new)
@@ -108,29 +151,33 @@ def shaped(value: str, draw: Draw, first_digit: bool = False) -> str:
 
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """Candidate number attempt for an entity. A domain has one surrogate for all its addresses."""
-    draw = Draw(key, kind, value, attempt)
+    draw, entity, value = Draw(key, kind, value, attempt), value, longer(kind, value, attempt)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, dot, top = domain.rpartition(".")
         return f"{shaped(local, draw)}@{shaped(host, Draw(key, 'domain', domain.lower(), attempt))}{dot}{top}"
     if kind == "ip":
-        octets = value.split(".")
-        private = next((p for p in ("10.", "192.168.", "172.16.", "127.") if value.startswith(p)), "")
+        octets = ["".join(str(unicodedata.decimal(c)) for c in x) for x in value.split(".")]
+        plain = ".".join(octets)
+        private = next((p for p in ("10.", "192.168.", "172.16.", "127.") if plain.startswith(p)), "")
+        if attempt >= LONGER:  # the network may be full: the large private one, then any
+            private = "10." if private and attempt < LONGER + 5 else ""
         kept = private.rstrip(".").split(".") if private else [str(draw.below(222) + 1)]
-        return ".".join(kept + [str(draw.below(254) + 1) for _ in octets[len(kept) :]])
+        new = ".".join(kept + [str(draw.below(254) + 1) for _ in octets[len(kept) :]])
+        return "".join(digit_like(value[0], c) if c != "." else c for c in new)
     if kind == "card":
-        digits = re.sub(r"\D", "", value)
+        digits, checked = ("".join(str(unicodedata.decimal(c)) for c in x if c.isdecimal()) for x in (value, entity))
         new = digits[0] + "".join(str(draw.below(10)) for _ in digits[1:-1])
-        last = [d for d in "0123456789" if luhn(new + d) == luhn(digits)]
+        last = [d for d in "0123456789" if luhn(new + d) == luhn(checked)]
         new = iter(new + last[draw.below(len(last))])
-        return "".join(next(new) if c.isdigit() else c for c in value)
+        return "".join(digit_like(c, next(new)) if c.isdecimal() else c for c in value)
     if kind == "phone":
         country, rest = re.match(r"(\+\d{1,3}(?=[ .(-]))?(.*)", value, re.S).groups()
         return (country or "") + shaped(rest, draw, True)
     if kind == "iban":
         return value[:2] + shaped(value[2:], draw)
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
-        letters = "0123456789ABCDEF" if value.upper() == value else "0123456789abcdef"
+    if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity):
+        letters = "0123456789ABCDEF" if entity.upper() == entity else "0123456789abcdef"
         return "".join(letters[draw.below(16)] for _ in value)
     if kind.startswith("name_"):
         first, cut, last = re.match(r"([^ -]+)([ -]?)(.*)", value, re.S).groups()
@@ -143,7 +190,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     return shaped(value, draw, kind == "ssn")
 
 
-def moved(docs: DataFrame, key: bytes = KEY, rounds: int = 50) -> DataFrame:
+def moved(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, value, attempt of the entities of docs whose first candidate is taken; nearly none.
 
     Of entities with one candidate, the first by value keeps it; a candidate that is an entity itself goes to
@@ -174,7 +221,7 @@ def moved(docs: DataFrame, key: bytes = KEY, rounds: int = 50) -> DataFrame:
     found = staged(docs.select("text").mapInArrow(find, schema).distinct(), "pii-entities")
     known = found.select(F.col("value").alias("new")).distinct().withColumn("real", F.lit(True))
     now = staged(found.withColumn("attempt", F.lit(0)).withColumn("new", candidate("kind", "value", "attempt")), "pii-candidates")
-    for _ in range(rounds):
+    while True:
         holder = now.groupBy("new").agg(F.min(F.struct("kind", "value")).alias("holder"), F.count("*").alias("n"))
         losers = now.join(holder.join(known, "new", "left").filter("n > 1 or real"), "new").filter(F.col("real").isNotNull() | (F.struct("kind", "value") != F.col("holder")))
         losers = staged(losers.select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "pii-losers")
@@ -182,8 +229,6 @@ def moved(docs: DataFrame, key: bytes = KEY, rounds: int = 50) -> DataFrame:
             break
         stay = now.join(losers.select("kind", "value"), ["kind", "value"], "left_anti")
         now = staged(stay.unionByName(losers.withColumn("new", candidate("kind", "value", "attempt"))), "pii-candidates")
-    else:
-        raise ValueError("surrogates still collide; the entities fill their format")
     return now.filter("attempt > 0").select("kind", "value", "attempt")
 
 

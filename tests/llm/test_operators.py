@@ -172,6 +172,37 @@ def test_op3_collisions(spark, monkeypatch):
     assert len(set(got)) == 12 and not set(got) & {t for _, t in rows}
 
 
+def test_op3_scripts():
+    """Letters of any script and digits of any block are replaced by others of their kind."""
+    import unicodedata
+
+    for value in ("김민수", "さくら", "محمد", "דוד", "Łøżść", "Щйыъё", "ß"):
+        new = pii.shaped(value, pii.Draw(b"k", value))
+        assert len(new) == len(value) and sum(a != b for a, b in zip(new, value)) >= len(value) / 2
+        assert [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in value]
+        assert [unicodedata.name(c).split()[0] for c in new] == [unicodedata.name(c).split()[0] for c in value]
+    card = "".join(chr(0x660 + int(c)) for c in "4539578763621486")
+    for kind, value in (("card", card), ("phone", "+49 " + card[:8]), ("ip", "١٩٢.١٦٨.١.٢")):
+        new = pii.surrogate(kind, value)
+        assert new != value and [c.isdecimal() and not c.isascii() for c in new if c != "."][-3:] == [True] * 3
+    assert pii.luhn([str(int(c)) for c in pii.surrogate("card", card)])
+    long = pii.surrogate("card", "4539578763621486", pii.LONGER + 1)
+    assert len(long) == 18 and pii.luhn(long)
+
+
+def test_op3_full_formats(spark, monkeypatch):
+    """More initials than letters left, a name without other letters: all get surrogates, all differ."""
+    monkeypatch.setattr(pii, "LONGER", 4)
+    names = [f"Mr. {c}" for c in "ABCDEFGHIJKLMNOPQRSTUVW"] + ["Mr. 김민수", "Frau ²"]
+    docs = spark.createDataFrame([(i, x + ", 12") for i, x in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    new = [v for r in got.values() for _, _, _, v in pii.entities(r.text)]
+    old = {v for d in docs.collect() for _, _, _, v in pii.entities(d.text)}
+    assert len(new) == len(set(new)) == len(old) == len(names) and not set(new) & old
+    full = [pii.surrogate("ip", "192.168.1.2", a) for a in (3, 4, 8, 9)]
+    assert [x.startswith("192.168.") for x in full] == [True, False, False, False] and [x.startswith("10.") for x in full[1:3]] == [True, True]
+
+
 def test_op4_apportionment(spark):
     r = random.Random(2)
     rows = [(g, p, float(r.randrange(0, 1000)), seats) for g, seats in ((1, 37), (2, 400), (3, 0)) for p in range(9)]
