@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def components(links: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str = "components") -> DataFrame:
     """links (a long, b long) to (node, root): root is the smallest node id of the component.
 
-    Nodes without a link have no row. Each round is written to the shared folder, so lineage stays short.
+    Rounds go on until one changes nothing. Nodes without a link have no row. Each round is written to the shared folder, so lineage stays short.
     Minima are partial aggregates joined back, so a node with very many links is not gathered in one task.
     """
     edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     before = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
