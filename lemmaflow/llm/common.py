@@ -10,17 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space: bytes.split() cuts exactly at these, so words are [^\x20\x09-\x0D]+.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-TOKENIZER_DIR = os.environ.get("LEMMAFLOW_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer_file(name: str) -> str:
+    """The path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
     All folders of a run are in one of the application's id, to remove when its results are no longer read.
-    Only where that setting is absent (a local session, as in tests) a local temporary folder is used.
+    Only where that setting is absent in a local session, as in tests, a local temporary folder is used; a cluster
+    without it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lemmaflow")
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

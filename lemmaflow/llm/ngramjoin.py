@@ -77,19 +77,25 @@ def least_overlap(n):
     return -(-SIMILAR * n // 100)
 
 
+def place():
+    """Tells documents apart, those without a doc_id too: a struct of doc_id (null last) and hash of the text."""
+    return F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t"))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sig of every row. Null, empty and blank texts have size 0 and sig 0."""
-    schema = "doc_id long, n_shingles long, sig long"
+    """doc_id, at, n_shingles, sig of every row. Null, empty and blank texts have size 0 and sig 0."""
+    schema = "doc_id long, text_hash long, n_shingles long, sig long"
 
     def run(batches):
         def records():
-            for d, t in rows(batches, "doc_id", "text"):
+            for d, t, h in rows(batches, "doc_id", "text", "text_hash"):
                 s = shingles(t)
-                yield d, len(s), signature(s) if len(s) else 0
+                yield d, h, len(s), signature(s) if len(s) else 0
 
         yield from batched(records(), arrow_schema(schema), 20_000)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
+    return made.select("doc_id", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("text_hash").alias("t")).alias("at"), "n_shingles", "sig")
 
 
 def _whole(batches, *columns):
@@ -167,7 +173,7 @@ def screened(docs: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, n, toks (array<long>), bitmap of the wanted sets (sig, rep: a doc_id that has it)."""
+    """sig, n, toks (array<long>), bitmap of the wanted sets (sig, at: a document that has it)."""
     import numpy as np
 
     schema = "sig long, n int, toks array<long>, bitmap binary"
@@ -184,7 +190,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         yield from batched(records(), arrow_schema(schema), 500)
 
-    joined = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "sig").hint("shuffle_hash"), "doc_id")
+    joined = docs.select("text", place().alias("at")).join(wanted.select("at", "sig").hint("shuffle_hash"), "at")
     return joined.select("text", "sig").mapInArrow(run, schema)
 
 
@@ -324,11 +330,11 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def set_links(docs: DataFrame, sets_of: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between sets that join all similar sets' components, and the components (node, root).
 
-    sets_of: sig, rep, n of each distinct non-empty set of docs.
+    sets_of: sig, at, n of each distinct non-empty set of docs.
     """
     spark = docs.sparkSession
     need = 1 + F.floor(F.ceil(F.col("n") * SIMILAR / 100) / 20)  # least l of any partner: it has 0.8 n tokens or more
-    wanted = staged(sets_of.join(screened(docs), "sig").filter(F.col("shared") >= need).select("sig", "rep"), "ngram-wanted")
+    wanted = staged(sets_of.join(screened(docs), "sig").filter(F.col("shared") >= need).select("sig", "at"), "ngram-wanted")
     sets = staged(token_sets(docs, wanted), "ngram-sets")
     lists = staged(prefix_lists(sets).join(sets.select("sig", "bitmap"), "sig"), "ngram-lists")
     pair = "a long, b long, ell int"
@@ -353,10 +359,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text; other columns are not read).
 
     component_id is the smallest doc_id reachable by links, the document's own included; documents with the
-    same set are linked. Null, empty and blank texts link with nothing. Repeated rows stay, each a row.
+    same set are linked. Null, empty and blank texts link with nothing. Repeated rows stay, each a row. A row without
+    a doc_id links like any other; a component of such rows only has a null component_id.
     """
     members = staged(signed(docs), "ngram-members")
-    sets_of = staged(members.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "ngram-reps")
+    sets_of = staged(members.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.first("n_shingles").alias("n")), "ngram-reps")
     _, comps = set_links(docs, sets_of)
     named = comps.join(sets_of.select(F.col("sig").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))

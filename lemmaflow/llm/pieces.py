@@ -17,12 +17,12 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER_DIR, arrow_schema, batched, rows, table
+from .common import arrow_schema, batched, rows, table, tokenizer_file
 
 SPACE = "▁"
 #: Entries that a cache of a Python worker may hold; a full cache keeps what it has, mostly frequent words.
 CACHED = 400_000
-MODEL = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
+MODEL = "piece_bpe_32k.model"
 
 
 class PieceTable:
@@ -185,13 +185,13 @@ def piece_table(path: str) -> PieceTable:
     return _TABLES[path]
 
 
-def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs (doc_id, text, ...) to doc_id, ids (array<int>), decoded.
 
     Null text counts as empty and gives the begin and end ids and an empty decoded text. Repeated rows stay.
-    No shuffle: each row is encoded where it is read.
+    No shuffle: each row is encoded where it is read. model: its file (default: the public one of 32k).
     """
-    schema = "doc_id long, ids array<int>, decoded string"
+    schema, model = "doc_id long, ids array<int>, decoded string", model or tokenizer_file(MODEL)
 
     def run(batches):
         import numpy as np
@@ -206,8 +206,9 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digested(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def digested(docs: DataFrame, model: str | None = None) -> DataFrame:
     """As encoded(), with digests instead of ids and text."""
+    model = model or tokenizer_file(MODEL)
 
     def run(batches):
         t = piece_table(model)

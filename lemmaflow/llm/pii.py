@@ -10,6 +10,7 @@ dense networks) is left after LONGER candidates: later ones are longer, and addr
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, batched, rows, staged, table
 
-KEY = b"lemmaflow surrogate key"
+#: For tests and trial runs; a run whose surrogates must not be recomputed by others sets its own (KEY_CONF).
+KEY, KEY_CONF = b"lemmaflow surrogate key", "spark.lemmaflow.pii.key"
 #: Entities off their first candidate that are held in every task at most; with more, they are joined.
 HELD = 100_000
 #: Candidates of an entity's own length; each one after them is a character longer than the one before.
@@ -29,16 +31,17 @@ LONGER = 30
 # Patterns by type, in the order in which they claim text.
 PATTERNS = {
     "secret": r"(?i:\b(?:token|secret|api[_-]?key|password)\b\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_\-]{16,})",
-    "email": r"(?P<email>[^\W_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})",
+    "email": r"(?<![\w.+-])[_.+-]*+(?P<email>[^\W_][\w.+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})",
     "iban": r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
     "ip": r"(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))",
-    "phone": r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d))",
+    "phone": r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]|\.\d))",
     "ssn": r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     "card": r"(?P<card>(?<![\d.-])\d{4}(?:[ -]?\d{4}){3}(?![\d-]|\.\d)|(?<![\d.-])\d{13,19}(?![\d-]|\.\d))",
-    "name": r"(?P<title>\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Madame|Monsieur|Señor|Señora|Sra|Sr)\b\.?\s+)(?P<name>[^\W\d_]+(?:[ -][^\W\d_]+)?)",
+    "name": r"(?P<title>\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Madame|Monsieur|Señor|Señora|Sra|Sr|Dr|Prof)\b\.?\s+)(?P<name>[^\W\d_]+(?:[ -][^\W\d_]+)?)",
 }
-# Titles by gender, and given names by gender.
+# Titles by gender (the others are for men, or for both), and given names by gender.
 FEMALE_TITLES = {"mrs", "ms", "miss", "frau", "mme", "madame", "señora", "sra"}
+OPEN_TITLES = {"dr", "prof"}
 GIVEN = {
     "f": "Ada Alma Anna Clara Edith Elena Emma Eva Flora Greta Helen Ida Irene Jane Julia Laura Lena Lucia Marta Mary Nina Nora Olga Paula Rosa Ruth Sara Sofia Vera Wanda".split(),
     "m": "Adam Albert Anton Bruno Carl David Emil Eric Felix Frank Georg Henry Hugo Ivan Jacob Jan John Karl Leo Louis Mark Martin Max Oscar Otto Paul Peter Simon Tom Victor".split(),
@@ -46,9 +49,9 @@ GIVEN = {
 # Alphabets that a letter is replaced within.
 ALPHABETS = [(r, s) for s in ("abcdefghijklmnopqrstuvwxyz", "àâçéèêëîïôùûáíóúñäöü", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω") for r in (set(s),)]
 
-SEARCH = re.compile("|".join(PATTERNS.values())).finditer
+SEARCH = re.compile("|".join(PATTERNS.values())).search
 DIGIT = re.compile(r"\d").search
-TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Mme", "Madame", "Monsieur", "Señor", "Sra", "Sr")
+TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Mme", "Madame", "Monsieur", "Señor", "Sra", "Sr", "Dr", "Prof")
 
 
 def hint(text: str) -> bool:
@@ -61,22 +64,51 @@ def luhn(digits: str) -> bool:
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, entity) in the order of the text; names have their gender in the type."""
-    out = []
+    """(start, end, type, entity) in the order of the text; names of two words have their gender in the type.
+
+    A name begins with a capital in scripts that have them, and so does its second word. A name that stands again
+    in the same text without a title is found there too.
+    """
+    out, names, at = [], {}, 0
     if not text or not hint(text):
         return out
-    for m in SEARCH(text):
+    while m := SEARCH(text, at):
         kind = next(k for k in PATTERNS if m.group(k) is not None)
         start, end = m.span(kind)
+        at = max(m.end(), at + 1)
         value = m.group(kind)
         if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
             continue
         if kind == "name":
-            kind = "name_f" if m.group("title").strip(" .\n\t").lower() in FEMALE_TITLES else "name_m"
+            title = m.group("title").strip(" .\n\t").lower()
+            first, cut, last = re.match(r"([^ -]+)([ -]?)(.*)", value, re.S).groups()
+            if first[0].islower():
+                at = start  # the title belongs to no name; another may follow
+                continue
+            if cut and last[0].islower():
+                value, cut = first, ""
+                at = end = start + len(first)
+            kind = "name_s" if not cut else "name_f" if title in FEMALE_TITLES else "name_u" if title in OPEN_TITLES else "name_m"
+            names[value] = kind
         out.append((start, end, kind, value))
+    if names:
+        again = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")
+        taken, free = sorted(out), []
+        for m in again.finditer(text):
+            k = bisect.bisect(taken, (m.end(),)) - 1  # the last entity that starts before its end
+            if k < 0 or taken[k][1] <= m.start():
+                free.append((*m.span(), names[m[0]], m[0]))
+        out = sorted(out + free)
     return out
 
 
+def canonical(kind: str, value: str) -> str:
+    """One form of an entity that is written in several: cards and IBANs without gaps, addresses in lower case."""
+    if kind == "card":
+        return "".join(c for c in value if c.isdecimal())
+    return value.replace(" ", "") if kind == "iban" else value.lower() if kind == "email" else value
+
+
 class Draw:
     """Numbers that a key, a type, an entity and the number of the candidate decide."""
 
@@ -150,8 +182,9 @@ def shaped(value: str, draw: Draw, first_digit: bool = False) -> str:
 
 
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """Candidate number attempt for an entity. A domain has one surrogate for all its addresses."""
-    draw, entity, value = Draw(key, kind, value, attempt), value, longer(kind, value, attempt)
+    """Candidate number attempt for an entity. A domain has one surrogate for all its addresses, a surname one for all
+    its bearers, with and without a given name."""
+    draw, entity, value = Draw(key, kind, canonical(kind, value), attempt), value, longer(kind, value, attempt)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, dot, top = domain.rpartition(".")
@@ -181,12 +214,11 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return "".join(letters[draw.below(16)] for _ in value)
     if kind.startswith("name_"):
         first, cut, last = re.match(r"([^ -]+)([ -]?)(.*)", value, re.S).groups()
-        if first.isascii():
-            names = GIVEN[kind[-1]]
-            first = names[draw.below(len(names))] if cut else shaped(first, draw)
-        else:
-            first = shaped(first, draw)
-        return first + cut + shaped(last, draw)
+        surname = lambda x: shaped(x, Draw(key, "surname", x, attempt))
+        if not cut:
+            return surname(first)
+        names = GIVEN[kind[-1]] if kind[-1] in GIVEN else GIVEN["f"] + GIVEN["m"]
+        return (names[draw.below(len(names))] if first.isascii() else shaped(first, draw)) + cut + surname(last)
     return shaped(value, draw, kind == "ssn")
 
 
@@ -204,6 +236,7 @@ def moved(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         def records():
             for (text,) in rows(batches, "text"):
                 for _, _, kind, value in entities(text):
+                    value = canonical(kind, value)
                     if (kind, value) not in seen:
                         if len(seen) > 200_000:
                             seen.clear()
@@ -245,7 +278,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def replaced(text, attempt):
         found, parts, at = entities(text), [], 0
         for start, end, kind, value in found:
-            parts += [text[at:start], surrogate(kind, value, attempt.get((kind, value), 0), key)]
+            parts += [text[at:start], surrogate(kind, value, attempt.get((kind, canonical(kind, value)), 0), key)]
             at = end
         return ("".join(parts) + text[at:] if found else text), len(found), sorted({k for _, _, k, _ in found})
 
@@ -260,7 +293,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     schema = "row long, kind string, value string"
 
     def mentions(batches):
-        yield from batched(((h, k, v) for h, t in rows(batches, "row", "text") for k, v in {(k, v) for _, _, k, v in entities(t)}), arrow_schema(schema), 20_000)
+        yield from batched(((h, k, v) for h, t in rows(batches, "row", "text") for k, v in {(k, canonical(k, v)) for _, _, k, v in entities(t)}), arrow_schema(schema), 20_000)
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
     own = keyed.select("row", "text").mapInArrow(mentions, schema).distinct().join(off, ["kind", "value"]).groupBy("row").agg(F.to_json(F.collect_list(F.array("kind", "value", F.col("attempt").cast("string")))).alias("off"))
@@ -274,4 +307,5 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents"))
+    key = spark.conf.get(KEY_CONF, None)
+    return pseudonymised(table(spark, sf_dir, "documents"), key.encode() if key else KEY)

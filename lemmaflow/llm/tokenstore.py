@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TOKENIZER_DIR, arrow_schema, batched, discard, partitions, rows, table, work_dir
+from .common import arrow_schema, batched, discard, partitions, rows, table, tokenizer_file, work_dir
 
 KEY = 16
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 64, 9, 2048
@@ -178,13 +178,14 @@ def split_keys(recipe: bytes) -> list[bytes]:
     return [recipe[i : i + KEY] for i in range(0, len(recipe), KEY)]
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_50k.json", end_id: int | None = 0) -> None:
-    """Encode every whole text of docs (doc_id, text; null text: empty) and write the store at path.
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 0) -> None:
+    """Encode every whole text of docs (doc_id, text; null text: empty) and write the store at path. tokenizer: its
+    vocabulary file (default: the public byte-level one of 50k).
 
     Each document gets end_id behind its ids. Repeated rows and equal doc_ids are separate documents; an
     empty table gives an empty store. Only the encoded rows are shuffled: a chunk once per task that met it.
     """
-    spark = docs.sparkSession
+    spark, tokenizer = docs.sparkSession, tokenizer or tokenizer_file("byte_bpe_50k.json")
     schema = "kind int, key binary, doc_id long, n int, payload binary"
 
     def encode(batches):

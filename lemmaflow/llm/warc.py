@@ -53,7 +53,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, arch
 
     Of equal payloads of at least min_revisit_bytes, the row with the smallest page_id becomes a response, the
     others revisit it (rows that repeat that page_id become responses too). Null html is an empty payload,
-    null url leaves the header out, null page_ids come after all others. An empty table gives no archives.
+    null url leaves the header out, null page_ids come after all others. An empty table gives an empty folder. An
+    archive has archive_bytes at most, or one record; its folder (archive=N) says which task made it.
     """
     spark = pages.sparkSession
     own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
@@ -63,19 +64,27 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, arch
     later = judged.filter((F.col("size") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
     # Joined by page_id as well, so that a payload that a third of all pages share is dealt to all partitions.
     marked = own.join(later, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
-    schema = "line binary, last int"
+    schema = "archive long, line binary, last int"
 
     def pack(batches):
+        from pyspark import TaskContext
+
         def records():
+            archive, held = TaskContext.get().partitionId() << 24, 0
             for p, u, payload, f, d in rows(batches, "page_id", "url", "payload", "first", "_d"):
                 m = member(p, u, payload, f, d is not None)
-                yield m[:-1], m[-1]
+                if held and held + len(m) > archive_bytes:
+                    archive, held = archive + 1, 0
+                held += len(m)
+                yield archive, m[:-1], m[-1]
 
         yield from batched(records(), arrow_schema(schema))
 
     made = staged(marked.select("page_id", "url", "payload", "first", "_d").mapInArrow(pack, schema), "warc-members")
-    for (last,) in made.select("last").distinct().collect():  # at most 128 values; one, unless records reach 16 MiB
-        made.filter(F.col("last") == last).select(F.col("line").cast("string")).write.mode("append").option("lineSep", chr(last)).text(path)
+    # The last bytes have at most 128 values; one, unless records reach 16 MiB, and none for an empty table.
+    for last in [r.last for r in made.select("last").distinct().collect()] or [0]:
+        lines = made.filter(F.col("last") == last).select("archive", F.col("line").cast("string"))
+        lines.write.mode("append").option("lineSep", chr(last)).partitionBy("archive").text(path)
 
 
 def read_records(pieces):
@@ -128,7 +137,8 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 def read_archives(spark: SparkSession, path: str, piece: int = 1 << 16) -> DataFrame:
     """Every record of the archives at path. A revisit's payload is null; its length and digest are kept.
 
-    A file is one task's input (Spark's binaryFile source, so files must stay under 2 GB).
+    A file is read whole by one task (Spark's binaryFile source): write_archives keeps files to archive_bytes. An empty
+    folder gives no records.
     """
 
     def read(batches):
@@ -144,7 +154,7 @@ def read_archives(spark: SparkSession, path: str, piece: int = 1 << 16) -> DataF
 
         yield from batched(records(), arrow_schema(RECORD))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(read, RECORD)
 
 
