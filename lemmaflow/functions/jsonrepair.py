@@ -1,8 +1,8 @@
 """Extraction and repair of JSON objects from generated text.
 
 Texts that are JSON already are handled by Spark's own parser; only the rest goes through Python, in Arrow
-batches. The repair works on one scan of the text into pieces (string pieces and structure), which the
-steps below rewrite.
+batches. There one reader with an explicit stack takes a text from a brace on and forgives what generated text
+gets wrong, so its time grows with the text's length and its depth has no limit of Python's.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ CLOSER = {"{": "}", "[": "]"}
 #: A string with its escapes, its closing quote if there is one; or one other character.
 PIECE = re.compile(r'"(?:[^"\\]|\\.)*"?|\\.|.', re.S)
 FENCE = re.compile(r"^```[A-Za-z]*\s*|\s*```$")
+BLANKS, WORD, QUOTED_BRACE = re.compile(r"\s*"), re.compile(r"[-+.\w]+"), re.compile(r'"\{\s*(?=[A-Za-z_])')
+ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+LITERALS = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None}
 
 
 def _loads(text: str):
     try:
         return json.loads(text), True
-    except ValueError:
+    except (ValueError, RecursionError):
         return None, False
 
 
@@ -40,111 +43,196 @@ def balanced(text: str, start: int) -> str | None:
     return None
 
 
-def closed(text: str) -> str:
-    """text with what is open at its end closed, innermost first."""
-    open_, last = [], ""
-    for m in PIECE.finditer(text):
-        last = m[0]
-        if last in CLOSER:
-            open_.append(CLOSER[last])
-        elif open_ and last == open_[-1]:
-            open_.pop()
-    cut = last.startswith('"') and (len(last) == 1 or not re.fullmatch(r'"(?:[^"\\]|\\.)*"', last, re.S))
-    return text + ('"' if cut else "") + "".join(reversed(open_))
-
-
 def without_trailing_commas(text: str) -> str:
     return re.sub(r"(?:,\s*)+(?=[}\]])", "", text)
 
 
-def parens_to_closers(text: str) -> str:
-    """Outside strings, ')' closes what is open; closers that match nothing go."""
-    out, open_ = [], []
-    for m in PIECE.finditer(text):
-        p = m[0]
-        if p in CLOSER:
-            open_.append(p)
-        elif p == ")" or p in CLOSER.values():
-            if not open_ or p != ")" and p != CLOSER[open_[-1]]:
-                continue
-            p = CLOSER[open_.pop()]
-        out.append(p)
-    return "".join(out)
-
-
-def strings_closed_at_paren(text: str) -> str:
-    """A ')' in a string that no '(' of that string opened ends the string."""
-    out, depth, inside, escaped = [], 0, False, False
-    for c in text:
-        if inside and not escaped and c == ")" and depth == 0:
-            out.append('"')
-            inside = False
-        elif not escaped and c == '"':
-            inside, depth = not inside, 0
-        elif inside and not escaped:
+def spans(text: str) -> tuple[list[tuple[int, int]], list[int]]:
+    """(start, end) of the objects whose braces close, by start, and the starts of those whose do not: in one scan."""
+    first = text.find("{")
+    done, open_ = [], []
+    for m in PIECE.finditer(text, max(first, 0)):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif m[0] == "}" and open_:
+            done.append((open_.pop(), m.end()))
+    return sorted(done), open_
+
+
+def quoted(text: str, i: int) -> tuple[str, int, bool]:
+    """The string that starts behind the quote before i, where it ends, and whether it does. A backslash before no escape
+    is dropped; a ')' that no '(' of the string opened ends it."""
+    out, depth = [], 0
+    while i < len(text):
+        c = text[i]
+        if c == '"':
+            return "".join(out), i + 1, True
+        if c == ")" and depth == 0:
+            return "".join(out), i, True
+        if c == "\\" and i + 1 < len(text):
+            i += 1
+            e = text[i]
+            if e == "u" and re.fullmatch("[0-9a-fA-F]{4}", text[i + 1 : i + 5]):
+                out.append(chr(int(text[i + 1 : i + 5], 16)))
+                i += 4
+            else:
+                out.append(ESCAPES.get(e, e))
+                depth += (e == "(") - (e == ")" and depth > 0)
+        else:
             depth += (c == "(") - (c == ")")
-        escaped = inside and c == "\\" and not escaped
-        out.append(c)
-    return "".join(out)
-
-
-def cleaned(text: str) -> str:
-    """The text-level fixes, in their fixed order: escapes, quoted braces, strings, simple strings, parens."""
-    text = re.sub(r'\\(?!["\\/bfnrtu])', "", text)
-    text = re.sub(r'"\{(\s*)(?=[A-Za-z_])', r'{\1"', text)
-    text = strings_closed_at_paren(text)
-    text = re.sub(r'"(\s*\w[\w\s\']*)\)', r'"\1")', text)
-    return parens_to_closers(text)
-
-
-def _variants(text: str):
-    yield text
-    text = without_trailing_commas(text)
-    yield text
-    yield re.sub(r',\s*"[^"]*"\s*:\s*(?=[}\]])', "", text)
-    yield re.sub(r',\s*"[^"]*"\s*(?=[}\]])', "", text)
-
-
-def extract_object(text: str | None) -> str | None:
-    """The JSON object in a text, repaired if need be; None if there is none."""
+            out.append(c)
+        i += 1
+    return "".join(out), i, False
+
+
+def literal(word: str):
+    """(value, known) of a bare word."""
+    if word in LITERALS:
+        return LITERALS[word], True
+    return _loads(word)
+
+
+class _Stop(ValueError):
+    """The text is no object from that brace on."""
+
+
+def forgiving(text: str, start: int) -> tuple[dict, int, bool]:
+    """The object from a brace on, where it ends, and whether it is closed there; _Stop if it cannot be one.
+
+    ')' closes what is open; closers that match nothing and commas too many go; a key without a value goes; what is
+    open at the end is closed there, strings included; Python's literals count as JSON's.
+    """
+    root: dict = {}
+    stack: list[list] = [[root, None]]  # container, key that waits for its value
+    expect, i = "key", start + 1
+
+    def put(value):
+        box, key = stack[-1]
+        if isinstance(box, list):
+            box.append(value)
+        else:
+            box[key] = value
+            stack[-1][1] = None
+
+    while True:
+        i = BLANKS.match(text, i).end()
+        if i >= len(text):
+            return root, i, False
+        c, box = text[i], stack[-1][0]
+        if c in "}])":
+            if c != ")" and c != ("]" if isinstance(box, list) else "}"):
+                i += 1
+                continue
+            stack.pop()
+            i, expect = i + 1, "next"
+            if not stack:
+                return root, i, True
+        elif c == ",":
+            i, expect = i + 1, "value" if isinstance(box, list) else "key"
+        elif expect == "key":
+            if c != '"':
+                raise _Stop
+            key, i, whole = quoted(text, i + 1)
+            if not whole:
+                return root, i, False
+            stack[-1][1], expect = key, "colon"
+        elif expect == "colon":
+            if c != ":":
+                raise _Stop
+            i, expect = i + 1, "value"
+        elif expect == "next":
+            raise _Stop
+        elif c in "{[":
+            new = {} if c == "{" else []
+            put(new)
+            stack.append([new, None])
+            i, expect = i + 1, "key" if c == "{" else "value"
+        elif m := QUOTED_BRACE.match(text, i):  # the quote of the first key stands before the brace
+            new = {}
+            put(new)
+            key, i, whole = quoted(text, m.end())
+            if not whole:
+                return root, i, False
+            stack.append([new, key])
+            expect = "colon"
+        elif c == '"':
+            value, i, _ = quoted(text, i + 1)
+            put(value)
+            expect = "next"
+        else:
+            m = WORD.match(text, i)
+            value, known = literal(m[0]) if m else (None, False)
+            if not known and not (m and m.end() == len(text)):
+                raise _Stop
+            if known:
+                put(value)
+            i, expect = m.end(), "next"
+
+
+def found_object(text: str | None):
+    """The first object of a text whose braces close, read as it is or forgivingly; else the first that can be read
+    with what is open at its end closed. None if there is none."""
     if not isinstance(text, str):
         return None
     text = FENCE.sub("", text.strip()).translate(str.maketrans(FULL_WIDTH, ASCII))
-    if "{" not in text:
-        return None
-    text = cleaned(text)
-    starts = [m.start() for m in re.finditer(r"\{", text)]
-    for s in starts:
-        if (got := balanced(text, s)) and _loads(got)[1]:
-            return got
-    for s in starts:
-        for v in _variants(closed(text[s:])):
-            if _loads(v)[1]:
-                return v
+    closing, open_ = spans(text)
+    for start, end in closing:
+        value, ok = _loads(text[start:end])
+        if ok:
+            return value
+        try:
+            value, at, closed = forgiving(text[start:end], 0)
+        except _Stop:
+            continue
+        if closed and at == end - start:
+            return value
+    for start in sorted({*open_, *(s for s, _ in closing)}):
+        try:
+            return forgiving(text, start)[0]
+        except _Stop:
+            continue
     return None
 
 
 def normalized_keys(value):
     """Keys trimmed, in lower case, with '_' for spaces and hyphens, at every depth."""
-    if isinstance(value, dict):
-        return {re.sub(r"[ -]", "_", str(k).strip().lower()): normalized_keys(v) for k, v in value.items()}
-    return [normalized_keys(v) for v in value] if isinstance(value, list) else value
+    done: list = [value]
+    todo = [(done, 0)]
+    while todo:
+        box, at = todo.pop()
+        v = box[at]
+        if isinstance(v, dict):
+            box[at] = new = {re.sub(r"[ -]", "_", str(k).strip().lower()): x for k, x in v.items()}
+            todo += [(new, k) for k in new]
+        elif isinstance(v, list):
+            box[at] = new = list(v)
+            todo += [(new, k) for k in range(len(new))]
+    return done[0]
 
 
 def parse(text: str | None):
     """The value in a generated text, with normalised keys; None if nothing can be read."""
-    found = extract_object(text) or text
-    if not isinstance(found, str):
+    if not isinstance(text, str):
         return None
-    for read in (json.loads, ast.literal_eval, lambda t: json.loads(without_trailing_commas(re.sub(r"\bNone\b", "null", re.sub(r"\bFalse\b", "false", re.sub(r"\bTrue\b", "true", t)))))):
+    found = found_object(text)
+    if found is not None:
+        return normalized_keys(found)
+    for read in (json.loads, ast.literal_eval):
         try:
-            value = read(found)
+            return normalized_keys(read(text))
         except (ValueError, SyntaxError, MemoryError, RecursionError):
             continue
-        return normalized_keys(value)
     return None
 
 
+def compact(value) -> str | None:
+    """Minified JSON; None for what is nested deeper than can be written (about a thousand levels)."""
+    try:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        return None
+
+
 def extract_flat(text: str | None):
     """The flat-proof reader: whole text, first object, the object with all braces then all brackets closed,
     then the same with LaTeX backslashes doubled."""
@@ -175,12 +263,18 @@ def extract_flat(text: str | None):
 def repaired(texts):
     import pandas as pd
 
-    return pd.Series([None if (v := parse(t)) is None else json.dumps(v, ensure_ascii=False, separators=(",", ":")) for t in texts])
+    return pd.Series([None if t is None or (v := parse(t)) is None else compact(v) for t in texts])
 
 
 def parsed(c: Column | str) -> Column:
-    """Compact JSON with normalised keys of any generated text; null if nothing can be read."""
-    return repaired(F.col(c) if isinstance(c, str) else c)
+    """Compact JSON with normalised keys of any generated text; null if nothing can be read.
+
+    An object that Spark's parser reads and whose keys are normal already does not go to Python.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    v = native_object(x)
+    ready = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & ~x.rlike(r'"[^"]*[^"a-z0-9_.][^"]*"\s*[:：]')
+    return F.coalesce(F.when(ready, F.to_json(v)), repaired(F.when(~ready, x)))
 
 
 def native_object(c: Column | str) -> Column:

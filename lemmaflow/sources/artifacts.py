@@ -12,11 +12,14 @@ PROBLEMS = [
     ("mean_value_theorem_general", "Prove the Mean Value Theorem: if f is continuous on [a,b] and differentiable on (a,b), then there exists c in (a,b) such that f'(c) = (f(b)-f(a))/(b-a).", "mean_value_theorem", "exists c in (a,b) such that f'(c) = (f(b)-f(a))/(b-a)"),
     ("ivt_general", "Prove the Intermediate Value Theorem: if f is continuous on [a,b] and N lies between f(a) and f(b), then there exists c in [a,b] such that f(c)=N.", "intermediate_value_theorem", "exists c in [a,b] such that f(c)=N"),
 ]
-THEOREMS = """assumption_use goal_alignment algebraic_simplification derivative_rule chain_rule product_rule quotient_rule
-power_rule implicit_differentiation limit_rule lhopital_rule squeeze_theorem epsilon_delta_definition integration_by_parts
-substitution_rule fundamental_theorem_of_calculus continuity differentiability uniform_continuity mean_value_theorem
-rolles_theorem intermediate_value_theorem IVT extreme_value_theorem taylor_series taylor_theorem convergence
-divergence_test comparison_test""".split()
+THEOREMS = [
+    "assumption_use", "goal_alignment", "algebraic_simplification", "derivative_rule", "chain_rule",
+    "product_rule", "quotient_rule", "power_rule", "implicit_differentiation", "limit_rule",
+    "lhopital_rule", "squeeze_theorem", "epsilon_delta_definition", "integration_by_parts", "substitution_rule",
+    "fundamental_theorem_of_calculus", "continuity", "differentiability", "uniform_continuity", "mean_value_theorem",
+    "rolles_theorem", "intermediate_value_theorem", "IVT", "extreme_value_theorem", "taylor_series",
+    "taylor_theorem", "convergence", "divergence_test", "comparison_test",
+]
 
 
 def problems(spark: SparkSession) -> DataFrame:

@@ -86,6 +86,20 @@ def test_json_repair(text, expected):
     assert jsonrepair.parse(text) == expected
 
 
+def test_json_long_and_deep(spark):
+    """Time grows with the length, depth kills no job."""
+    import time
+
+    began = time.perf_counter()
+    assert jsonrepair.parse("{" * 50_000) == {}
+    assert jsonrepair.parse('{"a":' * 20_000) is not None
+    assert time.perf_counter() - began < 10
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    rows = spark.createDataFrame([(1, deep), (2, '{"K": 1'), (3, '{"k": 1, "t": "a: b"}'), (4, "[1]")], "i int, t string")
+    got = {r.i: r.j for r in rows.select("i", jsonrepair.parsed("t").alias("j")).collect()}
+    assert got[2] == '{"k":1}' and json.loads(got[3]) == {"k": 1, "t": "a: b"} and got[4] == "[1]"
+
+
 @pytest.mark.parametrize("text,expected", [('{"a": 1}', {"a": 1}), ('x {"a": {"b": 2}} y', {"a": {"b": 2}}), ('{"a": 1,}', {"a": 1}), ("none", None), ('{"a":[1', None)])
 def test_flat_json(text, expected):
     assert jsonrepair.extract_flat(text) == expected
@@ -98,8 +112,22 @@ CLAIMS = [
     ("x^2 = x", "equation", False),
     ("x >= 0", "equation", False),
     ("lim x -> 0 sin(x)/x = 1", "limit", True),
-    ("integral of 2*x dx = x^2 + C", "integral", True),
-    ("integral of x^2 dx from 0 to 3 = 9", "integral", True),
+    ("integral(2*x, x) = x^2", "integral", True),
+    ("integral(2*x, x) = x^3", "integral", False),
+    ("Integrate(2*x,(x,0,1)) = 1", "integral", True),
+    ("integral(x^2, (x, 0, 3)) = 8", "integral", False),
+    ("integral 2*x dx = x^2 + C", "integral", True),
+    ("∫ cos(t) dt = sin(t)", "integral", True),
+    ("d/dtheta sin(theta) = cos(theta)", "derivative", True),
+    ("f(x) = f(x)", "equation", True),
+    ("f(x) = g(x)", "equation", False),
+    ("sec(x) = 1/cos(x)", "equation", True),
+    ("d/dx f(x)^2 = 2*f(x)", "derivative", False),
+    ("lim x -> oo 1/x = 0", "limit", True),
+    ("lim x -> oo x^2 = oo", "limit", True),
+    ("lim x -> 0 1/x = 0", "limit", False),
+    ("lim x -> 1 (x^2-1)/(x-1) = 2", "limit", True),
+    ("so d/dx x = 1", None, None),
     ("__import__('os').getcwd() = 1", "equation", False),
     ("the function is continuous", None, None),
     ("", None, None),
@@ -141,6 +169,20 @@ def test_tidied_graph(spark):
     assert r.goal_node_id == "G1" and r.inferences[0].conclusion_node == "G1" and r.inferences[0].premise_nodes == ["A1"]
 
 
+def test_fallback_graph(spark):
+    kind = "proof_id string, goal string, assumptions array<struct<id:string,statement:string>>, refs array<string>, terms array<string>"
+    rows = [
+        ("p", "g", [("H", "a"), (None, "b")], ["z", " y ", " ", "x"], []),
+        ("p", None, None, None, ["LIMIT"]),
+        ("my_mean_value_theorem_1", "g", [], [" "], []),
+        ("other", "g", [], [], []),
+    ]
+    got = [r for r in normalize.fallback_graph(spark.createDataFrame(rows, kind)).collect()]
+    assert [x.id for x in got[0].nodes] == ["H", "A2", "G1"] and got[0].nodes[2].claim == "g" and got[0].inferences[0].premise_nodes == ["H", "A2"]
+    assert [list(r.inferences[0].rule_refs) for r in got] == [["z", "y"], ["limit_rule"], ["mean_value_theorem"], ["assumption_use"]]
+    assert got[1].nodes[0].claim == "Prove the goal"
+
+
 def test_flat_proof(spark):
     steps = spark.createDataFrame([("p", "S1", "", "by rule", ["S9"]), ("q", "S1", "a", " ", []), ("q", "S2", "clearly b", "by the Mean Value Theorem", ["S1"])], "proof_id string, step_id string, statement string, justification string, refs array<string>")
     proofs = spark.createDataFrame([("p", "x", "limit exists", "limit exists"), ("q", "Prove the Mean Value Theorem", "alpha beta gamma delta", "nothing"), ("r", "x", "g", "c")], "proof_id string, problem string, goal string, conclusion string")
