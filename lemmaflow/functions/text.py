@@ -30,9 +30,10 @@ def normalized_math(c: Column | str) -> Column:
 
 
 def symbols(c: Column | str) -> Column:
-    """Sorted distinct identifiers that are no builtins."""
-    found = F.regexp_extract_all(_col(c), F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), 1)
-    return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, BUILTINS))))
+    """Sorted distinct identifiers (whole runs of letters, digits and _ that are ASCII) that are no builtins."""
+    runs = F.array_distinct(F.regexp_extract_all(_col(c), F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    found = F.filter(runs, lambda r: r.rlike("^[A-Za-z_][A-Za-z0-9_]*$"))
+    return F.array_sort(F.array_except(found, F.array(*map(F.lit, BUILTINS))))
 
 
 def ascii_punctuation(c: Column | str) -> Column:

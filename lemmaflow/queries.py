@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .functions import jsonrepair, symbolic
 from .functions import text as T
-from .operators import graph, linear, normalize, schema, verdict
+from .operators import graph, linear, normalize, schema, verdict, verifyall
 from .plans import projection as P
 from .plans.projection import table
 from .sources.artifacts import THEOREMS
@@ -92,10 +92,10 @@ def goal_alignment(spark, d):
     return table(spark, d, "part").select("p_partkey", F.contains(T.normalized_math("p_name"), T.normalized_math("p_type")).alias("aligned"))
 
 
-@query("SELECT DISTINCT l_orderkey AS proof_id, 'L' || l_linenumber AS id FROM lineitem WHERE l_linenumber > 1 AND l_linenumber % 2 = 0 EXCEPT SELECT l_orderkey, 'L' || l_linenumber FROM lineitem WHERE l_linenumber > 1 AND l_returnflag <> 'N'")
+@query("SELECT DISTINCT l_orderkey AS proof_id, 'L' || l_linenumber AS id FROM lineitem WHERE l_linenumber > 1 EXCEPT SELECT l_orderkey, 'L' || l_linenumber FROM lineitem WHERE l_linenumber > 1 AND l_returnflag <> 'N'")
 def orphan_nodes(spark, d):
-    """Even nodes that only inferences by rule N conclude, these left out."""
-    return graph.orphans(P.nodes(spark, d).filter("node_pos % 2 = 0"), P.inferences(spark, d).filter("rules[0] <> 'N'"))
+    """Nodes that only inferences by rule N conclude, these left out."""
+    return graph.orphans(P.nodes(spark, d), P.inferences(spark, d).filter("rules[0] <> 'N'"))
 
 
 @query("""SELECT o_orderkey AS proof_id, ob AS obligation, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'high' ELSE 'medium' END AS severity
@@ -107,12 +107,15 @@ def obligation_coverage(spark, d):
 BUILTIN_SQL = ", ".join(f"'{b}'" for b in T.BUILTINS)
 
 
-@query(rf"""SELECT doc_id, count(DISTINCT s) AS n_symbols, min(s) AS first_symbol FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Za-z_][A-Za-z0-9_]*)\b', 1)) AS s FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$'))
-WHERE s NOT IN ({BUILTIN_SQL}) AND s NOT IN (SELECT unnest(regexp_extract_all(text, '\b([A-Za-z_][A-Za-z0-9_]*)\b', 1)) FROM benchmark WHERE regexp_matches(text, '^[\x00-\x7F]*$')) GROUP BY doc_id""")
+NAMES = r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]*$'))"
+
+
+@query(rf"""SELECT doc_id, count(DISTINCT s) AS n_symbols, min(s) AS first_symbol FROM (SELECT doc_id, unnest({NAMES}) AS s FROM documents)
+WHERE s NOT IN ({BUILTIN_SQL}) AND s NOT IN (SELECT unnest({NAMES}) FROM benchmark) GROUP BY doc_id""")
 def undeclared_symbols(spark, d):
-    """Identifiers of ASCII documents that no ASCII benchmark text (the declarations) has."""
-    known = table(spark, d, "benchmark").filter(r"text rlike '^[\\x00-\\x7F]*$'").select(F.explode(T.symbols("text")).alias("s")).distinct()
-    used = table(spark, d, "documents").filter(r"text rlike '^[\\x00-\\x7F]*$'").select("doc_id", F.explode(T.symbols("text")).alias("s"))
+    """Identifiers of documents that no benchmark text (the declarations) has."""
+    known = table(spark, d, "benchmark").select(F.explode(T.symbols("text")).alias("s")).distinct()
+    used = table(spark, d, "documents").select("doc_id", F.explode(T.symbols("text")).alias("s"))
     return used.join(known, "s", "left_anti").groupBy("doc_id").agg(F.count_distinct("s").alias("n_symbols"), F.min("s").alias("first_symbol"))
 
 
@@ -169,22 +172,30 @@ def schema_violations(spark, d):
     """Problem artifacts with a key dropped or of a wrong type, by event_id mod 5."""
     body = """case event_id % 5 when 0 then '{"problem_id":"p","raw_problem":"r","goal":{"text":"t","symbolic":"s"}}' when 1 then '{"raw_problem":"r","goal":{"text":"t","symbolic":"s"}}'
       when 2 then '{"problem_id":"p","raw_problem":"r"}' when 3 then '{"problem_id":"p","raw_problem":"r","goal":{"symbolic":"s"}}' else '{"problem_id":"p","raw_problem":7,"goal":{"text":"t","symbolic":"s"}}' end"""
-    e = table(spark, d, "events").select("event_id", F.expr(body).alias("artifact"))
+    e = table(spark, d, "events").select("event_id", F.expr(f"concat('{{\"domain\":', props, ',', substring({body}, 2))").alias("artifact"))
     return schema.violations(e, "event_id", "artifact", schema.PROBLEM)
 
 
-@query("SELECT item_id, contains(lower(d.text), lower(b.text)) AS cited FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+OF_ITEM = "benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id"
+
+
+def with_item(spark: SparkSession, d: str, item) -> DataFrame:
+    """doc_id, item (a column of the benchmark text of that number, the numbers coming round again), t: the document in lower case."""
+    b = table(spark, d, "benchmark").select("item_id", item)
+    return table(spark, d, "documents").select("doc_id", (F.col("doc_id") % F.lit(b.count())).alias("item_id"), F.lower("text").alias("t")).join(b, "item_id")
+
+
+@query(f"SELECT doc_id, contains(lower(d.text), lower(b.text)) AS cited FROM {OF_ITEM}")
 def context_assumptions(spark, d):
-    """Is the assumption (a benchmark text) cited in the proof text (the document of that number)?"""
-    b, t = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("a")), table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("t"))
-    return b.join(t, "item_id").select("item_id", F.contains("t", F.col("a")).alias("cited"))
+    """Is the assumption (a benchmark text) cited in the proof text (a document)?"""
+    return with_item(spark, d, F.lower("text").alias("a")).select("doc_id", F.contains("t", F.col("a")).alias("cited"))
 
 
-@query(r"SELECT item_id, len(list_filter(regexp_extract_all(lower(b.text), '[a-z_]+')[1:4], lambda w: contains(lower(d.text), w))) > 0 AS addressed FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+@query(f"SELECT doc_id, len(list_filter(regexp_extract_all(lower(b.text), '[a-z_]+')[1:4], lambda w: contains(lower(d.text), w))) > 0 AS addressed FROM {OF_ITEM}")
 def context_domain(spark, d):
     """Does the proof text hold one of the first four words of a constraint?"""
-    b, t = table(spark, d, "benchmark").select("item_id", F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z_]+)"), 1), 1, 4).alias("w")), table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("t"))
-    return b.join(t, "item_id").select("item_id", F.exists("w", lambda w: F.contains("t", w)).alias("addressed"))
+    constraint = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z_]+)"), 1), 1, 4).alias("w")
+    return with_item(spark, d, constraint).select("doc_id", F.exists("w", lambda w: F.contains("t", w)).alias("addressed"))
 
 
 def flat_proofs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -228,11 +239,11 @@ def linear_overlap(spark, d):
     return _flat(spark, d, "overlap")
 
 
-@query("SELECT doc_id, (doc_id % 4 = 1) AS circular FROM documents WHERE doc_id % 4 IN (0, 1)")
+@query("SELECT doc_id, doc_id % 4 = 1 OR doc_id % 4 = 2 AND contains(lower(text), 'mean value theorem') AS circular FROM documents")
 def linear_circular(spark, d):
-    """A justification that names the theorem to prove is circular."""
-    docs = table(spark, d, "documents").filter("doc_id % 4 in (0, 1)").select(F.col("doc_id").alias("proof_id"), F.lit("Prove the Mean Value Theorem").alias("problem"), F.lit("g").alias("goal"), F.lit("g").alias("conclusion"))
-    steps = docs.select("proof_id", F.lit("1").alias("step_id"), F.lit("s").alias("statement"), F.expr("case when proof_id % 4 = 1 then 'the Mean  Value theorem'  else 'the chain rule' end").alias("justification"), F.array().cast("array<string>").alias("refs"))
+    """A justification that names the theorem to prove is circular; those of a quarter of the proofs are the documents' texts."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("proof_id"), "text", F.lit("Prove the Mean Value Theorem").alias("problem"), F.lit("g").alias("goal"), F.lit("g").alias("conclusion"))
+    steps = docs.select("proof_id", F.lit("1").alias("step_id"), F.lit("s").alias("statement"), F.expr("case proof_id % 4 when 1 then 'the Mean  Value theorem' when 2 then text when 3 then null else 'the chain rule' end").alias("justification"), F.array().cast("array<string>").alias("refs"))
     steps = steps.withColumn("justification", F.regexp_replace("justification", " +", " "))
     found = linear.verify(steps, docs).filter("check = 'circular'").select("proof_id").distinct().withColumn("hit", F.lit(True))
     return docs.join(found, "proof_id", "left").select(F.col("proof_id").alias("doc_id"), F.col("hit").isNotNull().alias("circular"))
@@ -349,3 +360,40 @@ def graph_skeleton_fallback(spark, d):
     )
     g = normalize.fallback_graph(p)
     return g.select("proof_id", F.size("nodes").cast("long").alias("n_nodes"), F.array_join(F.col("inferences")[0]["rule_refs"], ",").alias("rules"), F.element_at("nodes", -1)["claim"].alias("goal_claim"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS p, l_linenumber AS n, l_returnflag AS flag, l_linestatus AS st FROM lineitem),
+k AS (SELECT p, n, n > 1 AND (n = 2 AND p % 5 = 0 OR bool_or(flag <> 'R') OR bool_or(st = 'O') OR NOT EXISTS (SELECT 1 FROM l b WHERE b.p = l.p AND b.n = l.n - 1)) AS blocked FROM l GROUP BY p, n),
+v AS (SELECT p, n, NOT blocked AND n = max(n) FILTER (NOT blocked) OVER (PARTITION BY p ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AND count(*) FILTER (NOT blocked) OVER (PARTITION BY p ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = n AS ok, blocked FROM k),
+e AS (
+  SELECT p, 'structural' AS source FROM l GROUP BY p HAVING count(*) <> count(DISTINCT n)
+  UNION ALL SELECT p, 'structural' FROM l WHERE n > 1 GROUP BY p HAVING count(*) <> count(DISTINCT n)
+  UNION ALL SELECT p, 'structural' FROM l WHERE n > 1 AND flag IN ('A', 'N')
+  UNION ALL SELECT p, unnest(['structural', 'inference_verifier']) FROM l WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM l b WHERE b.p = l.p AND b.n = l.n - 1)
+  UNION ALL SELECT o_orderkey, 'structural' FROM orders, (VALUES ('F'), ('O')) t(ob) WHERE NOT EXISTS (SELECT 1 FROM l WHERE p = o_orderkey AND st = ob)
+  UNION ALL SELECT o_orderkey, 'structural' FROM orders WHERE NOT EXISTS (SELECT 1 FROM l WHERE p = o_orderkey AND n = 1 + o_orderkey % 7)
+  UNION ALL SELECT p, 'node_proof' FROM l WHERE n > 1 AND st = 'O'
+  UNION ALL SELECT p, 'symbolic' FROM l WHERE n = 2 AND p % 5 = 0
+  UNION ALL SELECT o_orderkey, 'critic' FROM orders WHERE o_orderstatus = 'O'
+  UNION ALL SELECT l.p, 'inference_closure' FROM l JOIN v USING (p, n) WHERE n > 1 AND NOT v.blocked AND NOT v.ok)
+SELECT o_orderkey AS proof_id, coalesce(source, 'none') AS source, count(source) AS n FROM orders LEFT JOIN e ON p = o_orderkey GROUP BY 1, 2""")
+def run_all_verifiers(spark, d):
+    """Errors by verifier of each order's proof as nested artifacts: lines are nodes and inferences, lines of status O have no
+    proof, lines of flag A claim to be sources, second lines of every fifth order a formal claim that is false; orders of status O have an assumption that nothing cites."""
+    line = table(spark, d, "lineitem")
+    node = F.expr("""struct(concat('L', l_linenumber) as id, if(l_linenumber = 1, 'assumption', 'lemma') as node_type, if(l_returnflag = 'A', 'source', 'planned') as status, 'claim' as claim,
+      if(l_linenumber = 2 and l_orderkey % 5 = 0, 'd/dx x^2 = 3*x', null) as claim_formal, array(l_linestatus) as covers_obligations, if(l_linestatus = 'F', array('so the claim, d/dx x^2 = 3*x'), null) as statements, cast(null as array<string>) as declarations)""")
+    inference = F.expr("""if(l_linenumber > 1, struct(concat('I', l_linenumber) as id, array(concat('L', l_linenumber - 1)) as premise_nodes, cast(null as array<string>) as side_condition_nodes, concat('L', l_linenumber) as conclusion_node,
+      array(l_returnflag) as rule_refs, cast(null as map<string,string>) as instantiation, cast(null as array<string>) as declarations), null)""")
+    own = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(node).alias("nodes"), F.collect_list(inference).alias("inferences"))
+    p = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(own, "o_orderkey", "left")
+    p = p.select(
+        F.col("o_orderkey").alias("proof_id"),
+        F.expr("named_struct('goal', named_struct('text', 'Claim', 'symbolic', cast(null as string)), 'assumptions', if(o_orderstatus = 'O', array(named_struct('id', 'H9', 'statement', 'never said')), null), 'hidden_conditions', cast(null as array<struct<id:string,statement:string>>), 'variables', array(named_struct('symbol', 'x')), 'domain', cast(null as map<string,string>))").alias("problem"),
+        F.expr("named_struct('obligations', array(named_struct('id', 'F'), named_struct('id', 'O')), 'allowed_references', array('A', ' R'), 'forbidden_moves', array('skip steps'))").alias("contract"),
+        F.struct(F.expr("concat('L', 1 + o_orderkey % 7)").alias("goal_node_id"), "nodes", "inferences").alias("graph"),
+        F.expr("cast(null as array<string>)").alias("schema_errors"),
+        F.expr(f"cast(null as array<{verifyall.ERROR}>)").alias("critic_errors"),
+    )
+    out = verifyall.verified(p).select("proof_id", F.explode_outer("errors").alias("e"))
+    return out.groupBy("proof_id", F.coalesce("e.source", F.lit("none")).alias("source")).agg(F.count("e").alias("n"))

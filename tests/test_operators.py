@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.functions import jsonrepair, symbolic
 from lemmaflow.functions import text as T
-from lemmaflow.operators import critics, graph, linear, nodeproof, normalize, schema, verdict
+from lemmaflow.operators import critics, graph, linear, nodeproof, normalize, schema, verdict, verifyall
 from lemmaflow.sources import artifacts
 from lemmaflow.streaming.verify import verify_stream
 
@@ -262,3 +262,67 @@ def test_annotated(spark):
 @pytest.mark.parametrize("text,context,fails", [("x = x", "", False), ("x = 1", "", True), ("f(x)^2 = f(x)*f(x)", "", False), ("f(x) = g(x)", "", True), ("sqrt(x^2) = x", "x positive", False), ("sqrt(x^2) = x", "", True), ("x = y", "", False), ("x >= 0", "", True), (None, "", False)])
 def test_counterexample(text, context, fails):
     assert (symbolic.counterexample(text, context) is not None) == fails
+
+
+ARTIFACT = f"""proof_id string, problem struct<goal:struct<text:string,symbolic:string>,assumptions:array<struct<id:string,statement:string>>,hidden_conditions:array<struct<id:string,statement:string>>,variables:array<struct<symbol:string>>,domain:map<string,string>>,
+contract struct<obligations:array<struct<id:string>>,allowed_references:array<string>,forbidden_moves:array<string>>, graph struct<goal_node_id:string,nodes:array<{verifyall.NODE}>,inferences:array<{verifyall.INFERENCE}>>, schema_errors array<string>, critic_errors array<{verifyall.ERROR}>"""
+CLAIM = "d/dx sin(x^2) = 2*x*cos(x^2)"
+
+
+def artifact(name, change=None):
+    """A proof that is accepted, as lists that a mutation changes: (proof_id, problem, contract, graph, schema_errors, critic_errors)."""
+    node = lambda i, kind, claim, formal=None, covers=(), said=(): dict(id=i, node_type=kind, status="source" if kind == "assumption" else "proven", claim=claim, claim_formal=formal, covers_obligations=list(covers), statements=list(said), declarations=None)
+    inf = lambda i, deps, to, rules: dict(id=i, premise_nodes=deps, side_condition_nodes=[], conclusion_node=to, rule_refs=rules, instantiation=None, declarations=None)
+    problem = dict(goal=dict(text=CLAIM, symbolic=CLAIM), assumptions=[dict(id="A1", statement="x is real")], hidden_conditions=[], variables=[dict(symbol="x")], domain={})
+    contract = dict(obligations=[dict(id="O1"), dict(id="O2")], allowed_references=["chain_rule", "algebra"], forbidden_moves=["circular reasoning"])
+    nodes = [node("A1", "assumption", "x is real"), node("L1", "lemma", "u = x^2 is smooth", said=["so u = x^2 is smooth"]), node("G1", "goal", CLAIM, CLAIM, ["O1", "O2"], ["hence", CLAIM])]
+    d = dict(proof_id=name, problem=problem, contract=contract, graph=dict(goal_node_id="G1", nodes=nodes, inferences=[inf("I1", ["A1"], "L1", ["chain_rule"]), inf("I2", ["A1", "L1"], "G1", ["algebra"])]), schema_errors=[], critic_errors=[])
+    if change:
+        change(d, d["graph"]["nodes"], d["graph"]["inferences"])
+    return d
+
+
+MUTATIONS = {
+    "ok": (None, set()),
+    "schema": (lambda d, n, f: d.update(schema_errors=["goal"], graph=dict(goal_node_id=None, nodes=[], inferences=[])), {("json_schema", "goal")}),
+    "no goal": (lambda d, n, f: d["graph"].update(goal_node_id=None), {("structural", "Goal node must exist.")}),
+    "twice": (lambda d, n, f: n.append(dict(n[1])), {("structural", "Node ids must be unique.")}),
+    "source": (lambda d, n, f: n[1].update(status="source"), {("structural", "A source must be an assumption or an allowed reference.")}),
+    "cycle": (lambda d, n, f: f.append(dict(f[1], id="I3", premise_nodes=["G1"], conclusion_node="L1")), {("structural", "Proof graph must be DAG.")}),
+    "rule": (lambda d, n, f: f[0].update(rule_refs=["magic"]), {("structural", "Not in allowed references: magic")}),
+    "forbidden": (lambda d, n, f: (f[0].update(rule_refs=["circular"]), d["contract"].update(allowed_references=[])), {("structural", "Forbidden: circular")}),
+    "vague": (lambda d, n, f: n[1]["statements"].append("Clearly so"), {("structural", "Vague: clearly")}),
+    "undeclared": (lambda d, n, f: n[1].update(claim_formal="u = u", statements=["u = u"]), {("structural", "claim_formal uses undeclared: u")}),
+    "declared before": (lambda d, n, f: (n[1].update(claim_formal="u = u", statements=["u = u"]), n[0].update(declarations=["u"])), set()),
+    "instantiation": (lambda d, n, f: f[1].update(instantiation={"f": "w"}), {("structural", "f uses undeclared: w")}),
+    "uncovered": (lambda d, n, f: n[2].update(covers_obligations=["O1"]), {("structural", "Obligation must be covered: O2")}),
+    "no coverage": (lambda d, n, f: n[2].update(covers_obligations=None), {("structural", "Obligation must be covered: O1"), ("structural", "Obligation must be covered: O2")}),
+    "orphan": (lambda d, n, f: f.pop(0), {("structural", "Non-source node has no incoming inference."), ("inference_closure", "No verified inference proves this node.")}),
+    "no steps": (lambda d, n, f: n[1].update(statements=None), {("node_proof", "no steps")}),
+    "other step": (lambda d, n, f: n[1].update(statements=["x"]), {("node_proof", "claim not concluded")}),
+    "wrong": (lambda d, n, f: n[1].update(claim_formal="x = 1", statements=["x = 1"]), {("symbolic", "equation does not hold")}),
+    "missing": (lambda d, n, f: f[0].update(premise_nodes=["Z"]), {("structural", "Referenced node must exist."), ("inference_verifier", "Dependency is missing: Z")}),
+    "no rule": (lambda d, n, f: f[0].update(rule_refs=[]), {("inference_verifier", "rule_refs is empty.")}),
+    "unused": (lambda d, n, f: d["problem"].update(assumptions=[dict(id="H7", statement="never")]), {("critic", "Assumption may be unused: H7")}),
+    "hidden": (lambda d, n, f: d["problem"].update(hidden_conditions=[dict(id="H8", statement="compact")]), {("critic", "Hidden condition may be unchecked: H8")}),
+    "domain": (lambda d, n, f: d["problem"].update(domain={"zz": "positive"}), {("critic", "Domain constraint may be unchecked: zz")}),
+    "critic": (lambda d, n, f: d.update(critic_errors=[dict(source="critic", node_id="G1", inference_id="I2", severity="high", message="m", blocking=True)]), {("critic", "m")}),
+}
+ACCEPTED = {"ok", "no coverage", "vague", "declared before", "unused", "hidden", "domain"}
+
+
+def test_all_verifiers(spark):
+    rows = spark.createDataFrame([artifact(k, change) for k, (change, _) in MUTATIONS.items()], ARTIFACT)
+    result = verifyall.verified(rows).cache()
+    got = {k: set() for k in MUTATIONS}
+    for r in verifyall.error_rows(result).collect():
+        got[r.proof_id].add((r.source, r.message))
+    for k, (_, want) in MUTATIONS.items():
+        assert want <= got[k] and (want or not got[k]), (k, got[k])
+    # Besides its own errors, a mutation shows in what follows from them only.
+    after = {("inference_closure", "No verified inference proves this node.")}
+    assert all(got[k] - want <= after for k, (_, want) in MUTATIONS.items() if k not in ("wrong", "twice", "cycle")), got
+    done = {r.proof_id: r for r in result.collect()}
+    assert {k for k, r in done.items() if r.accepted} == ACCEPTED
+    assert done["ok"].obligation_status == {"O1": "pass", "O2": "pass"} and set(done["ok"].node_status.values()) == {"verified"}
+    assert done["critic"].inference_status == {"I1": "verified", "I2": "failed"} and done["no steps"].node_status == {"A1": "verified", "L1": "failed", "G1": "failed"}
