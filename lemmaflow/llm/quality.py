@@ -76,8 +76,15 @@ def worded(docs: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with text (null: empty), words and all of INPUTS, which replace columns of these names."""
-    return worded(docs).withColumns({name: F.expr(sql) for name, sql in INPUTS.items()})
+    """docs with text (null: empty), words and all of INPUTS, which replace columns of these names.
+
+    The same values as INPUTS', with the steps of n_dup_lines and n_repeat_words as columns: Spark compiles those, while
+    what stands in a lambda is interpreted.
+    """
+    d = worded(docs).withColumn("_lines", F.expr(_LINES)).withColumn("_windows", F.expr(_WINDOWS))
+    d = d.withColumns({name: F.expr(INPUTS[name]) for name in ("n_words", "word_chars", "n_symbols")} | {"n_lines": F.expr("cast(size(_lines) as bigint)"), "n_dup_lines": F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)")})
+    d = d.withColumn("s", F.expr(f"case when size(array_distinct(_windows)) < size(_windows) then {_SORTED.replace('(ws,', '(_windows,')} end"))
+    return d.withColumn("n_repeat_words", F.expr(f"cast(case when s is null then 0 else {_COVERED} end as bigint)")).drop("s", "_lines", "_windows")
 
 
 def inlined(rejects: str) -> str:
@@ -142,9 +149,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     extra = [r for r, _, _ in ordered(docs) if r.name not in BASE]
     base = [r for r in RULES if r.name in BASE]
-    # All counts are asked for here, so they are columns; behind a generator each is computed once.
-    counts = F.struct(*[F.expr(sql).alias(name) for name, sql in INPUTS.items()])
-    out = worded(docs).withColumn("_c", counts).select("doc_id", "text", "words", F.inline(F.array("_c")))
+    out = measured(docs)  # all counts are asked for here, so they are columns
     out = out.withColumn("base_failed", reason(base, str).isNotNull())
     out = out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(reason(extra, str).isNull()))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
