@@ -114,7 +114,10 @@ def classed(digest: DataFrame, found: DataFrame, column: str, check: str) -> Dat
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column fingerprint. Null and empty texts share one fingerprint; repeated rows stay."""
+    """docs with a column fingerprint, which replaces one of that name; its other columns stay, whatever their names.
+
+    Null and empty texts share one fingerprint; repeated rows stay; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("digest string, check long")
     def both(t):
@@ -122,8 +125,10 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return pd.DataFrame([digests(canonical(x)) for x in t], columns=["digest", "check"])
 
-    out = docs.withColumn("_both", both(F.col(text))).withColumns({"fingerprint": F.col("_both.digest"), "_check": F.col("_both.check")})
-    return classed(out.drop("_both"), collisions(docs, text), "fingerprint", "_check").drop("_check")
+    out = docs.select(F.struct(*docs.columns).alias("_row"), both(F.col(text)).alias("_both"))
+    out = out.select("_row", F.col("_both.digest").alias("fingerprint"), F.col("_both.check").alias("_check"))
+    out = classed(out, collisions(docs, text), "fingerprint", "_check")
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c != "fingerprint"], "fingerprint")
 
 
 def edited(text: str, after: str) -> str:
@@ -143,8 +148,10 @@ def _compared(doc_id, text, after):
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text and of the next one in descending doc_id.
 
-    Ties in doc_id are ordered by text, null ids come last. Documents are dealt in ranges of doc_id; each
-    range keeps its first and last text, so that the pairs across two ranges are made afterwards.
+    Null and empty texts are one content; repeated rows stay. Ties in doc_id are ordered by a hash of the text, null
+    ids come last; an empty table gives an empty result. Documents are dealt in ranges of doc_id; each range keeps its
+    first and last text, so that the pairs across two ranges are made afterwards. Contents of documents with equal
+    digests are told apart by their bytes; an edited text is held by its digest and check (192 bits together).
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = f"part int, edge string, text binary, {ROW}"

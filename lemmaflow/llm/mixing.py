@@ -31,6 +31,7 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, o
 
     Rounding votes * seats / total puts every party within a few seats of the result; only quotients in that
     reach are ranked, at most about three for each party. Ties go by the order columns. No votes: no seats.
+    A group's parties are ranked in one task: sources, or a source's shards, one for millions of words.
     """
     g = Window.partitionBy(*group)
     share = F.expr(f"case when _all > 0 then floor({votes} * {seats} / _all + 0.5) else 0 end").cast("long")
@@ -110,7 +111,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text, source) with size, source_size, target and taken, the words that the mix takes.
 
     Null text has size 0, null source is a source of its own, of empty sources nothing is taken. Repeated rows
-    are separate documents. An empty table gives an empty result. The text column is only counted.
+    are separate documents. An empty table gives an empty result. The text column is only counted. A document's shard
+    depends on its doc_id alone, so equal and null ids of a source are one shard's: such rows should get ids before.
     """
     return placed_mix(docs, **options).drop("idx", "shard")
 

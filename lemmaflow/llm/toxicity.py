@@ -132,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fit on labelled documents outside the held-out fold (crc32 of doc_id as text, mod 5, is 0).
 
     labels: doc_id, toxic (null: not used). Folds 1 to 3 count words, fold 4 calibrates. Without labels of
-    both kinds the model says that nothing is toxic.
+    both kinds the model says that nothing is toxic. A doc_id with several labels has one of them, documents that
+    repeat an id count each, whole texts are read, null texts have no words. Of units seen twice or more, the UNITS
+    most frequent are kept, so the driver's share is bounded.
     """
     use = labels.filter("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     # At most TRAIN_ROWS rows of two numbers: a broadcast of bounded size, so no text is shuffled.

@@ -360,6 +360,19 @@ def test_op8_brute_force(spark, odd, none, monkeypatch):
     assert fingerprint.fingerprints(none).count() == 0
 
 
+def test_op8_clashes_and_ties(spark, none):
+    """Columns of the operator's own names stay, null and repeated ids keep their rows, an empty table has none."""
+    docs = spark.createDataFrame([(1, "a b", "x", 5, 6), (1, "A  B", "y", 7, 8), (None, None, "z", 9, 0), (None, "", "z", 9, 0)], "doc_id long, text string, fingerprint string, _check int, _both int")
+    out = fingerprint.fingerprints(docs)
+    assert out.columns == ["doc_id", "text", "_check", "_both", "fingerprint"]
+    got = {(r.doc_id, r.text): (r._check, r._both, r.fingerprint) for r in out.collect()}
+    assert got[1, "a b"][:2] == (5, 6) and got[1, "A  B"][:2] == (7, 8) and got[1, "a b"][2] == got[1, "A  B"][2] != got[None, ""][2] == got[None, None][2]
+    for table, n in ((docs.select("doc_id", "text"), 4), (none, 0)):
+        table.write.parquet(path := work_dir(spark, "test-docs") + "/documents.parquet")
+        rows = fingerprint.op8_fingerprint(spark, path.rpartition("/")[0]).collect()
+        assert len(rows) == n and all(r.near_next in (0.0, 1.0) for r in rows)
+
+
 def test_op8_collisions(spark, monkeypatch):
     """Contents of one digest are told apart by their bytes."""
     monkeypatch.setattr(fingerprint, "digests", lambda c: ("0" * 32, zlib.crc32(c)))
@@ -583,3 +596,17 @@ def test_pipeline_brute_force(spark, sf_dir, tmp_path):
         want.append((d, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(t.lib.decode(ids).encode()).hexdigest()))
     assert sorted(want) == sorted(rows[5])
     assert sorted(tuple(r) for r in c.run(spark, sf_dir).collect()) == sorted(want)
+
+
+def test_pipeline_odd_and_empty(spark, odd, none, tmp_path):
+    """Null ids, sources and texts, repeated rows, very long texts and an empty table pass through all stages."""
+    import corpus_pipeline as c
+
+    long = " ".join(f"word{i % 997} and {i}" for i in range(20_000))
+    fine = " ".join(f"plain{i}" for i in range(60))
+    extra = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, fine, None, None, None), (2, fine, None, None, None), (None, fine + " more", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, docs in (("odd", odd.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars")).unionByName(extra)), ("none", extra.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = c.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(len(r.ids_sha256) == 64 and r.n_tokens > 2 for r in got)
+        assert 1 in {r.doc_id for r in got} if name == "odd" else not got
