@@ -20,28 +20,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects, unchanged."""
+    """Documents that no quality rule rejects, unchanged. Null, empty and blank texts are rejected; repeated rows stay."""
     return quality_filter(docs.select(*COLUMNS))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that repeat an earlier one of the corpus; documents that lose all words go."""
+    """Texts without lines that repeat an earlier one of the corpus; documents that lose all words go.
+
+    Earlier means smaller doc_id, null last. Rows equal in doc_id and text are one document. Null texts stay as they are.
+    """
     kept = dedup_lines(docs.select(*COLUMNS)).filter("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return kept.select("doc_id", "text", "lang", "source", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
+    """One document of each group of near duplicates, that with the smallest doc_id. Texts without words are in no group."""
     return representatives(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to the sources' target weights takes it."""
+    """Each document as often as the mix to the sources' target weights takes it. Null sources are one source; texts without words are not taken."""
     return mixed(docs.select(*COLUMNS))
 
 
 def ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix, repeats included."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix, repeats included. Null texts count as empty."""
     return digested(docs)
 
 
