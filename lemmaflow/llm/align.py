@@ -1,10 +1,11 @@
 """Alignment of the tokens of two tokenizers, a byte-level BPE (A) and a SentencePiece model (B).
 
-Texts are cut where a blank stands behind a character that is no white space: both tokenizers end a token there
-(A's pattern starts a new pre-token at such a blank, and no piece of B goes on behind its beginning with a blank), so
-a text's tokens and links are those of its segments, and equal segments are aligned once.
+Texts are cut where a blank, or a newline between two other characters, stands behind a character that is no white space:
+both tokenizers end a token there (A's pattern starts a new pre-token, and no piece of B goes on with a blank or holds
+a newline), so a text's tokens and links are those of its segments, and equal segments are aligned once. For the same reason
+segments can be encoded together, as one text.
 
-In a segment, the libraries' spans give the coarse ends of tokens: A's are character offsets, B's are byte spans of its
+In such a text, the libraries' spans give the coarse ends of tokens: A's are character offsets, B's are byte spans of its
 proto output. Tokens that hold a part of a character (A's pieces of multibyte characters, B's byte fallback) have no end
 of their own there; their ends are refined with the bytes that the
 token decodes to. (The installed sentencepiece calls its immutable proto 'proto'.)
@@ -19,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +28,18 @@ from .common import arrow_schema, batched, rows, staged, table, tokenizer_file
 
 SPACE = "▁"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Segments that a Python worker keeps; longer ones than KEPT characters are not kept. The memory is emptied when full.
-CACHED, KEPT = 200_000, 64
+#: Segments that a Python worker keeps, none longer than KEPT characters: a full memory keeps what it has, mostly frequent ones.
+CACHED, KEPT = 300_000, 64
+#: Segments that are encoded together.
+TOGETHER = 2000
 #: Characters of text after which a block ends. One longer document is a block of its own.
 BLOCK = 500_000
-#: A blank behind anything but white space (Python's, which includes all that A's pattern knows, and U+180E), with something
-#: behind it: B makes no token of an empty text.
-CUT = re.compile(r"(?<=[^\s᠎])(?= .)", re.DOTALL)
-UNCUT = re.compile(r"[\s᠎] ")
+#: White space: Python's, which includes all that A's pattern knows, and U+180E.
+WHITE = r"\s\u180e"
+#: A blank with something behind it (B makes no token of an empty text), or a lone newline.
+CUT = re.compile(rf"(?<=[^{WHITE}])(?= .|\n[^{WHITE}])", re.DOTALL)
+#: Texts without this can be cut by plain splitting.
+UNCUT = re.compile(rf"[{WHITE}][ \n]|\n[{WHITE}]|[{WHITE}]$")
 
 
 def byte_of() -> dict[str, int]:
@@ -47,80 +51,125 @@ def byte_of() -> dict[str, int]:
 class Aligner:
     def __init__(self, byte_level: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        import numpy as np
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         self.b = sp = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        to = byte_of()
-        self.size = {i: len(t) for t, i in self.a.get_vocab().items() if all(c in to for c in t)}
-        self.bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i in range(sp.get_piece_size()) for p in [sp.id_to_piece(i)]]
-        if any(SPACE in p.lstrip(SPACE) for i in range(sp.get_piece_size()) for p in [sp.id_to_piece(i)]):
-            raise ValueError("a piece has a blank behind its beginning: texts cannot be cut at blanks")
+        to, vocabulary = byte_of(), self.a.get_vocab()
+        self.size_a = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size_a[list(vocabulary.values())] = list(map(len, vocabulary))
+        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        self.bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+        self.size_b = np.array(list(map(len, self.bytes)), np.int64)
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p and len(p) > 1 for p in names) or not all(c in to for t in vocabulary for c in t if t not in self.special()):
+            raise ValueError("these tokenizers do not end their tokens where texts are cut")
+        texts = lambda n, by: np.array([f"{i}{by}" for i in range(n)], object)
+        self.text_a = texts(len(self.size_a), ","), texts(len(self.size_a), "|")
+        self.text_b = texts(len(self.bytes), ","), texts(len(self.bytes), ";")
         self.known: dict[str, tuple] = {}
 
+    def special(self) -> set[str]:
+        return {t.content for t in self.a.get_added_tokens_decoder().values()}
+
     @staticmethod
     def cut(text: str) -> list[str]:
         """The segments of a text that begins with a blank."""
-        if text[-1] == " " or UNCUT.search(text):
+        if UNCUT.search(text):
             return CUT.split(text)
-        return [" " + w for w in text[1:].split(" ")]
+        parts = [" " + w for w in text[1:].split(" ")]
+        if "\n" not in text:
+            return parts
+        return [s for p in parts for s in ([p] if "\n" not in p else [(x if i == 0 else "\n" + x) for i, x in enumerate(p.split("\n"))])]
 
-    def align(self, segment: str, a, b) -> tuple | None:
-        """(number of A tokens, B tokens, groups; the groups as text; linked id pairs as a << 32 | b), null if the tokens' bytes differ from the segment's.
+    def together(self, segments: list[str]) -> list[tuple] | None:
+        """For each segment (number of A tokens, B tokens, groups; the groups as text; linked id pairs as a << 32 | b); null if B's
+        tokens do not give back the bytes, or a segment does not end with a token of both.
 
-        a: the segment encoded by A; b: what stands behind its first blank, by B.
+        The first segment begins with a blank; all but the last end with no white space.
         """
-        raw, ids_a, ids_b = segment.encode(), a.ids, [p.id for p in b.pieces]
-        if b"".join([self.bytes[i] for i in ids_b]) != raw:
+        import numpy as np
+
+        text = "".join(segments)
+        raw = text.encode()
+        a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        ids_a, ids_b = np.array(a.ids, np.int64), np.fromiter((p.id for p in b), np.int64, len(b))
+        if b"".join([self.bytes[i] for i in ids_b.tolist()]) != raw:
             return None
-        at = range(len(raw) + 1) if segment.isascii() else [0, *accumulate(len(c.encode()) for c in segment)]
-        ends_a = refined([(at[x], at[y]) for x, y in a.offsets], [self.size[i] for i in ids_a])
-        ends_b = refined([(p.begin + (k > 0), p.end + 1) for k, p in enumerate(b.pieces)], [len(self.bytes[i]) for i in ids_b])
-        if ends_a[-1] != len(raw) or ends_b[-1] != len(raw):
+        at = np.arange(len(raw) + 1)
+        if len(raw) != len(text):  # where each character begins
+            c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            at = np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))])
+        ends_a = refined(at[np.array(a.offsets, np.int64)], self.size_a[ids_a])
+        spans_b = np.array([(p.begin, p.end) for p in b], np.int64) + 1  # the blank before B's text is in no span
+        spans_b[0, 0] = 0
+        ends_b = refined(spans_b, self.size_b[ids_b])
+        borders = np.cumsum([len(s.encode()) for s in segments])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if ends_a[-1] != len(raw) or not np.isin(borders, common, assume_unique=True).all():
             return None
-        groups, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        while i < len(ids_a):
-            links.append(ids_a[i] << 32 | ids_b[j])
-            x, y = ends_a[i], ends_b[j]
-            i, j = i + (x <= y), j + (y <= x)
-            if x == y:
-                groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
-                from_a, from_b = i, j
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups), links
-
-    def segments(self, new: list[str]) -> dict[str, tuple | None]:
-        """Alignments of segments, encoded together."""
-        made = {}
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            a = self.a.encode_batch(part, add_special_tokens=False)
-            b = self.b.encode([s[1:] for s in part], return_type="proto")
-            made |= {s: self.align(s, x, y) for s, x, y in zip(part, a, b)}
-        return made
+        # Between two neighbouring ends lies exactly one pair of overlapping tokens.
+        ends = np.union1d(ends_a, ends_b)
+        links = ids_a[np.searchsorted(ends_a, ends)] << 32 | ids_b[np.searchsorted(ends_b, ends)]
+        closes_a, closes_b = np.isin(ends_a, common, assume_unique=True), np.isin(ends_b, common, assume_unique=True)
+        group = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
+        shown = np.concatenate([np.where(closes_a, self.text_a[1][ids_a], self.text_a[0][ids_a]), np.where(closes_b, self.text_b[1][ids_b], self.text_b[0][ids_b])])
+        shown = shown[np.argsort(group, kind="stable")].tolist()
+        cuts = [np.searchsorted(x, borders, "right") for x in (ends_a, ends_b, common, ends)]
+        n_a, n_b, n_groups = (np.diff(c, prepend=0).tolist() for c in cuts[:3])
+        both, links_to = (cuts[0] + cuts[1]).tolist(), cuts[3].tolist()
+        froms = zip([0, *both], both, [0, *links_to], links_to)
+        return [(x, y, z, "".join(shown[lo:hi])[:-1], links[l0:l1]) for x, y, z, (lo, hi, l0, l1) in zip(n_a, n_b, n_groups, froms)]
+
+    def alone(self, segments: list[str]) -> dict[str, tuple | None]:
+        """Alignments of segments that are encoded together, or in halves where that does not work; null for those whose bytes B does not give back."""
+        # A segment that begins with a newline stands behind another one.
+        own = self.together(segments) if segments[0][0] == " " else (r := self.together([" a", *segments])) and r[1:]
+        if own is not None:
+            return dict(zip(segments, own))
+        if len(segments) == 1:
+            return {segments[0]: None}
+        half = len(segments) // 2
+        return self.alone(segments[:half]) | self.alone(segments[half:])
 
     def of(self, segments: set[str]) -> dict[str, tuple | None]:
         known = self.known
         found = {s: known[s] for s in segments if s in known}
-        made = self.segments([s for s in segments if s not in found])
-        if len(known) > CACHED:
-            known.clear()
-        known.update((s, m) for s, m in made.items() if len(s) <= KEPT)
+        new = [s for s in segments if s not in found]
+        open_ = {s for s in new if UNCUT.search(s)}
+        made = {s: r for s in open_ for r in self.alone([s]).values()}
+        held, size = [], 0
+        for s in new:
+            if s in open_:
+                continue
+            held.append(s)
+            size += len(s)
+            if len(held) >= TOGETHER or size > 50 * TOGETHER:
+                made |= self.alone(held)
+                held, size = [], 0
+        if held:
+            made |= self.alone(held)
+        for s, m in made.items():
+            if len(known) >= CACHED:
+                break
+            if len(s) <= KEPT:
+                known[s] = m
         return found | made
 
 
-def refined(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """Ends of tokens in bytes. spans: the libraries', sizes: how many bytes each token decodes to.
+def refined(spans, sizes):
+    """Ends of tokens in bytes. spans: (begin, end) by the libraries; sizes: how many bytes each token decodes to.
 
-    Where a span goes on from the last token and has the token's size, its end is taken; a token within a character has
-    the whole character's span, or an empty one, and ends behind the bytes that it decodes to.
+    A token whose span has just its bytes ends where the span does. One that holds a part of a character has the whole
+    character's span, or an empty one, and ends behind the bytes that it and those before it decode to.
     """
-    ends, at = [], 0
-    for (start, end), size in zip(spans, sizes):
-        at = end if start == at and end - start == size else at + size
-        ends.append(at)
-    return ends
+    import numpy as np
+
+    decoded = np.cumsum(sizes)
+    own = (spans[:, 1] - spans[:, 0] == sizes) & (spans[:, 1] == decoded)
+    return np.where(own, spans[:, 1], decoded)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -154,7 +203,7 @@ def block_row(t: Aligner, docs: list[tuple]) -> tuple:
     meta = [found[s] for s in place]
     counts = np.array([m[:3] for m in meta], np.int64).reshape(-1, 3)
     sizes = np.array([len(m[4]) for m in meta], np.int64)
-    every = np.fromiter((p for m in meta for p in m[4]), np.int64, int(sizes.sum()))
+    every = np.concatenate([m[4] for m in meta]) if meta else np.zeros(0, np.int64)
     pairs, links = np.unique(every, return_inverse=True)
     seg_at = np.concatenate([[0], np.cumsum(sizes)])
     total, out, doc_at = np.zeros(len(meta), np.int64), [], [0]

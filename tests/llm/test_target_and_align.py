@@ -128,10 +128,17 @@ def test_op13_groups(spark, odd):  # noqa: F811
         assert len(mine) == sums[d].n_groups and sum(len(r.a_ids) for r in mine) == sums[d].n_a
 
 
-@pytest.mark.parametrize("text", ["a b", "word, word.\nnext line"])
-def test_op13_spans_alone(text):
-    """On plain ASCII the libraries' spans are the ends already."""
+@pytest.mark.parametrize("text", ["a b", "word, word.\nnext line", "é 中 😀 a"])
+def test_op13_spans(text):
+    """On plain ASCII the libraries' spans are the ends already; else tokens in a character end by their bytes."""
     t = align.Aligner(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
-    for s in t.cut(" " + text):
-        a = t.a.encode(s, add_special_tokens=False)
-        assert align.refined(a.offsets, [t.size[i] for i in a.ids]) == [e for _, e in a.offsets]
+    a = t.a.encode(" " + text, add_special_tokens=False)
+    at = [0] + [len((" " + text)[: i + 1].encode()) for i in range(len(text) + 1)]
+    ends = align.refined(np.array([(at[x], at[y]) for x, y in a.offsets]), t.size_a[np.array(a.ids)])
+    assert ends.tolist() == np.cumsum(t.size_a[np.array(a.ids)]).tolist() and ends[-1] == len(text.encode()) + 1
+    assert not text.isascii() or ends.tolist() == [e for _, e in a.offsets]
+
+
+def test_op13_cuts():
+    assert align.Aligner.cut(" a b\nc\n\nd  e f ") == [" a", " b", "\nc\n\nd", "  e", " f "]
+    assert align.Aligner.cut(" a b") == [" a", " b"] and align.Aligner.cut(" a\nb") == [" a", "\nb"]
