@@ -162,7 +162,8 @@ def ranked(scored: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS
     of the parts before it, which are as many numbers as there are shuffle partitions.
     """
     spark = scored.sparkSession
-    d = scored.withColumn("out", F.coalesce(F.col("n_words") < min_words, F.lit(True)))
+    # Written first, as the ranges are found by a pass of their own.
+    d = staged(scored, "scored").withColumn("out", F.coalesce(F.col("n_words") < min_words, F.lit(True)))
     order = [F.col("out"), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features")]
     d = staged(d.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("at", 33)
