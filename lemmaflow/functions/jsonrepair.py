@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 import re
 
 from pyspark.sql import Column
@@ -93,7 +94,10 @@ def literal(word: str):
 
 
 class _Stop(ValueError):
-    """The text is no object from that brace on."""
+    """The text is no object from that brace on; nor from those braces behind it that were open (starts) when that showed."""
+
+    def __init__(self, stack):
+        self.starts = {start for *_, start in stack}
 
 
 def forgiving(text: str, start: int) -> tuple[dict, int, bool]:
@@ -103,11 +107,11 @@ def forgiving(text: str, start: int) -> tuple[dict, int, bool]:
     open at the end is closed there, strings included; Python's literals count as JSON's.
     """
     root: dict = {}
-    stack: list[list] = [[root, None]]  # container, key that waits for its value
+    stack: list[list] = [[root, None, start]]  # container, key that waits for its value, where it began
     expect, i = "key", start + 1
 
     def put(value):
-        box, key = stack[-1]
+        box, key, _ = stack[-1]
         if isinstance(box, list):
             box.append(value)
         else:
@@ -131,29 +135,30 @@ def forgiving(text: str, start: int) -> tuple[dict, int, bool]:
             i, expect = i + 1, "value" if isinstance(box, list) else "key"
         elif expect == "key":
             if c != '"':
-                raise _Stop
+                raise _Stop(stack)
             key, i, whole = quoted(text, i + 1)
             if not whole:
                 return root, i, False
             stack[-1][1], expect = key, "colon"
         elif expect == "colon":
             if c != ":":
-                raise _Stop
+                raise _Stop(stack)
             i, expect = i + 1, "value"
         elif expect == "next":
-            raise _Stop
+            raise _Stop(stack)
         elif c in "{[":
             new = {} if c == "{" else []
             put(new)
-            stack.append([new, None])
+            stack.append([new, None, i])
             i, expect = i + 1, "key" if c == "{" else "value"
         elif m := QUOTED_BRACE.match(text, i):  # the quote of the first key stands before the brace
             new = {}
             put(new)
+            brace = i + 1
             key, i, whole = quoted(text, m.end())
             if not whole:
                 return root, i, False
-            stack.append([new, key])
+            stack.append([new, key, brace])
             expect = "colon"
         elif c == '"':
             value, i, _ = quoted(text, i + 1)
@@ -163,7 +168,7 @@ def forgiving(text: str, start: int) -> tuple[dict, int, bool]:
             m = WORD.match(text, i)
             value, known = literal(m[0]) if m else (None, False)
             if not known and not (m and m.end() == len(text)):
-                raise _Stop
+                raise _Stop(stack)
             if known:
                 put(value)
             i, expect = m.end(), "next"
@@ -176,26 +181,32 @@ def found_object(text: str | None):
         return None
     text = FENCE.sub("", text.strip()).translate(str.maketrans(FULL_WIDTH, ASCII))
     closing, open_ = spans(text)
+    bad: set[int] = set()
     for start, end in closing:
+        if start in bad:
+            continue
         value, ok = _loads(text[start:end])
         if ok:
             return value
         try:
             value, at, closed = forgiving(text[start:end], 0)
-        except _Stop:
+        except _Stop as e:
+            bad |= {start + s for s in e.starts}
             continue
         if closed and at == end - start:
             return value
-    for start in sorted({*open_, *(s for s, _ in closing)}):
+    for start in sorted({*open_, *(s for s, _ in closing)} - bad):
+        if start in bad:
+            continue
         try:
             return forgiving(text, start)[0]
-        except _Stop:
-            continue
+        except _Stop as e:
+            bad |= e.starts
     return None
 
 
 def normalized_keys(value):
-    """Keys trimmed, in lower case, with '_' for spaces and hyphens, at every depth."""
+    """Keys trimmed, in lower case, with '_' for spaces and hyphens, at every depth; NaN and infinities null, as JSON has none."""
     done: list = [value]
     todo = [(done, 0)]
     while todo:
@@ -207,6 +218,8 @@ def normalized_keys(value):
         elif isinstance(v, list):
             box[at] = new = list(v)
             todo += [(new, k) for k in range(len(new))]
+        elif isinstance(v, float) and not math.isfinite(v):
+            box[at] = None
     return done[0]
 
 
@@ -226,11 +239,15 @@ def parse(text: str | None):
 
 
 def compact(value) -> str | None:
-    """Minified JSON; None for what is nested deeper than can be written (about a thousand levels)."""
+    """Minified JSON; None for what is nested deeper than can be written (about a thousand levels) or is no JSON (bytes, sets).
+
+    Escaped surrogates are joined where they are pairs; lone ones become U+FFFD.
+    """
     try:
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    except RecursionError:
+        text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    except (RecursionError, TypeError):
         return None
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def extract_flat(text: str | None):

@@ -49,3 +49,32 @@ def inferences(spark: SparkSession, sf_dir: str, back: bool = False) -> DataFram
 
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("proof_id"), F.concat(F.lit("L"), 1 + F.col("o_orderkey") % 7).alias("goal"), F.col("o_orderstatus").alias("order_status"))
+
+
+def one_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(proofs, nodes, inferences): all lines and parts as one graph, for operators/largegraph.py.
+
+    A line is a node (first lines are assumptions), a part another. Line n > 1 follows from the line before it in the
+    order and its part together; its inference is blocked if its return flag is N. A part follows from a first line of at
+    least 49 pieces, and from a later line of flag R. Lines of flag A declare a symbol, inferences of flag R too.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    line = line.select("*", F.expr("concat('o', l_orderkey, '.', l_linenumber)").alias("id"), F.concat(F.lit("p"), "l_partkey").alias("part"), F.lit("all").alias("proof_id"))
+    symbol = lambda c, n: f"concat('s', cast({c} as bigint) % {n})"
+    nodes = line.select("proof_id", "id", F.expr("if(l_linenumber = 1, 'assumption', 'lemma')").alias("node_type"), F.expr(f"if(l_returnflag = 'A', array({symbol('l_suppkey', 5)}), array())").alias("declares"), F.expr(f"concat({symbol('l_partkey', 7)}, ' = y')").alias("claim_formal"))
+    none = F.array().cast("array<string>")
+    parts = line.select("proof_id", F.col("part").alias("id")).distinct().select("proof_id", "id", F.lit("lemma").alias("node_type"), none.alias("declares"), F.lit(None).cast("string").alias("claim_formal"))
+    steps = line.filter("l_linenumber > 1").select(
+        "proof_id",
+        F.expr("concat('i', substring(id, 2), '.', l_partkey)").alias("id"),
+        F.expr("array(concat('o', l_orderkey, '.', l_linenumber - 1), part)").alias("deps"),
+        F.col("id").alias("conclusion"),
+        F.expr("l_returnflag = 'N'").alias("blocked"),
+        F.expr(f"if(l_returnflag = 'R', array({symbol('l_quantity', 5)}), array())").alias("declares"),
+        F.expr(f"map('k', {symbol('l_suppkey', 7)})").alias("instantiation"),
+    )
+    given = line.filter("l_linenumber = 1 and l_quantity >= 49 or l_linenumber > 1 and l_returnflag = 'R'").select(
+        "proof_id", F.expr("concat('j', substring(id, 2), '.', l_partkey)").alias("id"), F.array("id").alias("deps"), F.col("part").alias("conclusion"), F.lit(False).alias("blocked"), none.alias("declares"), F.expr("cast(null as map<string,string>)").alias("instantiation")
+    )
+    proofs = spark.range(1).select(F.lit("all").alias("proof_id"), F.lit("s0 + s6 = y").alias("goal_symbolic"), F.array(F.lit("y")).alias("base"))
+    return proofs, nodes.unionByName(parts), steps.unionByName(given)

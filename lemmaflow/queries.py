@@ -12,10 +12,12 @@ from pyspark.sql.window import Window
 
 from .functions import jsonrepair, symbolic
 from .functions import text as T
-from .operators import graph, linear, normalize, schema, verdict, verifyall
+from .operators import attempts, graph, largegraph, linear, normalize, schema, verdict, verifyall
 from .plans import projection as P
 from .plans.projection import table
 from .sources.artifacts import THEOREMS
+from .sources.memo import Memo
+from .sources.staging import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -397,3 +399,93 @@ def run_all_verifiers(spark, d):
     )
     out = verifyall.verified(p).select("proof_id", F.explode_outer("errors").alias("e"))
     return out.groupBy("proof_id", F.coalesce("e.source", F.lit("none")).alias("source")).agg(F.count("e").alias("n"))
+
+
+#: The graph of projection.one_graph: its lines, and (dep, other dep or the same, conclusion) of its inferences with blocked.
+ONE_GRAPH = """l AS (SELECT 'o' || l_orderkey || '.' || l_linenumber AS id, 'o' || l_orderkey || '.' || (l_linenumber - 1) AS before, 'p' || l_partkey AS part, l_linenumber AS n, l_quantity AS q, l_returnflag AS f, l_suppkey AS supp, l_partkey AS pk FROM lineitem),
+inf AS (SELECT before AS a, part AS b, id AS c, f = 'N' AS blocked FROM l WHERE n > 1 UNION ALL SELECT id, id, part, false FROM l WHERE n = 1 AND q >= 49 OR n > 1 AND f = 'R'),
+e AS (SELECT DISTINCT * FROM (SELECT a AS dep, b AS other, c, blocked FROM inf UNION ALL SELECT b, a, c, blocked FROM inf))"""
+
+
+@query(f"""WITH RECURSIVE {ONE_GRAPH},
+v(id, k) USING KEY (id) AS (SELECT DISTINCT id, 0 FROM l WHERE n = 1
+  UNION SELECT DISTINCT e.c, 0 FROM v JOIN e ON e.dep = v.id AND NOT e.blocked JOIN recurring.v AS o ON o.id = e.other WHERE e.c NOT IN (SELECT id FROM recurring.v))
+SELECT id FROM (SELECT id FROM l WHERE n > 1 UNION SELECT part FROM l) WHERE id NOT IN (SELECT id FROM v)""")
+def large_closure_misses(spark, d):
+    """Nodes of one graph over all lines and parts that nothing derives."""
+    _, nodes, inferences = P.one_graph(spark, d)
+    return largegraph.closure_misses(nodes, inferences).select("id")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS p, max(l_linenumber) AS m, count(DISTINCT l_linenumber) FILTER (l_linenumber > 1) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT p AS proof_id, m::BIGINT AS length, 'L' || CASE WHEN k = 1 THEN m ELSE k - 1 END AS u, 'L' || k AS v FROM (SELECT *, unnest(range(1, m + 1)) AS k FROM l WHERE n = m - 1)""")
+def cycle_witness(spark, d):
+    """The edges of a cycle of each cyclic proof: back from the last line to the first, and all lines between."""
+    return largegraph.witness_cycles(largegraph.edges_of(P.inferences(spark, d, back=True)))
+
+
+@query(f"""WITH RECURSIVE {ONE_GRAPH},
+own AS (SELECT id, 's' || supp % 5 AS s FROM l WHERE f = 'A' UNION SELECT id, 's' || q::BIGINT % 5 FROM l WHERE n > 1 AND f = 'R'),
+d AS (SELECT id, s FROM own UNION SELECT e.c, d.s FROM d JOIN e ON e.dep = d.id)
+SELECT 'goal' AS kind, NULL::VARCHAR AS node_id, NULL::VARCHAR AS inference_id, 'goal' AS label, unnest(['s0', 's6']) AS symbol
+UNION ALL SELECT DISTINCT 'node', id, NULL, 'claim_formal', 's' || pk % 7 FROM l WHERE (id, 's' || pk % 7) NOT IN (SELECT id, s FROM d)
+UNION ALL SELECT DISTINCT 'inference', id, 'i' || substr(id, 2) || '.' || pk, 'k', 's' || supp % 7 FROM l
+  WHERE n > 1 AND NOT (f = 'R' AND q::BIGINT % 5 = supp % 7) AND (before, 's' || supp % 7) NOT IN (SELECT id, s FROM d) AND (part, 's' || supp % 7) NOT IN (SELECT id, s FROM d)""")
+def large_undeclared(spark, d):
+    """Symbols of formal texts in one graph over all lines and parts that nothing declares, by kind."""
+    return largegraph.undeclared(*P.one_graph(spark, d)).drop("proof_id")
+
+
+#: A graph artifact and damages to it: (what stands there, what instead), K for props' k and PROPS for props; the violations
+#: that follow, as path and message with K for k.
+ARTIFACT = '{"proof_id":"p","nodes":[{"id":"A","node_type":"goal","claim":"c","status":"planned","covers_obligations":["O1"]}],"inferences":[{"id":"I","premise_nodes":["A"],"conclusion_node":"A","rule_refs":["r"],"side_condition_nodes":[],"relation":"proves","status":"verified"}],"more":PROPS}'
+STATUSES = "['planned', 'proven', 'verified', 'failed', 'patched'"
+DAMAGES = (
+    ('"more"', '"more"'),
+    ('"proof_id":"p",', "", ("<root>", "'proof_id' is a required property")),
+    ('"proof_id":"p"', '"proof_id":K', ("proof_id", "K is not of type 'string'")),
+    ('"planned"', '"proof_failed"', ("nodes.0.status", f"'proof_failed' is not one of {STATUSES}, 'source']")),
+    ('["O1"]', '["O1",K]', ("nodes.0.covers_obligations.1", "K is not of type 'string'")),
+    ('"nodes":[', '"nodes":[K,', ("nodes.0", "K is not of type 'object'")),
+    ('["r"]', "PROPS", ("inferences.0.rule_refs", '{"k":K} is not of type \'array\'')),
+    ('"more"', '"current_graph_version":K.5,"more"', ("current_graph_version", "K.5 is not of type 'integer'")),
+    ('"id":"A","node_type":"goal",', "", ("nodes.0", "'id' is a required property"), ("nodes.0", "'node_type' is a required property")),
+    ('"more"', "", ("<root>", "no JSON")),
+    ('"proof_id":"p"', '"proof_id":null', ("proof_id", "None is not of type 'string'")),
+    ('"verified"', "true", ("inferences.0.status", "True is not of type 'string'"), ("inferences.0.status", f"True is not one of {STATUSES}]")),
+    ('"claim":"c","status":"planned"', '"status":K', ("nodes.0", "'claim' is a required property"), ("nodes.0.status", "K is not of type 'string'"), ("nodes.0.status", f"K is not one of {STATUSES}, 'source']")),
+)
+_q = lambda s: "'" + s.replace("'", "''") + "'"
+DAMAGE_SQL = ", ".join(f"({i}, {n}, {_q(path)}, {_q(message)})" for i, (_, _, *found) in enumerate(DAMAGES) for n, (path, message) in enumerate(found, 1))
+
+
+@query(f"""SELECT event_id, n::INTEGER AS n, path, replace(message, 'K', props::JSON->>'k') AS message FROM events JOIN (VALUES {DAMAGE_SQL}) t(kind, n, path, message) ON event_id % {len(DAMAGES)} = kind""")
+def schema_messages(spark, d):
+    """Violations of graph artifacts with props in them, damaged by event_id: in order of paths, with messages."""
+    k = F.get_json_object("props", "$.k")
+    damage = F.create_map(*[c for i, (a, b, *_) in enumerate(DAMAGES) for c in (F.lit(i), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+    e = table(spark, d, "events").select("event_id", "props", damage[(F.col("event_id") % len(DAMAGES)).cast("int")].alias("x"))
+    e = e.select("event_id", F.replace(F.replace(F.replace(F.lit(ARTIFACT), F.col("x.a"), F.col("x.b")), F.lit("PROPS"), F.col("props")), F.lit("K"), k).alias("artifact"))
+    e = schema.checked(e, "artifact", schema.GRAPH).select("event_id", F.posexplode(schema.by_path("violations")).alias("n", "e"))
+    return e.select("event_id", (F.col("n") + 1).alias("n"), F.expr(schema.joined_path("e.path", ".")).alias("path"), F.col("e.message").alias("message"))
+
+
+@query("""WITH r AS (SELECT conv_id, string_agg(CASE WHEN length(text) > 150 THEN 'V' WHEN length(text) % 3 = 0 THEN 'L' ELSE 'I' END, '' ORDER BY turn) AS s, list(turn ORDER BY turn) AS turns FROM conversations WHERE role = 'assistant' GROUP BY 1),
+c AS (SELECT *, conv_id % 2 = 0 AS compact, CASE WHEN conv_id % 2 = 0 THEN regexp_extract(s, '^(V|[LI](V|L|I(V|L|I[VLI])))') ELSE regexp_extract(s, '^(V|L|I(V|L|I[VLI]))') END AS used FROM r)
+SELECT conv_id, CASE WHEN suffix(used, 'V') THEN turns[len(used)] END AS chosen, (CASE WHEN used = '' THEN len(s) ELSE len(used) END - (compact AND s[1] <> 'V')::INT)::INT AS attempts,
+  CASE WHEN used = '' THEN len(s) ELSE len(used) END::INT AS calls, CASE WHEN used = '' THEN 'open' WHEN suffix(used, 'L') THEN 'error' WHEN suffix(used, 'I') THEN 'exhausted' END AS failure FROM c""")
+def attempt_ladder(spark, d):
+    """Assistant turns as the recorded responses of one generation for each conversation: long ones are valid, some did not fit."""
+    r = table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", F.col("turn").alias("order"), F.expr("case when length(text) > 150 then 'valid' when length(text) % 3 = 0 then 'too_long' else 'invalid' end").alias("outcome"), F.expr("conv_id % 2 = 0").alias("compact"))
+    return attempts.ladder(r, ["conv_id"]).drop("prompts")
+
+
+@query(rf"""WITH s AS (SELECT DISTINCT text, unnest({NAMES}) AS s FROM documents), n AS (SELECT text, count(DISTINCT s) AS n FROM s WHERE s NOT IN ({BUILTIN_SQL}) GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::INTEGER AS n_symbols, EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.text = d.text) AS reused FROM documents d LEFT JOIN n USING (text)""")
+def memo_second_run(spark, d):
+    """Symbols of all documents in a second run, after a first one over every second document."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    memo = Memo(spark, shared_folder(spark, "memo"), "n_symbols int")
+    found = lambda df: df.select("key", F.size(T.symbols("text")).alias("n_symbols"))
+    memo.run(docs.filter("doc_id % 2 = 0"), ["text"], "first", found)
+    return memo.run(docs, ["text"], "second", found).drop("text")
