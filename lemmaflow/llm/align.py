@@ -29,11 +29,11 @@ from .common import arrow_schema, batched, rows, staged, table, tokenizer_file
 SPACE = "▁"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments that a Python worker keeps, none longer than KEPT characters: a full memory keeps what it has, mostly frequent ones.
-CACHED, KEPT = 300_000, 64
+CACHED, KEPT = 250_000, 64
 #: Segments that are encoded together.
 TOGETHER = 2000
 #: Characters of text after which a block ends. One longer document is a block of its own.
-BLOCK = 500_000
+BLOCK = 1_500_000
 #: White space: Python's, which includes all that A's pattern knows, and U+180E.
 WHITE = r"\s\u180e"
 #: A blank with something behind it (B makes no token of an empty text), or a lone newline.
@@ -77,15 +77,18 @@ class Aligner:
     @staticmethod
     def cut(text: str) -> list[str]:
         """The segments of a text that begins with a blank."""
-        if UNCUT.search(text):
-            return CUT.split(text)
+        return Aligner.cut_plain(text) if not UNCUT.search(text) else CUT.split(text)
+
+    @staticmethod
+    def cut_plain(text: str) -> list[str]:
+        """As cut(), of a text without UNCUT."""
         parts = [" " + w for w in text[1:].split(" ")]
         if "\n" not in text:
             return parts
         return [s for p in parts for s in ([p] if "\n" not in p else [(x if i == 0 else "\n" + x) for i, x in enumerate(p.split("\n"))])]
 
     def together(self, segments: list[str]) -> list[tuple] | None:
-        """For each segment (number of A tokens, B tokens, groups; the groups as text; linked id pairs as a << 32 | b); null if B's
+        """For each segment (number of A tokens, B tokens, groups; the groups as text; linked id pairs, a << 32 | b, packed); null if B's
         tokens do not give back the bytes, or a segment does not end with a token of both.
 
         The first segment begins with a blank; all but the last end with no white space.
@@ -102,26 +105,28 @@ class Aligner:
         if len(raw) != len(text):  # where each character begins
             c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             at = np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))])
-        ends_a = refined(at[np.array(a.offsets, np.int64)], self.size_a[ids_a])
-        spans_b = np.array([(p.begin, p.end) for p in b], np.int64) + 1  # the blank before B's text is in no span
-        spans_b[0, 0] = 0
-        ends_b = refined(spans_b, self.size_b[ids_b])
+        ends_a = refined(at[np.fromiter((e for _, e in a.offsets), np.int64, len(ids_a))], self.size_a[ids_a])
+        # The blank before B's text is in no span.
+        ends_b = refined(np.fromiter((p.end for p in b), np.int64, len(b)) + 1, self.size_b[ids_b])
         borders = np.cumsum([len(s.encode()) for s in segments])
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        if ends_a[-1] != len(raw) or not np.isin(borders, common, assume_unique=True).all():
+        if ends_a[-1] != len(raw) or ends_b[-1] != len(raw):
             return None
-        # Between two neighbouring ends lies exactly one pair of overlapping tokens.
-        ends = np.union1d(ends_a, ends_b)
-        links = ids_a[np.searchsorted(ends_a, ends)] << 32 | ids_b[np.searchsorted(ends_b, ends)]
-        closes_a, closes_b = np.isin(ends_a, common, assume_unique=True), np.isin(ends_b, common, assume_unique=True)
-        group = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
-        shown = np.concatenate([np.where(closes_a, self.text_a[1][ids_a], self.text_a[0][ids_a]), np.where(closes_b, self.text_b[1][ids_b], self.text_b[0][ids_b])])
+        is_a, is_b = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+        is_a[ends_a], is_b[ends_b] = True, True
+        is_common, ends = is_a & is_b, np.flatnonzero(is_a | is_b)
+        if not is_common[borders].all():
+            return None
+        # Numbers of ends up to each byte. Between two neighbouring ends lies exactly one pair of overlapping tokens.
+        to_a, to_b, to_common, to_any = (np.cumsum(x) for x in (is_a, is_b, is_common, is_a | is_b))
+        links = ids_a[to_a[ends - 1]] << 32 | ids_b[to_b[ends - 1]]
+        group = np.concatenate([2 * to_common[ends_a - 1], 2 * to_common[ends_b - 1] + 1])
+        shown = np.concatenate([np.where(is_b[ends_a], self.text_a[1][ids_a], self.text_a[0][ids_a]), np.where(is_a[ends_b], self.text_b[1][ids_b], self.text_b[0][ids_b])])
         shown = shown[np.argsort(group, kind="stable")].tolist()
-        cuts = [np.searchsorted(x, borders, "right") for x in (ends_a, ends_b, common, ends)]
+        cuts = [x[borders] for x in (to_a, to_b, to_common, to_any)]
         n_a, n_b, n_groups = (np.diff(c, prepend=0).tolist() for c in cuts[:3])
         both, links_to = (cuts[0] + cuts[1]).tolist(), cuts[3].tolist()
         froms = zip([0, *both], both, [0, *links_to], links_to)
-        return [(x, y, z, "".join(shown[lo:hi])[:-1], links[l0:l1]) for x, y, z, (lo, hi, l0, l1) in zip(n_a, n_b, n_groups, froms)]
+        return [(x, y, z, "".join(shown[lo:hi])[:-1], links[l0:l1].tobytes()) for x, y, z, (lo, hi, l0, l1) in zip(n_a, n_b, n_groups, froms)]
 
     def alone(self, segments: list[str]) -> dict[str, tuple | None]:
         """Alignments of segments that are encoded together, or in halves where that does not work; null for those whose bytes B does not give back."""
@@ -134,15 +139,14 @@ class Aligner:
         half = len(segments) // 2
         return self.alone(segments[:half]) | self.alone(segments[half:])
 
-    def of(self, segments: set[str]) -> dict[str, tuple | None]:
-        known = self.known
-        found = {s: known[s] for s in segments if s in known}
-        new = [s for s in segments if s not in found]
-        open_ = {s for s in new if UNCUT.search(s)}
-        made = {s: r for s in open_ for r in self.alone([s]).values()}
-        held, size = [], 0
-        for s in new:
-            if s in open_:
+    def of(self, segments: list[str], loose: set[str]) -> list[tuple | None]:
+        """Alignments of distinct segments. loose: those that may not stand before others in one text."""
+        known, made, held, size = self.known, {}, [], 0
+        for s in segments:
+            if s in known:
+                continue
+            if s in loose:
+                made |= self.alone([s])
                 continue
             held.append(s)
             size += len(s)
@@ -151,25 +155,25 @@ class Aligner:
                 held, size = [], 0
         if held:
             made |= self.alone(held)
+        out = [made[s] if s in made else known[s] for s in segments]
         for s, m in made.items():
             if len(known) >= CACHED:
                 break
             if len(s) <= KEPT:
                 known[s] = m
-        return found | made
+        return out
 
 
-def refined(spans, sizes):
-    """Ends of tokens in bytes. spans: (begin, end) by the libraries; sizes: how many bytes each token decodes to.
+def refined(coarse, sizes):
+    """Ends of tokens in bytes. coarse: the ends of the libraries' spans; sizes: how many bytes each token decodes to.
 
-    A token whose span has just its bytes ends where the span does. One that holds a part of a character has the whole
-    character's span, or an empty one, and ends behind the bytes that it and those before it decode to.
+    A token that ends with a character ends where its span does. One that ends within a character has a span to
+    that character's end, or to its beginning, and ends behind the bytes that it and those before it decode to.
     """
     import numpy as np
 
     decoded = np.cumsum(sizes)
-    own = (spans[:, 1] - spans[:, 0] == sizes) & (spans[:, 1] == decoded)
-    return np.where(own, spans[:, 1], decoded)
+    return np.where(coarse == decoded, coarse, decoded)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -188,6 +192,14 @@ BLOCKS = (
 )
 
 
+class Places(dict):
+    """Segment to its number, in the order of appearance."""
+
+    def __missing__(self, segment):
+        self[segment] = n = len(self)
+        return n
+
+
 def block_row(t: Aligner, docs: list[tuple]) -> tuple:
     """A row of BLOCKS of documents (doc_id, text).
 
@@ -196,27 +208,35 @@ def block_row(t: Aligner, docs: list[tuple]) -> tuple:
     """
     import numpy as np
 
-    cuts = [[] if not x or SPACE in x else t.cut(" " + x) for _, x in docs]
-    found = t.of({s for c in cuts for s in c})
-    cuts = [c if all(map(found.__getitem__, c)) else [] for c in cuts]
-    place = {s: k for k, s in enumerate(dict.fromkeys(s for c in cuts for s in c))}
-    meta = [found[s] for s in place]
+    place, loose, ids = Places(), set(), []
+    for _, x in docs:
+        cut = []
+        if x and SPACE not in x:
+            if UNCUT.search(x := " " + x):
+                cut = CUT.split(x)
+                loose |= {s for s in cut if UNCUT.search(s)}
+            else:
+                cut = t.cut_plain(x)
+        ids.append(np.fromiter(map(place.__getitem__, cut), np.int64, len(cut)))
+    found = t.of(list(place), loose)
+    bad = np.array([m is None for m in found], bool)
+    ids = [i if not bad[i].any() else i[:0] for i in ids]
+    meta = [m or (0, 0, 0, "", b"") for m in found]
     counts = np.array([m[:3] for m in meta], np.int64).reshape(-1, 3)
-    sizes = np.array([len(m[4]) for m in meta], np.int64)
-    every = np.concatenate([m[4] for m in meta]) if meta else np.zeros(0, np.int64)
-    pairs, links = np.unique(every, return_inverse=True)
+    texts = np.array([m[3] for m in meta], object)
+    sizes = np.array([len(m[4]) // 8 for m in meta], np.int64)
+    pairs, links = np.unique(np.frombuffer(b"".join([m[4] for m in meta]), np.int64), return_inverse=True)
     seg_at = np.concatenate([[0], np.cumsum(sizes)])
-    total, out, doc_at = np.zeros(len(meta), np.int64), [], [0]
+    total, doc_at = np.zeros(len(meta), np.int64), [0]
     segs, times, shas, numbers = [], [], [], []
-    for c in cuts:
-        ids = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
-        own, n = np.unique(ids, return_counts=True)
+    for i in ids:
+        own, n = np.unique(i, return_counts=True)
         total[own] += n
         segs.append(own)
         times.append(n)
         doc_at.append(doc_at[-1] + len(own))
-        numbers.append([*(n @ counts[own]).tolist(), int(n @ sizes[own])] if len(c) else [0, 0, 0, 0])
-        shas.append(hashlib.sha256(";".join([found[s][3] for s in c]).encode()).hexdigest() if c else "")
+        numbers.append([*(n @ counts[own]).tolist(), int(n @ sizes[own])] if len(i) else [0, 0, 0, 0])
+        shas.append(hashlib.sha256(";".join(texts[i].tolist()).encode()).hexdigest() if len(i) else "")
     n_pairs = np.bincount(links, weights=np.repeat(total, sizes), minlength=len(pairs)).astype(np.int64) if len(pairs) else []
     join = lambda parts: np.concatenate(parts).astype(np.int32) if parts else []
     return (os.urandom(16).hex(), [d for d, _ in docs], *map(list, zip(*numbers)), shas, doc_at, join(segs), join(times), seg_at.astype(np.int32), links.astype(np.int32), pairs, n_pairs)
@@ -308,8 +328,9 @@ def groups(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
         def records():
             for d, x in rows(batches, "doc_id", "text"):
                 cut = [] if not x or SPACE in x else t.cut(" " + x)
-                found = t.of(set(cut))
-                if all(found[s] for s in cut):
+                names = list(dict.fromkeys(cut))
+                found = dict(zip(names, t.of(names, {s for s in names if UNCUT.search(s)})))
+                if all(found.values()):
                     every = (g for s in cut for g in found[s][3].split(";"))
                     yield from ((d, k, *([int(i) for i in side.split(",")] for side in g.split("|"))) for k, g in enumerate(every))
 
