@@ -1,4 +1,4 @@
-"""From error rows to ids, statuses and a verdict.
+"""From error rows to ids, gates and reports, and the verdict on whole proofs whose errors are known (verifyall.py finds them).
 
 errors: proof_id, phase, ord, source, node_id, inference_id, severity, blocking.
 """
@@ -25,21 +25,6 @@ def after_schema_gate(errors: DataFrame) -> DataFrame:
     return errors.join(stopped, "proof_id", "left").filter("stopped is null or source = 'json_schema'").drop("stopped")
 
 
-def obligation_status(proofs: DataFrame, nodes: DataFrame, obligations: list[str], blocked: DataFrame) -> DataFrame:
-    """proof_id, obligation, status: pass if a node that no error blocks covers it, fail if only blocked
-    nodes do, else pending."""
-    wanted = proofs.select("proof_id", F.explode(F.array(*map(F.lit, obligations))).alias("obligation"))
-    b = blocked.select("proof_id", F.col("node_id").alias("id")).distinct().withColumn("blocked", F.lit(True))
-    covers = nodes.select("proof_id", "id", F.explode("covers").alias("obligation")).join(b, ["proof_id", "id"], "left").groupBy("proof_id", "obligation").agg(F.bool_or(F.col("blocked").isNull()).alias("free"))
-    return wanted.join(covers, ["proof_id", "obligation"], "left").select("proof_id", "obligation", F.when(F.col("free"), "pass").when(~F.col("free"), "fail").otherwise("pending").alias("status"))
-
-
-def verdicts(proofs: DataFrame, errors: DataFrame) -> DataFrame:
-    """proof_id, n_errors, n_blocking, accepted."""
-    counts = errors.groupBy("proof_id").agg(F.count("*").alias("n_errors"), F.count_if(F.expr(BLOCKING)).alias("n_blocking"))
-    return proofs.join(counts, "proof_id", "left").select("proof_id", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), F.coalesce("n_blocking", F.lit(0)).alias("n_blocking"), (F.coalesce("n_blocking", F.lit(0)) == 0).alias("accepted"))
-
-
 def severity_report(errors: DataFrame) -> DataFrame:
     return errors.groupBy("source", "severity").agg(F.count("*").alias("n"), F.count_distinct("proof_id").alias("n_proofs"))
 

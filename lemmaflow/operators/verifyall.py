@@ -5,10 +5,10 @@ Input: proof_id, and typed nested columns
   contract  struct<obligations:array<struct<id>>, allowed_references, forbidden_moves:array<string>>
   graph     struct<goal_node_id, nodes:array<NODE>, inferences:array<INFERENCE>>
   schema_errors   array<string> (paths of violations; any of them suppresses all further checks)
-  critic_errors   array<ERROR> (rows of the critics' responses)
+  critic_errors   array<ERROR> (rows of the critics' responses: those about an inference come behind the context's rows, the others before)
 Null arrays and maps count as empty. Proofs are a few nodes, so every check is a fold over a row's arrays: no
-shuffle, and only formal claims go to Python. A fixpoint takes as many steps as the proof has inferences, each over all
-of them, so a proof of n nodes costs n cubed; for proofs of thousands of nodes use the joins in graph.py.
+shuffle, and only formal claims go to Python. A fixpoint takes as many steps as the proof is deep, each over all
+inferences; for proofs of thousands of nodes use the joins of largegraph.py.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from ..functions import symbolic
 from ..functions.text import BUILTINS, VAGUE_GRAPH
 from .graph import SOURCE_TYPES
 
-NODE = "struct<id:string,node_type:string,status:string,claim:string,claim_formal:string,covers_obligations:array<string>,statements:array<string>,declarations:array<string>>"
+PROOF = "struct<format:string,steps:array<struct<statement:string,reason:string,refs:array<string>>>>"
+NODE = f"struct<id:string,node_type:string,status:string,claim:string,claim_formal:string,covers_obligations:array<string>,proof_body:{PROOF},declarations:array<string>>"
 INFERENCE = "struct<id:string,premise_nodes:array<string>,side_condition_nodes:array<string>,conclusion_node:string,rule_refs:array<string>,instantiation:map<string,string>,declarations:array<string>>"
 ERROR = "struct<source:string,node_id:string,inference_id:string,severity:string,message:string,blocking:boolean>"
 NONE = "cast(array() as array<string>)"
@@ -55,12 +56,17 @@ def words(text: str) -> str:
     return f"regexp_extract_all({text}, '([A-Za-z_]+|[一-鿿]+)', 1)"
 
 
+def once(d: DataFrame) -> DataFrame:
+    """d behind a generator: else the optimizer writes a column's expression out wherever it is used further on."""
+    return d.select(F.inline(F.array(F.struct(*d.columns))))
+
+
 def filled(df: DataFrame) -> DataFrame:
     """The parts of the nested columns as columns, null lists empty."""
     list_of = lambda path, kind: f"coalesce({path}, cast(array() as array<{kind}>))"
-    node = "named_struct('id', n.id, 'node_type', n.node_type, 'status', n.status, 'claim', coalesce(n.claim, ''), 'claim_formal', n.claim_formal, 'covers', " + f"coalesce(n.covers_obligations, {NONE}), 'said', coalesce(n.statements, {NONE}), 'declares', coalesce(n.declarations, {NONE}), 'source', coalesce(n.node_type in {SOURCES}, false))"
+    node = "named_struct('id', n.id, 'node_type', n.node_type, 'status', n.status, 'claim', coalesce(n.claim, ''), 'claim_formal', n.claim_formal, 'covers', " + f"coalesce(n.covers_obligations, {NONE}), 'said', coalesce(n.proof_body.steps.statement, {NONE}), 'body', lower(to_json(n.proof_body)), 'declares', coalesce(n.declarations, {NONE}), 'source', coalesce(n.node_type in {SOURCES}, false))"
     inf = f"named_struct('id', f.id, 'deps', concat(coalesce(f.premise_nodes, {NONE}), coalesce(f.side_condition_nodes, {NONE})), 'conclusion', f.conclusion_node, 'rules', coalesce(f.rule_refs, {NONE}), 'made', map_entries(coalesce(f.instantiation, cast(map() as map<string,string>))), 'declares', coalesce(f.declarations, {NONE}))"
-    d = df.select(
+    d = once(df.select("proof_id", "problem", "contract", "graph", "schema_errors", "critic_errors")).select(
         "proof_id", "problem", "contract", "graph",
         F.expr(list_of("schema_errors", "string")).alias("schema_errors"), F.expr(list_of("critic_errors", ERROR)).alias("critic_errors"),
         F.expr(each(list_of("graph.nodes", NODE), "n", node)).alias("nodes"), F.expr(each(list_of("graph.inferences", INFERENCE), "f", inf)).alias("infs"),
@@ -71,20 +77,22 @@ def filled(df: DataFrame) -> DataFrame:
         F.expr("lower(to_json(graph))").alias("dump"), F.col("graph.goal_node_id").alias("goal"),
     )
     # Of nodes with one id, the last one is meant.
-    return d.withColumns({"ids": F.expr("transform(nodes, n -> n.id)"), "by_id": F.expr("map_from_entries(transform(array_distinct(transform(nodes, n -> n.id)), i -> struct(i, element_at(filter(nodes, n -> n.id = i), -1))))")})
+    return once(d).withColumns({"ids": F.expr("transform(nodes, n -> n.id)"), "by_id": F.expr("map_from_entries(transform(array_distinct(transform(nodes, n -> n.id)), i -> struct(i, element_at(filter(nodes, n -> n.id = i), -1))))")})
 
 
 def structural() -> list[str]:
     """The checks of a graph's structure, in order; each an array of errors."""
     known = "named_struct('id', x.id, 'names', array_distinct(concat(x.names, flatten(transform(filter(infs, f -> f.conclusion = x.id), f -> concat(f.declares, flatten(transform(filter(k, y -> array_contains(f.deps, y.id)), y -> y.names))))))))"
     start = "transform(map_values(by_id), n -> named_struct('id', n.id, 'names', array_distinct(concat(base, n.declares))))"
-    declared = f"aggregate(sequence(1, greatest(1, size(infs))), {start}, (k, i) -> transform(k, x -> {known}))"
+    # Only texts that use symbols need the fixpoint.
+    formal = "exists(nodes, n -> n.claim_formal <> '') or exists(infs, f -> size(f.made) > 0)"
+    declared = f"case when {formal} then aggregate(sequence(1, greatest(1, size(infs))), {start}, (k, i) -> transform(k, x -> {known})) else filter({start}, x -> false) end"
     of = lambda i: f"coalesce(flatten(transform(filter(declared, y -> {i}), y -> y.names)), {NONE})"
     missing = lambda text, have: f"array_except({names(text)}, {have})"
     undeclared = lambda text, have, node, inference, label: when(f"size({missing(text, have)}) > 0", error("structural", node, inference, "'high'", f"concat({label}, ' uses undeclared: ', array_join({missing(text, have)}, ', '))"))
     inference_have = f"concat(base, f.declares, {of('array_contains(f.deps, y.id)')})"
     ends = "array_distinct(concat(ids, flatten(transform(infs, f -> array_append(f.deps, f.conclusion)))))"
-    left = f"aggregate(sequence(1, greatest(1, size({ends}))), {ends}, (l, i) -> filter(l, n -> exists(infs, f -> f.conclusion = n and arrays_overlap(f.deps, l))))"
+    left = until_still(ends, "filter(l, n -> exists(infs, f -> f.conclusion = n and arrays_overlap(f.deps, l)))", "l", f"size({ends})")
     goal_text = "coalesce(nullif(problem.goal.text, ''), problem.goal.symbolic, '')"
     vague = "array(" + ", ".join(f"'{t}'" for t in VAGUE_GRAPH) + ")"
     some = "exists(nodes, n -> size(n.covers) > 0)"
@@ -123,7 +131,7 @@ def structural() -> list[str]:
             "concat("
             + when("not n.source and not coalesce(n.id = goal, false) and not exists(infs, f -> f.conclusion = n.id)", error("structural", "n.id", "null", "'medium'", "'Non-source node has no incoming inference.'", "false"))
             + ", "
-            + each(f"filter({vague}, t -> contains(lower(to_json(n.said)), t))", "t", error("structural", "n.id", "null", "'medium'", "concat('Vague: ', t)", "false"))
+            + each(f"filter({vague}, t -> contains(n.body, t))", "t", error("structural", "n.id", "null", "'medium'", "concat('Vague: ', t)", "false"))
             + ")",
         )
         + ")",
@@ -145,10 +153,11 @@ def later() -> list[str]:
     return [
         f"flatten({each('filter(nodes, n -> not n.source)', 'n', when(f'{problem} is not null', error('node_proof', 'n.id', 'null', chr(39) + 'high' + chr(39), problem)))})",
         f"flatten({each('symbolic', 's', each('filter(array(s.failed, s.counterexample), m -> m is not null)', 'm', error('symbolic', 's.node_id', 'null', chr(39) + 'high' + chr(39), 'm')))})",
-        "critic_errors",
+        "filter(critic_errors, e -> e.inference_id is null)",
         each(f"filter({conditions('problem.assumptions')}, a -> not ({used}))", "a", note("Assumption may be unused", "coalesce(a.id, a.statement, '')")),
         each(f"filter({conditions('problem.hidden_conditions')}, a -> not ({checked}))", "a", note("Hidden condition may be unchecked", "coalesce(a.id, a.statement, '')")),
         each(f"filter(map_entries(coalesce(problem.domain, cast(map() as map<string,string>))), e -> not ({addressed}))", "e", note("Domain constraint may be unchecked", "e.key")),
+        "filter(critic_errors, e -> e.inference_id is not null)",
         "flatten("
         + each(
             "infs",
@@ -161,34 +170,45 @@ def later() -> list[str]:
     ]
 
 
-def closure(blocked_nodes: str, blocked_infs: str) -> str:
-    """SQL for the ids of the nodes that unblocked sources derive. A proof step fires once all it depends on is there."""
-    usable = f"filter(infs, f -> not coalesce(array_contains({blocked_infs}, f.id), false) and size(f.rules) > 0 and coalesce(array_contains(ids, f.conclusion), false) and size(array_except(f.deps, ids)) = 0)"
+def until_still(start: str, step: str, var: str, most: str) -> str:
+    """SQL of an array to which step is applied (as var) until its size stays, most times at most."""
+    state = f"named_struct('a', {start}, 'still', false)"
+    after = f"get(transform(array({step}), y -> named_struct('a', y, 'still', size(y) = size({var}))), 0)"
+    return f"aggregate(sequence(1, greatest(1, {most})), {state}, (s, i) -> if(s.still, s, get(transform(array(s.a), {var} -> {after}), 0)), s -> s.a)"
+
+
+def closure(blocked_nodes: str) -> str:
+    """SQL for the ids of the nodes that unblocked sources derive, over the column usable. A proof step fires once all it depends on is there."""
     start = f"transform(filter(map_values(by_id), n -> n.source and not array_contains({blocked_nodes}, n.id)), n -> n.id)"
-    step = f"array_union(v, transform(filter({usable}, f -> size(array_except(f.deps, v)) = 0 and not array_contains({blocked_nodes}, f.conclusion) and not by_id[f.conclusion].source), f -> f.conclusion))"
-    return f"aggregate(sequence(1, greatest(1, size(infs))), {start}, (v, i) -> {step})"
+    step = f"array_union(v, transform(filter(usable, f -> size(array_except(f.deps, v)) = 0 and not array_contains({blocked_nodes}, f.conclusion) and not by_id[f.conclusion].source), f -> f.conclusion))"
+    return until_still(start, step, "v", "size(usable)")
 
 
 def verified(df: DataFrame) -> DataFrame:
     """proof_id, errors (array of ERROR in the order of emission, so error_id is E and the place), node_status, inference_status,
     obligation_status (maps by id to verified or failed, pass or fail), accepted."""
-    d = filled(df)
+    d = once(filled(df))
     claims = F.expr("concat(array(named_struct('node_id', cast(null as string), 'text', problem.goal.symbolic)), transform(nodes, n -> named_struct('node_id', n.id, 'text', n.claim_formal)))")
-    d = d.withColumn("claims", claims).withColumn("tests", symbolic.checked_all(F.expr("transform(claims, c -> c.text)"), F.expr("concat(coalesce(to_json(problem.assumptions), ''), coalesce(to_json(problem.domain), ''))")))
+    d = d.withColumn("claims", claims).withColumn("tests", symbolic.checked_all(F.expr("transform(claims, c -> c.text)"), F.expr("coalesce(to_json(problem.assumptions), '')"), F.expr("coalesce(to_json(problem.domain), '')")))
     d = d.withColumn("symbolic", F.expr("transform(claims, (c, i) -> named_struct('node_id', c.node_id, 'failed', get(tests, i).failed, 'counterexample', get(tests, i).counterexample))"))
     declared, *checks = structural()
-    d = d.withColumn("declared", F.expr(declared.removeprefix("DECLARED ")))
+    d = once(d.withColumn("declared", F.expr(declared.removeprefix("DECLARED "))))
     schema = each("schema_errors", "p", error("json_schema", "null", "null", "'high'", "p"))
     rest = f"cast(concat({', '.join([*checks, *later()])}) as array<{ERROR}>)"
     d = d.withColumn("before", F.expr(f"case when size(schema_errors) > 0 then cast({schema} as array<{ERROR}>) else {rest} end"))
     blocked = lambda errors, key: f"array_distinct(filter(transform(filter({errors}, e -> e.blocking or e.severity = 'high'), e -> e.{key}), i -> i is not null))"
-    d = d.withColumns({"bn": F.expr(blocked("before", "node_id")), "bi": F.expr(blocked("before", "inference_id"))}).withColumn("reached", F.expr(closure("bn", "bi")))
+    d = once(d.drop("declared", "dump", "problem", "contract", "graph", "symbolic", "tests", "claims"))
+    d = once(d.withColumns({"bn": F.expr(blocked("before", "node_id")), "bi": F.expr(blocked("before", "inference_id"))}))
+    usable = "filter(infs, f -> not coalesce(array_contains(bi, f.id), false) and size(f.rules) > 0 and coalesce(array_contains(ids, f.conclusion), false) and size(array_except(f.deps, ids)) = 0)"
+    d = once(once(d.withColumn("usable", F.expr(usable))).withColumn("reached", F.expr(closure("bn"))))
     misses = each("filter(nodes, n -> not n.source and not array_contains(bn, n.id) and not array_contains(reached, n.id))", "n", error("inference_closure", "n.id", "null", "'high'", "'No verified inference proves this node.'"))
     d = d.withColumn("errors", F.expr(f"if(size(schema_errors) > 0, before, concat(before, cast({misses} as array<{ERROR}>)))"))
-    d = d.withColumn("bn", F.expr(blocked("errors", "node_id"))).withColumn("reached", F.expr(closure("bn", "bi")))
+    # The rows of this last check block nodes that were not reached anyway and no inference, so what is reached stays.
+    d = once(once(d).withColumn("bn", F.expr(blocked("errors", "node_id"))))
     fired = "not coalesce(array_contains(bi, f.id), false) and size(f.rules) > 0 and coalesce(array_contains(ids, f.conclusion), false) and size(array_except(f.deps, reached)) = 0"
     node_ok = "not coalesce(array_contains(bn, n.id), false) and coalesce(array_contains(reached, n.id), false)"
     d = d.withColumns({"nodes_ok": F.expr(each("nodes", "n", f"struct(n.id as id, {node_ok} as ok, n.covers as covers)")), "infs_ok": F.expr(each("infs", "f", f"struct(f.id as id, {fired} as ok)"))})
+    d = once(d)
     covered = "exists(nodes_ok, n -> n.ok and (n.id = goal or array_contains(n.covers, o)))"
     d = d.withColumn("obligations_ok", F.expr(each("obligations", "o", f"struct(o as id, coalesce({covered}, false) as ok)")))
     status = lambda c, good, bad: F.expr(f"map_from_entries(transform(array_distinct(transform({c}, x -> x.id)), i -> struct(i, if(exists({c}, x -> x.id = i and x.ok), '{good}', '{bad}'))))")

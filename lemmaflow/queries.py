@@ -263,54 +263,86 @@ def memo_dedup(spark, d):
     return table(spark, d, "documents").groupBy(F.xxhash64("text"), F.md5("text")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_calls")).select("doc_id", "n_calls")
 
 
-def graph_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Error rows of the projected proofs: rules, dangling premises, coverage, goals, closure."""
-    n, i, g = P.nodes(spark, d), P.inferences(spark, d), P.goals(spark, d)
-    row = lambda df, source, ordinal, key, node, severity, blocking: df.select("proof_id", F.lit(source).alias("source"), F.lit(ordinal).alias("ord"), F.col(key).alias("key"), node.alias("node_id"), severity.alias("severity"), blocking.alias("blocking"))
-    none, high, yes = F.lit(None).cast("string"), F.lit("high"), F.lit(True)
-    cover = graph.uncovered(n, g.select("proof_id"), P.OBLIGATIONS)
-    parts = [
-        row(cover, "structural", 1, "obligation", none, F.col("severity"), F.col("severity") == "high"),
-        row(graph.rules_not_allowed(i, P.ALLOWED), "structural", 2, "inference_id", none, high, yes),
-        row(graph.dangling(n, i), "inference_verifier", 3, "inference_id", none, high, yes),
-        row(graph.goals_missing(n, g), "structural", 4, "goal", none, high, yes),
-        row(graph.closure_misses(graph.graphs(n, i)), "inference_closure", 5, "id", F.col("id"), high, yes),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-ERRORS = f"""{CLOSED}, err AS (
-  SELECT o_orderkey AS proof_id, 'structural' AS source, 1 AS ord, ob AS key, NULL::VARCHAR AS node_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) THEN 'high' ELSE 'medium' END AS severity
-    FROM orders, (VALUES ('F'), ('O')) t(ob) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = ob)
-  UNION ALL SELECT l_orderkey, 'structural', 2, 'I' || l_linenumber, NULL, 'high' FROM lineitem WHERE l_linenumber > 1 AND l_returnflag NOT IN ('A', 'R')
-  UNION ALL SELECT l_orderkey, 'inference_verifier', 3, 'I' || l_linenumber, NULL, 'high' FROM lineitem a WHERE l_linenumber > 1 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber - 1)
-  UNION ALL SELECT o_orderkey, 'structural', 4, 'L' || (1 + o_orderkey % 7), NULL, 'high' FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1 + o_orderkey % 7)
-  UNION ALL SELECT DISTINCT l_orderkey, 'inference_closure', 5, 'L' || l_linenumber, 'L' || l_linenumber, 'high' FROM lineitem WHERE (l_orderkey, l_linenumber) NOT IN (SELECT proof_id, n FROM v))"""
-
-
-@query(f"{ERRORS} SELECT proof_id, source, key, severity, 'E' || row_number() OVER (PARTITION BY proof_id ORDER BY ord, key) AS error_id FROM err")
+def order_proofs(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a proof in nested artifacts, for verifyall.verified: lines are nodes and, from the second on, inferences.
+
+    Lines of status O have no proof; lines of flag A claim to be sources; second lines of every fifth order have a formal claim
+    that is false; orders of status O have an assumption that nothing cites. A hidden condition is
+    named like a status that lines of other flags have, a domain symbol like a key of every node.
+    """
+    line = table(spark, d, "lineitem")
+    node = """named_struct('id', concat('L', l.n), 'node_type', if(l.n = 1, 'assumption', 'lemma'), 'status', if(l.f = 'A', 'source', 'planned'), 'claim', 'claim',
+      'claim_formal', if(l.n = 2 and o_orderkey % 5 = 0, 'd/dx x^2 = 3*x', null), 'covers_obligations', array(l.st),
+      'proof_body', if(l.st = 'F', named_struct('format', 'steps', 'steps', array(named_struct('statement', 'so the claim, d/dx x^2 = 3*x', 'reason', 'by calculation', 'refs', array(concat('L', l.n - 1))))), null), 'declarations', array('x'))"""
+    inference = """named_struct('id', concat('I', l.n), 'premise_nodes', array(concat('L', l.n - 1)), 'side_condition_nodes', cast(array() as array<string>), 'conclusion_node', concat('L', l.n),
+      'rule_refs', array(l.f), 'instantiation', map('k', 'x'), 'declarations', array('x'))"""
+    own = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("st")))).alias("ls"))
+    p = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(own, "o_orderkey", "left")
+    return p.select(
+        F.col("o_orderkey").alias("proof_id"),
+        F.expr("named_struct('goal', named_struct('text', 'Claim', 'symbolic', 'claim'), 'assumptions', if(o_orderstatus = 'O', array(named_struct('id', 'H9', 'statement', 'never said')), array()), 'hidden_conditions', array(named_struct('id', 'planned', 'statement', 'c')), 'variables', array(named_struct('symbol', 'x'), named_struct('symbol', 'claim')), 'domain', map('node_type', 'claim'))").alias("problem"),
+        F.expr("named_struct('obligations', array(named_struct('id', 'F'), named_struct('id', 'O')), 'allowed_references', array('A', ' R'), 'forbidden_moves', array('skip steps'))").alias("contract"),
+        F.expr(f"named_struct('goal_node_id', concat('L', 1 + o_orderkey % 7), 'nodes', transform(ls, l -> {node}), 'inferences', transform(filter(ls, l -> l.n > 1), l -> {inference}))").alias("graph"),
+        F.expr("cast(array() as array<string>)").alias("schema_errors"),
+        F.expr(f"cast(if(o_orderkey % 10 = 3, array({verifyall.error('critic', 'null', 'null', chr(39) + 'low' + chr(39), chr(39) + 'case' + chr(39), 'false')}), array()) as array<{verifyall.ERROR}>)").alias("critic_errors"),
+    )
+
+
+#: The same by relations: lines with their places, what is wrong with each line number, which are derived, and the error rows, ordered by a, b, c.
+PROOFS = """l AS (SELECT l_orderkey AS p, l_linenumber AS n, l_returnflag AS f, l_linestatus AS st, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS pos FROM lineitem),
+k AS (SELECT p, n, n > 1 AND lag(n, 1, 0) OVER (PARTITION BY p ORDER BY n) <> n - 1 AS loose, n > 1 AND odd AS odd, n > 1 AND flagged AS flagged
+  FROM (SELECT p, n, bool_or(f = 'N') AS odd, n = 2 AND p % 5 = 0 OR bool_or(f <> 'R') OR bool_or(st = 'O') AS flagged FROM l GROUP BY p, n)),
+v AS (SELECT *, loose OR flagged AS blocked, NOT loose AND NOT flagged AND count(*) FILTER (NOT loose AND NOT flagged) OVER (PARTITION BY p ORDER BY n) = n AS ok FROM k),
+i AS (SELECT p, n, NOT loose AND NOT odd AND coalesce(lag(ok) OVER (PARTITION BY p ORDER BY n), false) AS ok FROM v),
+err AS (
+  SELECT p, 1 AS a, 0::BIGINT AS b, 0 AS c, 'structural' AS source, NULL::VARCHAR AS node_id, NULL::VARCHAR AS inference_id, 'high' AS severity FROM l GROUP BY p HAVING count(*) <> count(DISTINCT n)
+  UNION ALL SELECT p, 2, 0, 0, 'structural', NULL, NULL, 'high' FROM l WHERE n > 1 GROUP BY p HAVING count(*) <> count(DISTINCT n)
+  UNION ALL SELECT p, 3, pos, 0, 'structural', 'L' || n, NULL, 'high' FROM l WHERE n > 1 AND f = 'A'
+  UNION ALL SELECT o_orderkey, 4, o, 0, 'structural', NULL, NULL, CASE WHEN EXISTS (SELECT 1 FROM l WHERE p = o_orderkey) THEN 'high' ELSE 'medium' END FROM orders, (VALUES (1, 'F'), (2, 'O')) t(o, ob) WHERE NOT EXISTS (SELECT 1 FROM l WHERE p = o_orderkey AND st = ob)
+  UNION ALL SELECT p, 5, pos, 1, 'structural', 'L' || (n - 1), 'I' || n, 'high' FROM l JOIN k USING (p, n) WHERE loose
+  UNION ALL SELECT p, 5, pos, 2, 'structural', 'L' || n, 'I' || n, 'high' FROM l WHERE n > 1 AND f = 'N'
+  UNION ALL SELECT o_orderkey, 6, 0, 0, 'structural', 'L' || (1 + o_orderkey % 7), NULL, 'high' FROM orders WHERE NOT EXISTS (SELECT 1 FROM l WHERE p = o_orderkey AND n = 1 + o_orderkey % 7)
+  UNION ALL SELECT p, 7, pos, 0, 'node_proof', 'L' || n, NULL, 'high' FROM l WHERE n > 1 AND st = 'O'
+  UNION ALL SELECT p, 8, pos, 0, 'symbolic', 'L' || n, NULL, 'high' FROM l WHERE n = 2 AND p % 5 = 0
+  UNION ALL SELECT o_orderkey, 9, 0, 0, 'critic', NULL, NULL, 'low' FROM orders WHERE o_orderkey % 10 = 3
+  UNION ALL SELECT o_orderkey, 10, 0, 0, 'critic', NULL, NULL, 'medium' FROM orders WHERE o_orderstatus = 'O'
+  UNION ALL SELECT o_orderkey, 10, u, 0, 'critic', NULL, NULL, 'medium' FROM orders, (VALUES (1, 'A'), (2, '')) t(u, but) WHERE NOT EXISTS (SELECT 1 FROM l WHERE p = o_orderkey AND f <> but)
+  UNION ALL SELECT p, 11, pos, 0, 'inference_verifier', 'L' || n, 'I' || n, 'high' FROM l JOIN k USING (p, n) WHERE loose
+  UNION ALL SELECT p, 12, pos, 0, 'inference_closure', 'L' || n, NULL, 'high' FROM l JOIN v USING (p, n) WHERE n > 1 AND NOT blocked AND NOT ok),
+ob AS (SELECT o_orderkey AS p, ob, EXISTS (SELECT 1 FROM l JOIN v USING (p, n) WHERE p = o_orderkey AND ok AND (st = ob OR n = 1 + o_orderkey % 7)) AS ok FROM orders, (VALUES ('F'), ('O')) t(ob))"""
+
+
+@query(f"WITH {PROOFS} SELECT p AS proof_id, 'E' || row_number() OVER (PARTITION BY p ORDER BY a, b, c) AS error_id, source, node_id, inference_id, severity FROM err")
 def error_ids(spark, d):
-    return verdict.with_error_ids(graph_errors(spark, d), ["ord", "key"]).select("proof_id", "source", "key", "severity", "error_id")
+    return verifyall.error_rows(verifyall.verified(order_proofs(spark, d))).select("proof_id", "error_id", "source", "node_id", "inference_id", "severity")
 
 
-@query(f"""{ERRORS}, c AS (SELECT l_orderkey AS proof_id, l_linestatus AS obligation, bool_or(e.node_id IS NULL) AS free FROM lineitem LEFT JOIN (SELECT DISTINCT proof_id, node_id FROM err WHERE node_id IS NOT NULL) e ON e.proof_id = l_orderkey AND e.node_id = 'L' || l_linenumber GROUP BY 1, 2)
-SELECT o_orderkey AS proof_id, ob AS obligation, CASE WHEN free THEN 'pass' WHEN NOT free THEN 'fail' ELSE 'pending' END AS status FROM orders CROSS JOIN (VALUES ('F'), ('O')) t(ob) LEFT JOIN c ON c.proof_id = o_orderkey AND c.obligation = ob""")
+@query(f"WITH {PROOFS} SELECT p AS proof_id, ob AS obligation, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status FROM ob")
 def obligation_status(spark, d):
-    blocked = graph_errors(spark, d).filter(f"node_id is not null and ({verdict.BLOCKING})")
-    return verdict.obligation_status(P.goals(spark, d).select("proof_id"), P.nodes(spark, d), P.OBLIGATIONS, blocked)
+    return verifyall.verified(order_proofs(spark, d)).select("proof_id", F.explode("obligation_status").alias("obligation", "status"))
 
 
-@query(f"{ERRORS} SELECT o_orderkey AS proof_id, count(err.proof_id) AS n_errors, count(*) FILTER (severity = 'high') AS n_blocking, count(*) FILTER (severity = 'high') = 0 AS accepted FROM orders LEFT JOIN err ON err.proof_id = o_orderkey GROUP BY 1")
+@query(f"""WITH {PROOFS} SELECT o_orderkey AS proof_id, coalesce(n, 0) AS n_errors, coalesce(high, 0) AS n_blocking,
+  coalesce(high, 0) = 0 AND NOT EXISTS (SELECT 1 FROM ob WHERE p = o_orderkey AND NOT ok) AND NOT EXISTS (SELECT 1 FROM v WHERE p = o_orderkey AND NOT ok) AND NOT EXISTS (SELECT 1 FROM i WHERE p = o_orderkey AND n > 1 AND NOT ok) AS accepted
+FROM orders LEFT JOIN (SELECT p, count(*) AS n, count(*) FILTER (severity = 'high') AS high FROM err GROUP BY p) ON p = o_orderkey""")
 def proof_verdict(spark, d):
-    return verdict.verdicts(P.goals(spark, d).select("proof_id"), graph_errors(spark, d))
+    """Errors and verdict of each order's proof: accepted if no error blocks, and every node, inference and obligation holds."""
+    r = verifyall.verified(order_proofs(spark, d))
+    return r.select("proof_id", F.size("errors").cast("long").alias("n_errors"), F.size(F.filter("errors", lambda e: e.blocking | (e.severity == "high"))).cast("long").alias("n_blocking"), "accepted")
 
 
-@query(f"{ERRORS} SELECT source, severity, count(*) AS n, count(DISTINCT proof_id) AS n_proofs FROM err GROUP BY 1, 2")
+@query(f"WITH {PROOFS} SELECT source, severity, count(*) AS n, count(DISTINCT p) AS n_proofs FROM err GROUP BY 1, 2")
 def severity_report(spark, d):
-    return verdict.severity_report(graph_errors(spark, d))
+    return verdict.severity_report(verifyall.error_rows(verifyall.verified(order_proofs(spark, d))))
+
+
+@query(f"""WITH {PROOFS} SELECT p AS proof_id, 'node' AS kind, 'L' || n AS id, CASE WHEN ok THEN 'verified' ELSE 'failed' END AS status FROM v
+UNION ALL SELECT p, 'inference', 'I' || n, CASE WHEN ok THEN 'verified' ELSE 'failed' END FROM i WHERE n > 1""")
+def proof_statuses(spark, d):
+    """Status of each node and inference after all verifiers."""
+    r = verifyall.verified(order_proofs(spark, d))
+    rows = lambda kind: r.select("proof_id", F.lit(kind).alias("kind"), F.explode(f"{kind}_status").alias("id", "status"))
+    return rows("node").unionByName(rows("inference"))
 
 
 @query("SELECT user_id, event_id, event_type AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
@@ -364,40 +396,10 @@ def graph_skeleton_fallback(spark, d):
     return g.select("proof_id", F.size("nodes").cast("long").alias("n_nodes"), F.array_join(F.col("inferences")[0]["rule_refs"], ",").alias("rules"), F.element_at("nodes", -1)["claim"].alias("goal_claim"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS p, l_linenumber AS n, l_returnflag AS flag, l_linestatus AS st FROM lineitem),
-k AS (SELECT p, n, n > 1 AND (n = 2 AND p % 5 = 0 OR bool_or(flag <> 'R') OR bool_or(st = 'O') OR NOT EXISTS (SELECT 1 FROM l b WHERE b.p = l.p AND b.n = l.n - 1)) AS blocked FROM l GROUP BY p, n),
-v AS (SELECT p, n, NOT blocked AND n = max(n) FILTER (NOT blocked) OVER (PARTITION BY p ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AND count(*) FILTER (NOT blocked) OVER (PARTITION BY p ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = n AS ok, blocked FROM k),
-e AS (
-  SELECT p, 'structural' AS source FROM l GROUP BY p HAVING count(*) <> count(DISTINCT n)
-  UNION ALL SELECT p, 'structural' FROM l WHERE n > 1 GROUP BY p HAVING count(*) <> count(DISTINCT n)
-  UNION ALL SELECT p, 'structural' FROM l WHERE n > 1 AND flag IN ('A', 'N')
-  UNION ALL SELECT p, unnest(['structural', 'inference_verifier']) FROM l WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM l b WHERE b.p = l.p AND b.n = l.n - 1)
-  UNION ALL SELECT o_orderkey, 'structural' FROM orders, (VALUES ('F'), ('O')) t(ob) WHERE NOT EXISTS (SELECT 1 FROM l WHERE p = o_orderkey AND st = ob)
-  UNION ALL SELECT o_orderkey, 'structural' FROM orders WHERE NOT EXISTS (SELECT 1 FROM l WHERE p = o_orderkey AND n = 1 + o_orderkey % 7)
-  UNION ALL SELECT p, 'node_proof' FROM l WHERE n > 1 AND st = 'O'
-  UNION ALL SELECT p, 'symbolic' FROM l WHERE n = 2 AND p % 5 = 0
-  UNION ALL SELECT o_orderkey, 'critic' FROM orders WHERE o_orderstatus = 'O'
-  UNION ALL SELECT l.p, 'inference_closure' FROM l JOIN v USING (p, n) WHERE n > 1 AND NOT v.blocked AND NOT v.ok)
-SELECT o_orderkey AS proof_id, coalesce(source, 'none') AS source, count(source) AS n FROM orders LEFT JOIN e ON p = o_orderkey GROUP BY 1, 2""")
+@query(f"WITH {PROOFS} SELECT o_orderkey AS proof_id, coalesce(source, 'none') AS source, count(source) AS n FROM orders LEFT JOIN err ON p = o_orderkey GROUP BY 1, 2")
 def run_all_verifiers(spark, d):
-    """Errors by verifier of each order's proof as nested artifacts: lines are nodes and inferences, lines of status O have no
-    proof, lines of flag A claim to be sources, second lines of every fifth order a formal claim that is false; orders of status O have an assumption that nothing cites."""
-    line = table(spark, d, "lineitem")
-    node = F.expr("""struct(concat('L', l_linenumber) as id, if(l_linenumber = 1, 'assumption', 'lemma') as node_type, if(l_returnflag = 'A', 'source', 'planned') as status, 'claim' as claim,
-      if(l_linenumber = 2 and l_orderkey % 5 = 0, 'd/dx x^2 = 3*x', null) as claim_formal, array(l_linestatus) as covers_obligations, if(l_linestatus = 'F', array('so the claim, d/dx x^2 = 3*x'), null) as statements, cast(null as array<string>) as declarations)""")
-    inference = F.expr("""if(l_linenumber > 1, struct(concat('I', l_linenumber) as id, array(concat('L', l_linenumber - 1)) as premise_nodes, cast(null as array<string>) as side_condition_nodes, concat('L', l_linenumber) as conclusion_node,
-      array(l_returnflag) as rule_refs, cast(null as map<string,string>) as instantiation, cast(null as array<string>) as declarations), null)""")
-    own = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(node).alias("nodes"), F.collect_list(inference).alias("inferences"))
-    p = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(own, "o_orderkey", "left")
-    p = p.select(
-        F.col("o_orderkey").alias("proof_id"),
-        F.expr("named_struct('goal', named_struct('text', 'Claim', 'symbolic', cast(null as string)), 'assumptions', if(o_orderstatus = 'O', array(named_struct('id', 'H9', 'statement', 'never said')), null), 'hidden_conditions', cast(null as array<struct<id:string,statement:string>>), 'variables', array(named_struct('symbol', 'x')), 'domain', cast(null as map<string,string>))").alias("problem"),
-        F.expr("named_struct('obligations', array(named_struct('id', 'F'), named_struct('id', 'O')), 'allowed_references', array('A', ' R'), 'forbidden_moves', array('skip steps'))").alias("contract"),
-        F.struct(F.expr("concat('L', 1 + o_orderkey % 7)").alias("goal_node_id"), "nodes", "inferences").alias("graph"),
-        F.expr("cast(null as array<string>)").alias("schema_errors"),
-        F.expr(f"cast(null as array<{verifyall.ERROR}>)").alias("critic_errors"),
-    )
-    out = verifyall.verified(p).select("proof_id", F.explode_outer("errors").alias("e"))
+    """Errors by verifier of each order's proof."""
+    out = verifyall.verified(order_proofs(spark, d)).select("proof_id", F.explode_outer("errors").alias("e"))
     return out.groupBy("proof_id", F.coalesce("e.source", F.lit("none")).alias("source")).agg(F.count("e").alias("n"))
 
 

@@ -187,6 +187,6 @@ TRUE_CLAIMS = ["f(2) = f(2)", "f(g(x)) = f(g(x))", "1" + "+1" * 2000 + " = 2001"
 
 def test_true_claims_stand(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate([*TRUE_CLAIMS, "x^100 = x^101", "1" + "+1" * 2000 + " = 2002"])], "i int, c string")
-    got = rows.select("i", symbolic.checked_all(F.array("c"), F.lit(""))[0].alias("t")).orderBy("i").collect()
+    got = rows.select("i", symbolic.checked_all(F.array("c"), F.lit(""), F.lit(""))[0].alias("t")).orderBy("i").collect()
     assert [(r.t.failed, r.t.counterexample) for r in got[: len(TRUE_CLAIMS)]] == [(None, None)] * len(TRUE_CLAIMS)
     assert all(r.t.failed for r in got[len(TRUE_CLAIMS) :])

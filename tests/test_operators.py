@@ -261,7 +261,14 @@ def test_annotated(spark):
 
 @pytest.mark.parametrize("text,context,fails", [("x = x", "", False), ("x = 1", "", True), ("f(x)^2 = f(x)*f(x)", "", False), ("f(x) = g(x)", "", True), ("sqrt(x^2) = x", "x positive", False), ("sqrt(x^2) = x", "", True), ("x = y", "", False), ("x >= 0", "", True), (None, "", False)])
 def test_counterexample(text, context, fails):
-    assert (symbolic.counterexample(text, context) is not None) == fails
+    assert (symbolic.counterexample(text, "", context) is not None) == fails
+
+
+def test_counterexample_points():
+    """Assumptions choose sample functions, the domain alone chooses points."""
+    assert symbolic.counterexample("sqrt(x^2) = x", "x is positive", "") and not symbolic.counterexample("sqrt(x^2) = x", "", "x 為正數")
+    assert not symbolic.counterexample("abs(f(x)) = f(x)", "f is positive") and symbolic.counterexample("abs(f(x)) = f(x)")
+    assert symbolic.counterexample("x/x*0 = x*0+1", "", "x不為0") and not symbolic.counterexample("x^0 = 1", "", "nonzero")
 
 
 ARTIFACT = f"""proof_id string, problem struct<goal:struct<text:string,symbolic:string>,assumptions:array<struct<id:string,statement:string>>,hidden_conditions:array<struct<id:string,statement:string>>,variables:array<struct<symbol:string>>,domain:map<string,string>>,
@@ -269,9 +276,13 @@ contract struct<obligations:array<struct<id:string>>,allowed_references:array<st
 CLAIM = "d/dx sin(x^2) = 2*x*cos(x^2)"
 
 
+def body(*said, reason="by rule", refs=()):
+    return dict(format="steps", steps=[dict(statement=s, reason=reason, refs=list(refs)) for s in said])
+
+
 def artifact(name, change=None):
     """A proof that is accepted, as lists that a mutation changes: (proof_id, problem, contract, graph, schema_errors, critic_errors)."""
-    node = lambda i, kind, claim, formal=None, covers=(), said=(): dict(id=i, node_type=kind, status="source" if kind == "assumption" else "proven", claim=claim, claim_formal=formal, covers_obligations=list(covers), statements=list(said), declarations=None)
+    node = lambda i, kind, claim, formal=None, covers=(), said=(): dict(id=i, node_type=kind, status="source" if kind == "assumption" else "proven", claim=claim, claim_formal=formal, covers_obligations=list(covers), proof_body=body(*said), declarations=None)
     inf = lambda i, deps, to, rules: dict(id=i, premise_nodes=deps, side_condition_nodes=[], conclusion_node=to, rule_refs=rules, instantiation=None, declarations=None)
     problem = dict(goal=dict(text=CLAIM, symbolic=CLAIM), assumptions=[dict(id="A1", statement="x is real")], hidden_conditions=[], variables=[dict(symbol="x")], domain={})
     contract = dict(obligations=[dict(id="O1"), dict(id="O2")], allowed_references=["chain_rule", "algebra"], forbidden_moves=["circular reasoning"])
@@ -291,16 +302,18 @@ MUTATIONS = {
     "cycle": (lambda d, n, f: f.append(dict(f[1], id="I3", premise_nodes=["G1"], conclusion_node="L1")), {("structural", "Proof graph must be DAG.")}),
     "rule": (lambda d, n, f: f[0].update(rule_refs=["magic"]), {("structural", "Not in allowed references: magic")}),
     "forbidden": (lambda d, n, f: (f[0].update(rule_refs=["circular"]), d["contract"].update(allowed_references=[])), {("structural", "Forbidden: circular")}),
-    "vague": (lambda d, n, f: n[1]["statements"].append("Clearly so"), {("structural", "Vague: clearly")}),
-    "undeclared": (lambda d, n, f: n[1].update(claim_formal="u = u", statements=["u = u"]), {("structural", "claim_formal uses undeclared: u")}),
-    "declared before": (lambda d, n, f: (n[1].update(claim_formal="u = u", statements=["u = u"]), n[0].update(declarations=["u"])), set()),
+    "vague": (lambda d, n, f: n[1]["proof_body"]["steps"].extend(body("Clearly so")["steps"]), {("structural", "Vague: clearly")}),
+    "vague reason": (lambda d, n, f: n[1].update(proof_body=body("so u = x^2 is smooth", reason="obviously")), {("structural", "Vague: obvious")}),
+    "cited in refs": (lambda d, n, f: (d["problem"].update(assumptions=[dict(id="H7", statement="never")]), n[1].update(proof_body=body("so u = x^2 is smooth", refs=["H7"]))), set()),
+    "undeclared": (lambda d, n, f: n[1].update(claim_formal="u = u", proof_body=body("u = u")), {("structural", "claim_formal uses undeclared: u")}),
+    "declared before": (lambda d, n, f: (n[1].update(claim_formal="u = u", proof_body=body("u = u")), n[0].update(declarations=["u"])), set()),
     "instantiation": (lambda d, n, f: f[1].update(instantiation={"f": "w"}), {("structural", "f uses undeclared: w")}),
     "uncovered": (lambda d, n, f: n[2].update(covers_obligations=["O1"]), {("structural", "Obligation must be covered: O2")}),
     "no coverage": (lambda d, n, f: n[2].update(covers_obligations=None), {("structural", "Obligation must be covered: O1"), ("structural", "Obligation must be covered: O2")}),
     "orphan": (lambda d, n, f: f.pop(0), {("structural", "Non-source node has no incoming inference."), ("inference_closure", "No verified inference proves this node.")}),
-    "no steps": (lambda d, n, f: n[1].update(statements=None), {("node_proof", "no steps")}),
-    "other step": (lambda d, n, f: n[1].update(statements=["x"]), {("node_proof", "claim not concluded")}),
-    "wrong": (lambda d, n, f: n[1].update(claim_formal="x = 1", statements=["x = 1"]), {("symbolic", "equation does not hold")}),
+    "no steps": (lambda d, n, f: n[1].update(proof_body=None), {("node_proof", "no steps")}),
+    "other step": (lambda d, n, f: n[1].update(proof_body=body("x")), {("node_proof", "claim not concluded")}),
+    "wrong": (lambda d, n, f: n[1].update(claim_formal="x = 1", proof_body=body("x = 1")), {("symbolic", "equation does not hold")}),
     "missing": (lambda d, n, f: f[0].update(premise_nodes=["Z"]), {("structural", "Referenced node must exist."), ("inference_verifier", "Dependency is missing: Z")}),
     "no rule": (lambda d, n, f: f[0].update(rule_refs=[]), {("inference_verifier", "rule_refs is empty.")}),
     "unused": (lambda d, n, f: d["problem"].update(assumptions=[dict(id="H7", statement="never")]), {("critic", "Assumption may be unused: H7")}),
@@ -308,7 +321,7 @@ MUTATIONS = {
     "domain": (lambda d, n, f: d["problem"].update(domain={"zz": "positive"}), {("critic", "Domain constraint may be unchecked: zz")}),
     "critic": (lambda d, n, f: d.update(critic_errors=[dict(source="critic", node_id="G1", inference_id="I2", severity="high", message="m", blocking=True)]), {("critic", "m")}),
 }
-ACCEPTED = {"ok", "no coverage", "vague", "declared before", "unused", "hidden", "domain"}
+ACCEPTED = {"ok", "vague reason", "cited in refs", "no coverage", "vague", "declared before", "unused", "hidden", "domain"}
 
 
 def test_all_verifiers(spark):
@@ -325,4 +338,7 @@ def test_all_verifiers(spark):
     done = {r.proof_id: r for r in result.collect()}
     assert {k for k, r in done.items() if r.accepted} == ACCEPTED
     assert done["ok"].obligation_status == {"O1": "pass", "O2": "pass"} and set(done["ok"].node_status.values()) == {"verified"}
+    # Critics' rows about inferences come behind the context's, the others before.
+    order = artifact("o", lambda d, n, f: (d["problem"].update(domain={"zz": "positive"}), d.update(critic_errors=[dict(source="critic", node_id=None, inference_id=i, severity="low", message=m, blocking=False) for i, m in (("I1", "theorem"), (None, "case"))])))
+    assert [r.message for r in verifyall.error_rows(verifyall.verified(spark.createDataFrame([order], ARTIFACT))).orderBy("error_id").collect()] == ["case", "Domain constraint may be unchecked: zz", "theorem"]
     assert done["critic"].inference_status == {"I1": "verified", "I2": "failed"} and done["no steps"].node_status == {"A1": "verified", "L1": "failed", "G1": "failed"}
