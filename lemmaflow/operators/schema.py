@@ -143,9 +143,9 @@ def first_messages(name: str, violations: str) -> Column:
 
 
 def violations(artifacts: DataFrame, key: str, column: str, schema: dict) -> DataFrame:
-    """key, path, problem (required, type, enum, or json for text that is no JSON), a row for each violation. A
+    """key, path, problem (required, type, enum, or json for text that is no JSON object), a row for each violation. A
     missing property's path ends with its name; the path of the whole is ''."""
     d = checked(artifacts.select(key, column), column, schema).select(key, F.explode("violations").alias("e"))
     path = F.expr("array_join(concat(transform(e.path, s -> if(s.s = '', cast(s.i as string), s.s)), if(e.name is null, array(), array(e.name))), '.')")
-    return d.select(key, path.alias("path"), F.col("e.keyword").alias("problem"))
+    return d.select(key, path.alias("path"), F.expr("if(e.keyword = 'type' and size(e.path) = 0, 'json', e.keyword)").alias("problem"))
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .functions import jsonrepair, symbolic
 from .functions import text as T
-from .operators import attempts, graph, largegraph, linear, normalize, schema, verdict, verifyall
+from .operators import attempts, correction, graph, largegraph, linear, normalize, schema, verdict, verifyall
 from .plans import projection as P
 from .plans.projection import table
 from .sources.artifacts import THEOREMS
@@ -491,3 +491,28 @@ def memo_second_run(spark, d):
     found = lambda df: df.select("key", F.size(T.symbols("text")).alias("n_symbols"))
     memo.run(docs.filter("doc_id % 2 = 0"), ["text"], "first", found)
     return memo.run(docs, ["text"], "second", found).drop("text")
+
+
+VAGUE_FLAT_SQL = ", ".join(f"'{t}'" for t in T.VAGUE_FLAT)
+
+
+@query(f"""WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant'),
+g AS (SELECT conv_id, arg_min(text, turn) AS goal FROM conversations GROUP BY 1),
+w AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(goal), '[a-z0-9]+')) AS w FROM g),
+o AS (SELECT conv_id, k, count(*) FILTER (contains(lower(text), w)) / count(*) < 0.3 AS far FROM t JOIN w USING (conv_id) WHERE w NOT IN ({STOP_SQL}) GROUP BY 1, 2),
+a AS (SELECT conv_id, k, CASE WHEN length(text) % 7 = 0 THEN 'F' WHEN length(text) % 3 = 0 OR length(text) % 5 = 0 THEN 'B' ELSE 'K' END AS code,
+  list_filter([CASE WHEN length(text) % 3 = 0 THEN 'empty_justification' END, CASE WHEN length(text) % 5 = 0 THEN 'no_conclusion' WHEN far THEN 'overlap' END, CASE WHEN len(list_filter([{VAGUE_FLAT_SQL}], lambda v: contains(lower(text), v))) > 0 THEN 'vague' END], lambda c: c IS NOT NULL) AS checks
+  FROM t LEFT JOIN o USING (conv_id, k) WHERE k <= 3),
+s AS (SELECT conv_id, coalesce(string_agg(code, '' ORDER BY k), '') || 'F' AS codes, list(checks ORDER BY k) AS checks FROM g LEFT JOIN a USING (conv_id) GROUP BY 1),
+u AS (SELECT *, regexp_extract(codes, '^(B{{0,2}}[KF]|BBB)') AS used FROM s)
+SELECT conv_id, suffix(used, 'K') AS accepted, (len(used) - suffix(used, 'F')::INT)::INT AS attempts,
+  array_to_string(list_sort(list_concat(CASE WHEN used = 'F' THEN [] ELSE checks[len(used) - suffix(used, 'F')::INT] END, CASE WHEN used = 'F' THEN ['generate_failed'] WHEN suffix(used, 'F') THEN ['correct_failed'] ELSE [] END)), ',') AS last_errors FROM u""")
+def correction_rounds(spark, d):
+    """Each conversation as a problem whose assistant turns are the answers of a proof's rounds: some fail, some have no justification or conclusion."""
+    c = table(spark, d, "conversations")
+    proofs = c.groupBy(F.col("conv_id").alias("proof_id")).agg(F.min_by("text", "turn").alias("goal")).withColumn("problem", F.lit("By the Mean Value Theorem"))
+    turns = c.filter("role = 'assistant'").select(F.col("conv_id").alias("proof_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("attempt"), "text")
+    steps = "array(named_struct('step_id', '1', 'statement', text, 'justification', if(length(text) % 3 = 0, ' ', 'by rule'), 'refs', array('2')), named_struct('step_id', '2', 'statement', 'so it is', 'justification', 'by 1', 'refs', array('1')))"
+    answers = turns.select("proof_id", "attempt", F.expr(f"if(length(text) % 7 = 0, null, {steps})").alias("steps"), F.expr("if(length(text) % 5 = 0, '', text)").alias("conclusion"))
+    r = correction.corrected(proofs, correction.recorded(answers))
+    return r.select(F.col("proof_id").alias("conv_id"), "accepted", "attempts", F.array_join(F.array_sort(F.array_distinct(F.col("errors.check"))), ",").alias("last_errors"))

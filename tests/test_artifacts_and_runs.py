@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import jsonrepair, symbolic
-from lemmaflow.operators import attempts, schema
+from lemmaflow.operators import attempts, correction, schema
 from lemmaflow.sources.memo import Memo
 
 GOOD = [
@@ -190,3 +190,35 @@ def test_true_claims_stand(spark):
     got = rows.select("i", symbolic.checked_all(F.array("c"), F.lit(""), F.lit(""))[0].alias("t")).orderBy("i").collect()
     assert [(r.t.failed, r.t.counterexample) for r in got[: len(TRUE_CLAIMS)]] == [(None, None)] * len(TRUE_CLAIMS)
     assert all(r.t.failed for r in got[len(TRUE_CLAIMS) :])
+
+
+PROOFS = "proof_id string, problem string, goal string"
+ANSWERS = f"proof_id string, attempt int, steps array<{correction.STEP}>, conclusion string"
+
+
+def steps(*justifications):
+    return [dict(step_id=str(i), statement="the goal holds", justification=j, refs=[]) for i, j in enumerate(justifications)]
+
+
+def test_correction_rounds(spark):
+    good, bad = steps("by a", "by b"), steps("by a", " ")
+    answers = {
+        "first": [(good, "the goal")], "third": [(bad, "the goal"), (bad, ""), (good, "the goal")], "never": [(bad, "the goal")] * 5, "none": [], "null": [(None, "x")],
+        "broken": [(bad, "the goal"), (None, None), (good, "the goal")], "short": [(bad, "the goal")], "empty": [([], "the goal"), (good, "the goal")], "mild": [(steps("clearly"), "other")],
+    }
+    proofs = spark.createDataFrame([(k, "p", "the goal") for k in answers], PROOFS)
+    rows = spark.createDataFrame([(k, i, s, c) for k, a in answers.items() for i, (s, c) in enumerate(a, 1)], ANSWERS)
+    asked = []
+
+    def respond(df):
+        asked.append(sorted((r.proof_id, r.attempt, [e.check for e in r.errors or []]) for r in df.collect()))
+        return correction.recorded(rows)(df)
+
+    got = {r.proof_id: (r.accepted, r.attempts, sorted({e.check for e in r.errors}), r.conclusion) for r in correction.corrected(proofs, respond).collect()}
+    assert got == {
+        "first": (True, 1, [], "the goal"), "third": (True, 3, [], "the goal"), "never": (False, 3, ["empty_justification"], "the goal"), "none": (False, 0, ["generate_failed"], None), "null": (False, 0, ["generate_failed"], None),
+        "broken": (False, 1, ["correct_failed", "empty_justification"], "the goal"), "short": (False, 1, ["correct_failed", "empty_justification"], "the goal"), "empty": (True, 2, [], "the goal"), "mild": (True, 1, ["one_step", "overlap", "vague"], "other"),
+    }
+    assert [[k for k, *_ in a] for a in asked] == [sorted(answers), ["broken", "empty", "never", "short", "third"], ["never", "third"]]
+    assert ("third", 3, ["empty_justification", "no_conclusion"]) in [(k, n, sorted(e)) for k, n, e in asked[2]]
+    assert correction.corrected(proofs.limit(0), respond).count() == 0
