@@ -62,6 +62,19 @@ def rows(batches, *columns: str):
         yield from zip(*(b.column(c).to_pylist() for c in columns))
 
 
+def slices(batches, *columns: str, most: int = 4 << 20):
+    """Lists of rows of at most about so many characters of text (the last column), so memory stays bounded."""
+    out, held = [], 0
+    for r in rows(batches, *columns):
+        out.append(r)
+        held += len(r[-1] or "")
+        if held > most:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def batched(records, schema, size: int = 2000, max_bytes: int = 8 << 20):
     """Arrow batches of the tuples in records; a batch ends after size rows or about max_bytes of binary or text."""
     import pyarrow as pa

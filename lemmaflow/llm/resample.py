@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, partitions, rows, staged, table
+from .common import arrow_schema, batched, partitions, slices, staged, table
 
 #: Parameters of the query: runs of up to MAX_N words, buckets, gains in thousandths.
 MAX_N, BUCKETS, SCALE = 1, 10_000, 1000
@@ -96,19 +96,6 @@ class Hasher:
         return [(np.fromiter(map(get, fs), np.int64, len(fs)), n) for fs, n in made]
 
 
-def slices(batches, *columns: str, most: int = 4 << 20):
-    """Lists of rows of at most about so many characters of text (the last column), so memory stays bounded."""
-    out, held = [], 0
-    for r in rows(batches, *columns):
-        out.append(r)
-        held += len(r[-1] or "")
-        if held > most:
-            yield out
-            out, held = [], 0
-    if out:
-        yield out
-
-
 def bucket_counts(docs: DataFrame, max_n: int = MAX_N, buckets: int = BUCKETS) -> DataFrame:
     """bucket, n: features of all texts in each bucket (those with any). Each task sends at most `buckets` rows."""
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .align import byte_of
 from .common import arrow_schema, batched, discard, partitions, rows, table, tokenizer_file, work_dir
 
 KEY = 16
@@ -29,25 +30,23 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 #: Entries that a cache of a Python worker may hold; a full cache keeps what it has, mostly frequent words.
-CACHED = 250_000
+CACHED = 500_000
 
 
 class _Pieces(dict):
     """Pre-token to packed ids; a new one is encoded by the tokenizers library's BPE model."""
 
     def __init__(self, tokenizer, width):
-        from tokenizers.pre_tokenizers import ByteLevel
-
         self.tokenize = tokenizer.model.tokenize
         self.packed = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size())]
-        self.level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.space = self.level.pre_tokenize_str(" ")[0][0]
+        self.letters = {b: c for c, b in byte_of().items()}
+        self.space = self.letters[32]
 
     def encode(self, piece):
         if piece.isascii() and piece.isprintable():
             mapped = piece.replace(" ", self.space)  # other printable ASCII stands for itself
         else:
-            mapped = self.level.pre_tokenize_str(piece)[0][0]
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
         packed = self.packed
         return b"".join([packed[t.id] for t in self.tokenize(mapped)])
 
@@ -211,7 +210,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
                         seen.add(key)
                         yield 1, key, None, e - at, payload
                     at = e
-                yield 0, part.to_bytes(8, "big") + row.to_bytes(8, "big"), doc_id, len(data) // w, b"".join(keys)
+                # Documents of one doc_id lie in the order of their roots, as starts() counts them.
+                yield 0, merkle(keys) + part.to_bytes(8, "big") + row.to_bytes(8, "big"), doc_id, len(data) // w, b"".join(keys)
 
         yield from batched(records(), arrow_schema(schema))
 
@@ -282,30 +282,40 @@ def _recipe_rows(m: DataFrame) -> DataFrame:
     return m.filter("length(recipe) > 0").select("shard", "row", at)
 
 
-def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def ids_of(payload: bytes, n: int):
+    """A chunk's ids: their width, 2 or 4 bytes, is what its n ids take."""
+    import numpy as np
+
+    width = len(payload) // max(n, 1)
+    if len(payload) != n * width or n and width not in (2, 4):
+        raise ValueError(f"chunk {key_of(payload).hex()} is damaged")
+    return np.frombuffer(payload, f"<u{width or 2}")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids (array<int>): every document put together from its chunks, each chunk checked
     against its key and the whole against the document's Merkle root."""
     m = starts(spark, path)
-    parts = _recipe_rows(m).join(chunks(spark, path), "key").groupBy("shard", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "payload"))).alias("parts"))
-    joined = m.join(parts, ["shard", "row"], "left").select("doc_id", "start", "root", F.col("parts.key").alias("keys"), F.col("parts.payload").alias("payloads"))
+    parts = _recipe_rows(m).join(chunks(spark, path), "key").groupBy("shard", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "payload", "n"))).alias("parts"))
+    joined = m.join(parts, ["shard", "row"], "left").select("doc_id", "start", "root", F.col("parts.key").alias("keys"), F.col("parts.n").alias("ns"), F.col("parts.payload").alias("payloads"))
     out = "doc_id long, start long, ids array<int>"
 
     def build(batches):
         import numpy as np
 
         def records():
-            for d, s, root, keys, payloads in rows(batches, "doc_id", "start", "root", "keys", "payloads"):
-                keys, payloads = keys or [], payloads or []
+            for d, s, root, keys, ns, payloads in rows(batches, "doc_id", "start", "root", "keys", "ns", "payloads"):
+                keys, ns, payloads = keys or [], ns or [], payloads or []
                 if merkle(keys) != root or any(key_of(p) != k for k, p in zip(keys, payloads)):
                     raise ValueError(f"document {d} does not match its manifest")
-                yield d, s, np.frombuffer(b"".join(payloads), f"<u{width}").astype(np.int32)
+                yield d, s, np.concatenate([np.zeros(0, np.int32), *map(ids_of, payloads, ns)]).astype(np.int32)
 
         yield from batched(records(), arrow_schema(out), 200)
 
     return joined.mapInArrow(build, out)
 
 
-def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the stored files.
 
     Each stored chunk is read once, checked against its key and reduced to the CRC-32 of its ids as unsigned
@@ -315,13 +325,11 @@ def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     thin = "key binary, n int, crc long"
 
     def check(batches):
-        import numpy as np
-
         def records():
             for key, n, payload in rows(batches, "key", "n", "payload"):
-                if key_of(payload) != key or len(payload) != n * width:
+                if key_of(payload) != key:
                     raise ValueError(f"chunk {key.hex()} is damaged")
-                yield key, n, zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes())
+                yield key, n, zlib.crc32(ids_of(payload, n).astype("<u4").tobytes())
 
         yield from batched(records(), arrow_schema(thin))
 

@@ -142,3 +142,21 @@ def test_op13_spans(text):
 def test_op13_cuts():
     assert align.Aligner.cut(" a b\nc\n\nd  e f ") == [" a", " b", "\nc\n\nd", "  e", " f "]
     assert align.Aligner.cut(" a b") == [" a", " b"] and align.Aligner.cut(" a\nb") == [" a", "\nb"]
+
+
+def test_op5_wide_ids_and_ties(spark, tmp_path):
+    """Ids of four bytes are read back as such; documents of one doc_id have one order in the file and in the starts."""
+    from lemmaflow.llm import tokenstore
+
+    rows = [(7, f"text number {i} " * 40) for i in range(30)] + [(i, "short") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    path = f"file://{tmp_path}/store"
+    tokenstore.write_store(docs, path)
+    in_file = [(r.doc_id, r.root) for r in tokenstore.manifest(spark, path).select("shard", "doc_id", "root", "_metadata.file_path").sort("shard").collect()]
+    by_start = [(r.doc_id, r.root) for r in tokenstore.starts(spark, path).orderBy("start").collect()]
+    assert in_file == by_start
+    ids = np.array([70_000, 3, 70_000], "<u4").tobytes()
+    assert tokenstore.ids_of(ids, 3).tolist() == [70_000, 3, 70_000] and tokenstore.ids_of(b"", 0).tolist() == []
+    with pytest.raises(ValueError):
+        tokenstore.ids_of(ids[:-1], 3)
