@@ -30,7 +30,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 #: Entries that a cache of a Python worker may hold; a full cache keeps what it has, mostly frequent words.
-CACHED = 500_000
+CACHED = 800_000
 
 
 class _Pieces(dict):
