@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import symbolic
 from ..functions.text import BUILTINS, VAGUE_GRAPH
+from . import schema
 from .graph import SOURCE_TYPES
 
 PROOF = "struct<format:string,steps:array<struct<statement:string,reason:string,refs:array<string>>>>"
@@ -193,9 +194,9 @@ def verified(df: DataFrame) -> DataFrame:
     d = d.withColumn("symbolic", F.expr("transform(claims, (c, i) -> named_struct('node_id', c.node_id, 'failed', get(tests, i).failed, 'counterexample', get(tests, i).counterexample))"))
     declared, *checks = structural()
     d = once(d.withColumn("declared", F.expr(declared.removeprefix("DECLARED "))))
-    schema = each("schema_errors", "p", error("json_schema", "null", "null", "'high'", "p"))
+    invalid = each("schema_errors", "p", error("json_schema", "null", "null", "'high'", "p"))
     rest = f"cast(concat({', '.join([*checks, *later()])}) as array<{ERROR}>)"
-    d = d.withColumn("before", F.expr(f"case when size(schema_errors) > 0 then cast({schema} as array<{ERROR}>) else {rest} end"))
+    d = d.withColumn("before", F.expr(f"case when size(schema_errors) > 0 then cast({invalid} as array<{ERROR}>) else {rest} end"))
     blocked = lambda errors, key: f"array_distinct(filter(transform(filter({errors}, e -> e.blocking or e.severity = 'high'), e -> e.{key}), i -> i is not null))"
     d = once(d.drop("declared", "dump", "problem", "contract", "graph", "symbolic", "tests", "claims"))
     d = once(d.withColumns({"bn": F.expr(blocked("before", "node_id")), "bi": F.expr(blocked("before", "inference_id"))}))
@@ -218,6 +219,55 @@ def verified(df: DataFrame) -> DataFrame:
     )
 
 
+#: Types of the artifacts as read from JSON; declarations stay text, as they may be names or objects.
+CONDITION = "array<struct<id:string,statement:string>>"
+TYPES = {
+    "problem": f"struct<goal:struct<text:string,symbolic:string>,assumptions:{CONDITION},hidden_conditions:{CONDITION},variables:array<struct<symbol:string>>,domain:map<string,string>>",
+    "contract": "struct<obligations:array<struct<id:string>>,allowed_references:array<string>,forbidden_moves:array<string>>",
+    "graph": f"struct<goal_node_id:string,nodes:array<{NODE}>,inferences:array<{INFERENCE}>>",
+}
+
+
+def declared_names(declarations: str) -> str:
+    """SQL of the symbols in declarations: an object's symbol, or a text that is an identifier."""
+    return f"filter(transform({declarations}, d -> if(startswith(d, '{{'), get_json_object(d, '$.symbol'), if(d rlike '^[A-Za-z_][A-Za-z0-9_]*$', d, null))), d -> d <> '')"
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """verified()'s input from artifacts as JSON text: proof_id, problem, contract, graph, and critic_errors if there are any.
+
+    schema_errors are the artifacts' violations, problem first, each artifact's by path: 'path: message'. Null and unreadable texts
+    are violations, so no further check sees them.
+    """
+    d = df.select("proof_id", *TYPES, (F.col("critic_errors") if "critic_errors" in df.columns else F.lit(None)).cast(f"array<{ERROR}>").alias("critic_errors"))
+    for name, rules in (("problem", schema.PROBLEM), ("contract", schema.CONTRACT), ("graph", schema.GRAPH)):
+        d = schema.checked(d, name, rules, f"{name}_found").withColumn(f"{name}_found", schema.by_path(f"{name}_found"))
+    found = "concat(problem_found, contract_found, graph_found)"
+    errors = F.expr(f"transform({found}, e -> concat({schema.joined_path('e.path', '.')}, ': ', e.message))")
+    d = once(d.select("proof_id", *[F.from_json(name, kind).alias(name) for name, kind in TYPES.items()], errors.alias("schema_errors"), "critic_errors"))
+    plain = lambda kind: [f.split(":")[0] for f in fields(kind)]
+    renamed = lambda var, kind: "named_struct(" + ", ".join(f"'{f}', {declared_names(f'{var}.{f}') if f == 'declarations' else f'{var}.{f}'}" for f in plain(kind)) + ")"
+    graph = f"named_struct('goal_node_id', graph.goal_node_id, 'nodes', transform(graph.nodes, n -> {renamed('n', NODE)}), 'inferences', transform(graph.inferences, f -> {renamed('f', INFERENCE)}))"
+    return d.withColumn("graph", F.expr(graph))
+
+
+def fields(kind: str) -> list[str]:
+    """The fields of a struct's DDL, at its first level."""
+    out, depth = [""], 0
+    for c in kind.removeprefix("struct<").removesuffix(">"):
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def verified_texts(df: DataFrame) -> DataFrame:
+    """verified() of artifacts as JSON text (see typed()): the schemas first, then, if they hold, all other verifiers."""
+    return verified(typed(df))
+
+
 def error_rows(result: DataFrame) -> DataFrame:
     """proof_id, error_id (E1, E2 ... in the order of emission) and the fields of ERROR, of a result of verified()."""
     return result.select("proof_id", F.posexplode("errors").alias("at", "e")).select("proof_id", F.concat(F.lit("E"), F.col("at") + 1).alias("error_id"), "e.*")

@@ -342,3 +342,40 @@ def test_all_verifiers(spark):
     order = artifact("o", lambda d, n, f: (d["problem"].update(domain={"zz": "positive"}), d.update(critic_errors=[dict(source="critic", node_id=None, inference_id=i, severity="low", message=m, blocking=False) for i, m in (("I1", "theorem"), (None, "case"))])))
     assert [r.message for r in verifyall.error_rows(verifyall.verified(spark.createDataFrame([order], ARTIFACT))).orderBy("error_id").collect()] == ["case", "Domain constraint may be unchecked: zz", "theorem"]
     assert done["critic"].inference_status == {"I1": "verified", "I2": "failed"} and done["no steps"].node_status == {"A1": "verified", "L1": "failed", "G1": "failed"}
+
+
+def test_all_verifiers_of_texts(spark):
+    """Artifacts as JSON text: schema violations in order stop the other checks; declarations may be names or objects."""
+    def texts(name, change=None, cut=None):
+        d = artifact(name, change)
+        d["problem"] |= dict(problem_id="p", raw_problem="r")
+        d["contract"] |= dict(goal={}, obligations=[dict(o, description="d", status="pending") for o in d["contract"]["obligations"]])
+        d["graph"] |= dict(proof_id=name)
+        for f in d["graph"]["inferences"]:
+            f |= dict(relation="proves", status="planned", instantiation=f["instantiation"] or {})
+            f.pop("declarations")
+        for n in d["graph"]["nodes"]:
+            for k in ("claim_formal", "proof_body", "declarations"):
+                if n[k] is None:
+                    n.pop(k)
+        row = [name, json.dumps(d["problem"]), json.dumps(d["contract"]), json.dumps(d["graph"])]
+        if cut:
+            cut(row)
+        return tuple(row)
+
+    declare = lambda *names: lambda d, n, f: (n[1].update(claim_formal="u = u", proof_body=body("u = u")), n[0].update(declarations=list(names)))
+    rows = [
+        texts("ok"),
+        texts("object", declare({"symbol": "u"}, 7)),
+        texts("name", declare("u", "two words")),
+        texts("undeclared", declare("two words", {"name": "u"})),
+        texts("schema", lambda d, n, f: (n[0].update(status="odd"), n[1].pop("claim"), d["contract"].update(allowed_references=["r", 5]))),
+        texts("cut", cut=lambda r: r.__setitem__(3, r[3][:-1])),
+        texts("null", cut=lambda r: r.__setitem__(1, None)),
+    ]
+    out = verifyall.verified_texts(spark.createDataFrame(rows, "proof_id string, problem string, contract string, graph string")).collect()
+    errors = {r.proof_id: [(e.source, e.message) for e in r.errors] for r in out}
+    assert errors["ok"] == errors["object"] == errors["name"] == [] and {r.proof_id for r in out if r.accepted} == {"ok", "object", "name"}
+    assert errors["undeclared"][0] == ("structural", "claim_formal uses undeclared: u")
+    assert errors["schema"] == [("json_schema", "allowed_references.1: 5 is not of type 'string'"), ("json_schema", "nodes.0.status: 'odd' is not one of ['planned', 'proven', 'verified', 'failed', 'patched', 'source']"), ("json_schema", "nodes.1: 'claim' is a required property")]
+    assert errors["cut"] == errors["null"] == [("json_schema", "<root>: no JSON")]
