@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import ASCII, FULL_WIDTH, ascii_punctuation
+from .text import FULL_WIDTH, ascii_punctuation
 
 CLOSER = {"{": "}", "[": "]"}
 #: A string with its escapes, its closing quote if there is one; or one other character.
@@ -179,7 +179,7 @@ def found_object(text: str | None):
     with what is open at its end closed. None if there is none."""
     if not isinstance(text, str):
         return None
-    text = FENCE.sub("", text.strip()).translate(str.maketrans(FULL_WIDTH, ASCII))
+    text = FENCE.sub("", text.strip()).translate(str.maketrans(FULL_WIDTH))
     closing, open_ = spans(text)
     bad: set[int] = set()
     for start, end in closing:

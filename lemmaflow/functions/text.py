@@ -11,11 +11,15 @@ VAGUE_FLAT = ["obvious", "clearly", "some theorem", "it follows trivially", "顯
 # Words of a goal that don't count for its overlap with a conclusion.
 STOP_WORDS = ["a", "an", "the", "of", "in", "is", "and", "to", "that", "we", "have", "let", "for", "be", "with"]
 # Identifiers that need no declaration.
-BUILTINS = """f g h d dx dy dz dt df sin cos tan sec csc cot arcsin arccos arctan asin acos atan sinh cosh tanh
-exp log ln sqrt abs Eq Ne Lt Le Gt Ge Derivative Integral Limit Sum Product Function Symbol Integer Float Rational
-diff integrate limit simplify lim sup inf max min forall exists true false implies iff""".split()
+BUILTINS = [
+    "f", "g", "h", "d", "dx", "dy", "dz", "dt", "df", "sin", "cos", "tan", "sec", "csc",
+    "cot", "arcsin", "arccos", "arctan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "exp", "log", "ln", "sqrt",
+    "abs", "Eq", "Ne", "Lt", "Le", "Gt", "Ge", "Derivative", "Integral", "Limit", "Sum", "Product", "Function", "Symbol",
+    "Integer", "Float", "Rational", "diff", "integrate", "limit", "simplify", "lim", "sup", "inf", "max", "min", "forall", "exists",
+    "true", "false", "implies", "iff",
+]
 # Full-width punctuation and its ASCII forms.
-FULL_WIDTH, ASCII = "，。：；（）｛｝「」、", ",.:;(){}\"\","
+FULL_WIDTH = {"，": ",", "。": ".", "：": ":", "；": ";", "（": "(", "）": ")", "｛": "{", "｝": "}", "「": '"', "」": '"', "、": ","}
 
 
 def _col(c: Column | str) -> Column:
@@ -37,7 +41,7 @@ def symbols(c: Column | str) -> Column:
 
 
 def ascii_punctuation(c: Column | str) -> Column:
-    return F.translate(_col(c), FULL_WIDTH, ASCII)
+    return F.translate(_col(c), "".join(FULL_WIDTH), "".join(FULL_WIDTH.values()))
 
 
 def vague_terms(c: Column | str, terms: list[str] = VAGUE_GRAPH) -> Column:
@@ -57,9 +61,13 @@ def goal_overlap(goal: Column | str, conclusion: Column | str) -> Column:
     return F.size(F.filter(words, lambda w: F.contains(text, w))) / F.nullif(F.size(words), F.lit(0))
 
 
+# Fixed value: what a named theorem looks like.
+NAMED_THEOREM = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\s+(?:Theorem|Lemma|Corollary|Law))"
+
+
 def named_theorems(c: Column | str) -> Column:
     """Lower-cased names of two or more capitalised words before Theorem, Lemma, Corollary or Law."""
-    found = F.regexp_extract_all(_col(c), F.lit(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\s+(?:Theorem|Lemma|Corollary|Law))"), 1)
+    found = F.regexp_extract_all(_col(c), F.lit(NAMED_THEOREM), 1)
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
