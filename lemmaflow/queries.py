@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .functions import jsonrepair, symbolic
 from .functions import text as T
-from .operators import attempts, correction, graph, largegraph, linear, normalize, schema, verdict, verifyall
+from .operators import attempts, context, correction, graph, largegraph, linear, normalize, schema, verdict, verifyall
 from .plans import projection as P
 from .plans.projection import table
 from .sources.artifacts import THEOREMS
@@ -516,3 +516,11 @@ def correction_rounds(spark, d):
     answers = turns.select("proof_id", "attempt", F.expr(f"if(length(text) % 7 = 0, null, {steps})").alias("steps"), F.expr("if(length(text) % 5 = 0, '', text)").alias("conclusion"))
     r = correction.corrected(proofs, correction.recorded(answers))
     return r.select(F.col("proof_id").alias("conv_id"), "accepted", "attempts", F.array_join(F.array_sort(F.array_distinct(F.col("errors.check"))), ",").alias("last_errors"))
+
+
+@query(f"SELECT DISTINCT d.doc_id, b.item_id FROM (SELECT doc_id, {NORM.format('text')} AS t FROM documents) d JOIN (SELECT item_id, {NORM.format('text')} AS s FROM benchmark) b ON b.s <> '' AND contains(d.t, b.s)")
+def context_index(spark, d):
+    """All assumptions (benchmark texts) that proof texts (documents) cite, as normalised text, found by an index of pieces."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), T.normalized_math("text").alias("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("part_id"), T.normalized_math("text").alias("part"))
+    return context.contained(docs, items).select(F.col("text_id").alias("doc_id"), F.col("part_id").alias("item_id"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import jsonrepair, symbolic
-from lemmaflow.operators import attempts, correction, schema
+from lemmaflow.operators import attempts, context, correction, schema
 from lemmaflow.sources.memo import Memo
 
 GOOD = [
@@ -222,3 +222,16 @@ def test_correction_rounds(spark):
     assert [[k for k, *_ in a] for a in asked] == [sorted(answers), ["broken", "empty", "never", "short", "third"], ["never", "third"]]
     assert ("third", 3, ["empty_justification", "no_conclusion"]) in [(k, n, sorted(e)) for k, n, e in asked[2]]
     assert correction.corrected(proofs.limit(0), respond).count() == 0
+
+
+def test_contained(spark):
+    r = random.Random(9)
+    make = lambda n: "".join(r.choice("ab ") for _ in range(n))
+    texts = [(i, make(r.randrange(0, 200))) for i in range(60)] + [(None, "ab" * 20), (3, "é中ab" * 9), (61, None), (61, "")]
+    parts = [(i, make(r.randrange(0, 20))) for i in range(80)] + [(100 + i, t[i : i + 5 * i]) for i, (_, t) in enumerate(texts[:30])] + [(200, None), (201, ""), (None, "ab"), (202, "é中ab" * 8), (202, "zzz")]
+    got = context.contained(spark.createDataFrame(texts, "text_id int, text string").repartition(3), spark.createDataFrame(parts, "part_id int, part string"))
+    want = {(t, p) for t, text in texts for p, part in parts if text and part and part in text}
+    rows = [tuple(x) for x in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert context.contained(got.selectExpr("text_id", "'x' as text").limit(0), spark.createDataFrame(parts, "part_id int, part string")).count() == 0
+    assert context.contained(got.selectExpr("text_id", "'x' as text"), spark.createDataFrame([], "part_id int, part string")).count() == 0
