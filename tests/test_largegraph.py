@@ -100,12 +100,11 @@ def brute_unpeeled(edges):
 
 
 def test_cycles_of_a_large_graph(spark):
-    nodes, inferences = random_graph(100_000, 2)
+    n = 40_000
+    nodes, inferences = random_graph(n, 2, layers=8)
     edges = {(d, c) for _, _, deps, c, _, _ in inferences for d in deps}
-    df = spark.createDataFrame([("g", u, v) for u, v in edges], "proof_id string, u string, v string")
-    assert largegraph.witness_cycles(df, hub=1000, salts=4).count() == 0
     r = random.Random(3)
-    back = {(f"n{r.randrange(60_000, 100_000)}", f"n{r.randrange(0, 40_000)}") for _ in range(3000)} - {("n0", "n0")}
+    back = {(f"n{r.randrange(n * 6 // 10, n)}", f"n{r.randrange(0, n * 4 // 10)}") for _ in range(1500)}
     df = spark.createDataFrame([("g", u, v) for u, v in edges | back] + [("h", u, v) for u, v in edges] + [("s", "x", "x"), ("s", "x", "y")], "proof_id string, u string, v string")
     rest = brute_unpeeled(edges | back)
     assert {(x.u, x.v) for x in largegraph.unpeeled(df).filter("proof_id = 'g'").collect()} == rest and rest
