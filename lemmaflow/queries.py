@@ -521,6 +521,6 @@ def correction_rounds(spark, d):
 @query(f"SELECT DISTINCT d.doc_id, b.item_id FROM (SELECT doc_id, {NORM.format('text')} AS t FROM documents) d JOIN (SELECT item_id, {NORM.format('text')} AS s FROM benchmark) b ON b.s <> '' AND contains(d.t, b.s)")
 def context_index(spark, d):
     """All assumptions (benchmark texts) that proof texts (documents) cite, as normalised text, found by an index of pieces."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), T.normalized_math("text").alias("text"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("part_id"), T.normalized_math("text").alias("part"))
-    return context.contained(docs, items).select(F.col("text_id").alias("doc_id"), F.col("part_id").alias("item_id"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("part_id"), F.col("text").alias("part"))
+    return context.contained(docs, items, normalized=T.normalized_math).select(F.col("text_id").alias("doc_id"), F.col("part_id").alias("item_id"))

@@ -224,7 +224,8 @@ def test_correction_rounds(spark):
     assert correction.corrected(proofs.limit(0), respond).count() == 0
 
 
-def test_contained(spark):
+def test_contained(spark, monkeypatch):
+    monkeypatch.setattr(context, "CUT", 50)
     r = random.Random(9)
     make = lambda n: "".join(r.choice("ab ") for _ in range(n))
     texts = [(i, make(r.randrange(0, 200))) for i in range(60)] + [(None, "ab" * 20), (3, "é中ab" * 9), (61, None), (61, "")]
