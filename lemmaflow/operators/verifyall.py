@@ -43,14 +43,30 @@ def each(items: str, var: str, body: str) -> str:
 
 def norm(text: str) -> str:
     """SQL of text.normalized_math."""
-    x = f"regexp_replace(lower(coalesce({text}, '')), '[ *]', '')"
-    return f"regexp_replace(replace(regexp_replace({x}, '[\\'′]', 'prime'), '∘', 'o'), '[^a-z0-9_=()+/\\\\-]', '')"
+    x = f"translate(lower(coalesce({text}, '')), ' *', '')"
+    return f"regexp_replace(replace(replace(replace({x}, '\\'', 'prime'), '′', 'prime'), '∘', 'o'), '[^a-z0-9_=()+/\\\\-]', '')"
+
+
+def let(var: str, value: str, body: str) -> str:
+    """SQL of body with var standing for value, which is computed once."""
+    return f"get(transform(array({value}), {var} -> {body}), 0)"
+
+
+BUILTIN_LIST = ", ".join(f"'{b}'" for b in BUILTINS)
+
+
+def runs(text: str) -> str:
+    return f"regexp_extract_all({text}, '\\\\b([A-Za-z_][A-Za-z0-9_]*)\\\\b', 1)"
 
 
 def names(text: str) -> str:
     """SQL of text.symbols."""
-    builtins = ", ".join(f"'{b}'" for b in BUILTINS)
-    return f"array_sort(array_except(array_distinct(regexp_extract_all({text}, '\\\\b([A-Za-z_][A-Za-z0-9_]*)\\\\b', 1)), array({builtins})))"
+    return f"array_sort(array_except(array_distinct({runs(text)}), array({BUILTIN_LIST})))"
+
+
+def strange(text: str, have: str) -> str:
+    """SQL: does the text use a symbol that is not in have? The quick test before names()."""
+    return f"exists({runs(text)}, s -> not (s in ({BUILTIN_LIST})) and not array_contains({have}, s))"
 
 
 def words(text: str) -> str:
@@ -58,8 +74,11 @@ def words(text: str) -> str:
 
 
 def once(d: DataFrame) -> DataFrame:
-    """d behind a generator: else the optimizer writes a column's expression out wherever it is used further on."""
-    return d.select(F.inline(F.array(F.struct(*d.columns))))
+    """d behind a generator: else the optimizer writes a column's expression out wherever it is used further on.
+
+    proof_id stays outside, so that Spark knows that rows dealt by it still are.
+    """
+    return d.select("proof_id", F.inline(F.array(F.struct(*[c for c in d.columns if c != "proof_id"]))))
 
 
 def filled(df: DataFrame) -> DataFrame:
@@ -78,22 +97,26 @@ def filled(df: DataFrame) -> DataFrame:
         F.expr("lower(to_json(graph))").alias("dump"), F.col("graph.goal_node_id").alias("goal"),
     )
     # Of nodes with one id, the last one is meant.
-    return once(d).withColumns({"ids": F.expr("transform(nodes, n -> n.id)"), "by_id": F.expr("map_from_entries(transform(array_distinct(transform(nodes, n -> n.id)), i -> struct(i, element_at(filter(nodes, n -> n.id = i), -1))))")})
+    return once(d).withColumns({"ids": F.expr("transform(nodes, n -> n.id)"), "by_id": F.expr("if(size(nodes) = size(array_distinct(transform(nodes, n -> n.id))), map_from_arrays(transform(nodes, n -> n.id), nodes), map_from_entries(transform(array_distinct(transform(nodes, n -> n.id)), i -> struct(i, element_at(filter(nodes, n -> n.id = i), -1)))))")})
 
 
 def structural() -> list[str]:
     """The checks of a graph's structure, in order; each an array of errors."""
     known = "named_struct('id', x.id, 'names', array_distinct(concat(x.names, flatten(transform(filter(infs, f -> f.conclusion = x.id), f -> concat(f.declares, flatten(transform(filter(k, y -> array_contains(f.deps, y.id)), y -> y.names))))))))"
     start = "transform(map_values(by_id), n -> named_struct('id', n.id, 'names', array_distinct(concat(base, n.declares))))"
-    # Only texts that use symbols need the fixpoint.
-    formal = "exists(nodes, n -> n.claim_formal <> '') or exists(infs, f -> size(f.made) > 0)"
+    # Only texts with symbols that are not known everywhere need the fixpoint.
+    formal_nodes = f"filter(nodes, n -> n.claim_formal <> '' and {strange('n.claim_formal', 'base')})"
+    values = f"filter(f.made, m -> m.value is not null and {strange('m.value', 'base')})"
+    formal = f"exists(nodes, n -> n.claim_formal <> '' and {strange('n.claim_formal', 'base')}) or exists(infs, f -> size({values}) > 0)"
     declared = f"case when {formal} then aggregate(sequence(1, greatest(1, size(infs))), {start}, (k, i) -> transform(k, x -> {known})) else filter({start}, x -> false) end"
     of = lambda i: f"coalesce(flatten(transform(filter(declared, y -> {i}), y -> y.names)), {NONE})"
     missing = lambda text, have: f"array_except({names(text)}, {have})"
-    undeclared = lambda text, have, node, inference, label: when(f"size({missing(text, have)}) > 0", error("structural", node, inference, "'high'", f"concat({label}, ' uses undeclared: ', array_join({missing(text, have)}, ', '))"))
+    undeclared = lambda text, have, node, inference, label: let("gone", missing(text, have), when("size(gone) > 0", error("structural", node, inference, "'high'", f"concat({label}, ' uses undeclared: ', array_join(gone, ', '))")))
     inference_have = f"concat(base, f.declares, {of('array_contains(f.deps, y.id)')})"
     ends = "array_distinct(concat(ids, flatten(transform(infs, f -> array_append(f.deps, f.conclusion)))))"
     left = until_still(ends, "filter(l, n -> exists(infs, f -> f.conclusion = n and arrays_overlap(f.deps, l)))", "l", f"size({ends})")
+    # Where each dep stands before its conclusion in the list of nodes (those that do not stand there count as first), there is no cycle.
+    in_order = "forall(infs, f -> forall(f.deps, d -> coalesce(array_position(ids, d) < array_position(ids, f.conclusion), false)))"
     goal_text = "coalesce(nullif(problem.goal.text, ''), problem.goal.symbolic, '')"
     vague = "array(" + ", ".join(f"'{t}'" for t in VAGUE_GRAPH) + ")"
     some = "exists(nodes, n -> size(n.covers) > 0)"
@@ -103,8 +126,8 @@ def structural() -> list[str]:
         when("size(infs) <> size(array_distinct(transform(infs, f -> f.id)))", error("structural", "null", "null", "'high'", "'Inference ids must be unique.'")),
         each("filter(nodes, n -> n.status = 'source' and not n.source)", "n", error("structural", "n.id", "null", "'high'", "'A source must be an assumption or an allowed reference.'")),
         undeclared("coalesce(problem.goal.symbolic, '')", "base", "null", "null", "'goal'"),
-        f"flatten({each('nodes', 'n', undeclared('coalesce(n.claim_formal, ' + chr(39) * 2 + ')', of('y.id = n.id'), 'n.id', 'null', chr(39) + 'claim_formal' + chr(39)))})",
-        f"flatten({each('infs', 'f', 'flatten(' + each('filter(f.made, m -> m.value is not null)', 'm', undeclared('m.value', inference_have, 'f.conclusion', 'f.id', 'm.key')) + ')')})",
+        f"flatten({each(formal_nodes, 'n', undeclared('n.claim_formal', of('y.id = n.id'), 'n.id', 'null', chr(39) + 'claim_formal' + chr(39)))})",
+        f"flatten({each('infs', 'f', 'flatten(' + each(values, 'm', undeclared('m.value', inference_have, 'f.conclusion', 'f.id', 'm.key')) + ')')})",
         each("filter(obligations, o -> not exists(nodes, n -> array_contains(n.covers, o)))", "o", error("structural", "null", "null", f"if({some}, 'high', 'medium')", "concat('Obligation must be covered: ', o)", some)),
         "flatten("
         + each(
@@ -121,7 +144,7 @@ def structural() -> list[str]:
             + ")",
         )
         + ")",
-        when(f"size({left}) > 0", error("structural", "null", "null", "'high'", "'Proof graph must be DAG.'")),
+        when(f"not ({in_order}) and size({left}) > 0", error("structural", "null", "null", "'high'", "'Proof graph must be DAG.'")),
         f"case when not coalesce(array_contains(ids, goal), false) then array({error('structural', 'goal', 'null', chr(39) + 'high' + chr(39), chr(39) + 'Goal node must exist.' + chr(39))}) else "
         + when(f"{goal_text} <> '' and not contains({norm('by_id[goal].claim')}, {norm(goal_text)})", error("structural", "goal", "null", "'high'", "'Goal node does not align.'"))
         + " end",
@@ -142,7 +165,7 @@ def structural() -> list[str]:
 def later() -> list[str]:
     """Node proofs, symbolic claims, context, inferences; each an array of errors."""
     targets = f"filter(array({norm('n.claim_formal')}, {norm('n.claim')}), t -> t <> '')"
-    stated = f"exists({targets}, t -> exists(n.said, s -> contains({norm('s')}, t)))"
+    stated = let("targets", targets, f"exists(n.said, s -> {let('ns', norm('s'), 'exists(targets, t -> contains(ns, t))')})")
     problem = f"case when size(n.said) = 0 then 'no steps' when exists(n.said, s -> trim(coalesce(s, '')) = '') then 'blank statement' when not {stated} then 'claim not concluded' end"
     note = lambda what, text: error("critic", "null", "null", "'medium'", f"concat('{what}: ', {text})", "false")
     used = f"(coalesce(a.id, '') <> '' and contains(dump, lower(a.id))) or ({norm('a.statement')} <> '' and contains({norm('dump')}, {norm('a.statement')}))"
@@ -152,7 +175,7 @@ def later() -> list[str]:
     no_dep = "filter(f.deps, d -> not array_contains(ids, d))"
     conditions = lambda path: f"coalesce({path}, cast(array() as array<struct<id:string,statement:string>>))"
     return [
-        f"flatten({each('filter(nodes, n -> not n.source)', 'n', when(f'{problem} is not null', error('node_proof', 'n.id', 'null', chr(39) + 'high' + chr(39), problem)))})",
+        f"flatten({each('filter(nodes, n -> not n.source)', 'n', let('problem', problem, when('problem is not null', error('node_proof', 'n.id', 'null', chr(39) + 'high' + chr(39), 'problem'))))})",
         f"flatten({each('symbolic', 's', each('filter(array(s.failed, s.counterexample), m -> m is not null)', 'm', error('symbolic', 's.node_id', 'null', chr(39) + 'high' + chr(39), 'm')))})",
         "filter(critic_errors, e -> e.inference_id is null)",
         each(f"filter({conditions('problem.assumptions')}, a -> not ({used}))", "a", note("Assumption may be unused", "coalesce(a.id, a.statement, '')")),
@@ -185,20 +208,43 @@ def closure(blocked_nodes: str) -> str:
     return until_still(start, step, "v", "size(usable)")
 
 
+#: The formal claims of a proof that an equation sign gives a check, as one text with what the check depends on; null if there are none.
+CLAIMS = """case when problem.goal.symbolic like '%=%' or exists(graph.nodes, n -> n.claim_formal like '%=%') then
+    to_json(named_struct('texts', concat(array(problem.goal.symbolic), coalesce(transform(graph.nodes, n -> n.claim_formal), cast(array() as array<string>))), 'assumptions', problem.assumptions, 'domain', problem.domain)) end"""
+
+
+def failing_claims(d: DataFrame, df: DataFrame) -> DataFrame:
+    """d with symbolic: node_id, failed, counterexample of the claims that fail, the goal's (without node_id) first.
+
+    The claims are tested in rows of their own and joined: a row that waits for Python is held on disk with all of its columns. Proofs of one id
+    are told apart by the claims themselves. d is dealt by proof_id at most once, and is not sorted.
+    """
+    texts = "concat(array(problem.goal.symbolic), coalesce(transform(graph.nodes, n -> n.claim_formal), cast(array() as array<string>)))"
+    own = df.select("proof_id", F.expr(CLAIMS).alias("claims"), F.expr(texts).alias("texts"), F.expr("coalesce(to_json(problem.assumptions), '')").alias("assumed"), F.expr("coalesce(to_json(problem.domain), '')").alias("domain"))
+    tested = lambda rows: rows.select("proof_id", F.md5("claims").alias("of"), symbolic.checked_all(F.col("texts"), F.col("assumed"), F.col("domain")).alias("tests")).filter("exists(tests, t -> t.failed is not null or t.counterexample is not null)")
+    gathered = F.collect_set(F.struct("of", "tests"))
+    failing = tested(own.filter("claims is not null and proof_id is not null")).groupBy(F.col("proof_id").alias("_proof")).agg(gathered.alias("_failing"))
+    d = d.join(failing.hint("shuffle_hash"), F.col("proof_id") == F.col("_proof"), "left")
+    # Proofs without an id share one row; a null-safe join by id would deal all rows anew.
+    nameless = tested(own.filter("claims is not null and proof_id is null")).groupBy().agg(gathered.alias("_nameless"))
+    d = d.join(F.broadcast(nameless), F.col("proof_id").isNull(), "left").withColumn("_failing", F.coalesce("_failing", "_nameless"))
+    shown = "transform(concat(array(cast(null as string)), transform(nodes, n -> n.id)), (c, i) -> named_struct('node_id', c, 'failed', get(ts, i).failed, 'counterexample', get(ts, i).counterexample))"
+    own_tests = f"get(filter(_failing, x -> x.of = md5({CLAIMS})), 0).tests"
+    symbolic_ = f"case when size(_failing) > 0 then {let('ts', own_tests, shown)} else filter({let('ts', 'cast(null as array<struct<failed:string,counterexample:string>>)', shown)}, x -> false) end"
+    return d.withColumn("symbolic", F.expr(symbolic_)).drop("_failing", "_proof", "_nameless")
+
+
 def verified(df: DataFrame) -> DataFrame:
     """proof_id, errors (array of ERROR in the order of emission, so error_id is E and the place), node_status, inference_status,
     obligation_status (maps by id to verified or failed, pass or fail), accepted."""
-    d = once(filled(df))
-    claims = F.expr("concat(array(named_struct('node_id', cast(null as string), 'text', problem.goal.symbolic)), transform(nodes, n -> named_struct('node_id', n.id, 'text', n.claim_formal)))")
-    d = d.withColumn("claims", claims).withColumn("tests", symbolic.checked_all(F.expr("transform(claims, c -> c.text)"), F.expr("coalesce(to_json(problem.assumptions), '')"), F.expr("coalesce(to_json(problem.domain), '')")))
-    d = d.withColumn("symbolic", F.expr("transform(claims, (c, i) -> named_struct('node_id', c.node_id, 'failed', get(tests, i).failed, 'counterexample', get(tests, i).counterexample))"))
+    d = failing_claims(once(filled(df)), df)
     declared, *checks = structural()
     d = once(d.withColumn("declared", F.expr(declared.removeprefix("DECLARED "))))
     invalid = each("schema_errors", "p", error("json_schema", "null", "null", "'high'", "p"))
     rest = f"cast(concat({', '.join([*checks, *later()])}) as array<{ERROR}>)"
     d = d.withColumn("before", F.expr(f"case when size(schema_errors) > 0 then cast({invalid} as array<{ERROR}>) else {rest} end"))
     blocked = lambda errors, key: f"array_distinct(filter(transform(filter({errors}, e -> e.blocking or e.severity = 'high'), e -> e.{key}), i -> i is not null))"
-    d = once(d.drop("declared", "dump", "problem", "contract", "graph", "symbolic", "tests", "claims"))
+    d = once(d.drop("declared", "dump", "problem", "contract", "graph", "symbolic"))
     d = once(d.withColumns({"bn": F.expr(blocked("before", "node_id")), "bi": F.expr(blocked("before", "inference_id"))}))
     usable = "filter(infs, f -> not coalesce(array_contains(bi, f.id), false) and size(f.rules) > 0 and coalesce(array_contains(ids, f.conclusion), false) and size(array_except(f.deps, ids)) = 0)"
     d = once(once(d.withColumn("usable", F.expr(usable))).withColumn("reached", F.expr(closure("bn"))))

@@ -344,6 +344,21 @@ def test_all_verifiers(spark):
     assert done["critic"].inference_status == {"I1": "verified", "I2": "failed"} and done["no steps"].node_status == {"A1": "verified", "L1": "failed", "G1": "failed"}
 
 
+def test_claims_are_tested_in_narrow_rows(spark):
+    """A row that waits for Python holds its claims, not the proof; proofs of one id, or of none, keep their own results."""
+    wrong = lambda d, n, f: n[1].update(claim_formal="x = 1", proof_body=body("x = 1"))
+    rows = [artifact("p", wrong), artifact("p"), artifact("p", wrong), artifact(None, wrong), artifact(None)]
+    result = verifyall.verified(spark.createDataFrame(rows, ARTIFACT))
+    found = sorted((str(r.proof_id), sum(e.source == "symbolic" for e in r.errors)) for r in result.collect())
+    want = 1 + bool(symbolic.counterexample("x = 1", "", "{}"))
+    assert found == sorted([("p", want), ("p", 0), ("p", want), ("None", want), ("None", 0)])
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    python = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert python and not any("contract" in line or "critic_errors" in line for line in python)
+    below = plan.split("ArrowEvalPython")[1:]
+    assert not any("Generate inline" in part.split("LogicalRDD")[0].split("LocalRelation")[0] for part in below)
+
+
 def test_all_verifiers_of_texts(spark):
     """Artifacts as JSON text: schema violations in order stop the other checks; declarations may be names or objects."""
     def texts(name, change=None, cut=None):
