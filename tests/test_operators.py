@@ -394,3 +394,13 @@ def test_all_verifiers_of_texts(spark):
     assert errors["undeclared"][0] == ("structural", "claim_formal uses undeclared: u")
     assert errors["schema"] == [("json_schema", "allowed_references.1: 5 is not of type 'string'"), ("json_schema", "nodes.0.status: 'odd' is not one of ['planned', 'proven', 'verified', 'failed', 'patched', 'source']"), ("json_schema", "nodes.1: 'claim' is a required property")]
     assert errors["cut"] == errors["null"] == [("json_schema", "<root>: no JSON")]
+
+
+def test_repeated_claims_are_checked_once(monkeypatch):
+    import pandas as pd
+
+    seen = []
+    monkeypatch.setattr(symbolic, "check", lambda t: (seen.append(t), ("equation", t == "a = a"))[1])
+    long = "b = b" + " " * symbolic.KEPT
+    got = symbolic._checked.func(pd.Series(["a = a", "a = b", None, "a = a", None, long, long]))
+    assert got["holds"].tolist() == [True, False, False, True, False, False, False] and sorted(map(str, seen)) == sorted(["a = a", "a = b", "None", long, long])
