@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, rows, staged, table, tokenizer_file
+from .common import WIDE, arrow_schema, batched, rows, staged, table, tokenizer_file
 
 SPACE = "▁"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -284,37 +284,32 @@ def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None =
     normaliser changes) have no tokens: zeros and ''. Repeated rows stay, and count as often as they stand. An empty table
     gives an empty result; other columns are not read.
     """
-    made = staged(blocks(docs, byte_level, pieces), "aligned-blocks")
+    made = staged(blocks(docs, byte_level, pieces), "aligned-blocks", **WIDE)
     asked = made.select("block", F.posexplode("pairs").alias("at", "pair")).join(pair_counts(made), "pair")
-    answers = asked.groupBy("block").agg(F.collect_list(F.struct("at", "n", "best")).alias("found"))
-    answers = answers.select("block", F.col("found.at").alias("at"), F.col("found.n").alias("n"), F.col("found.best").alias("best"))
+    answers = asked.select(F.col("block").alias("of"), "at", "n", "best")
     own = made.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "doc_at", "segs", "times", "seg_at", "links")
-    return own.join(answers, "block", "left").mapInArrow(summed, ALIGNED)
+    # Groups go to Python one by one; joined rows would go in batches of thousands of blocks, of several MB each.
+    return own.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(summed, ALIGNED)
 
 
-def summed(batches):
-    """Rows of ALIGNED from blocks with the counts of their pairs."""
+def summed(block, answers):
+    """Rows of ALIGNED of a block (a row of it) with the counts of its pairs (a row each)."""
     import numpy as np
-
-    columns = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "doc_at", "segs", "times", "seg_at", "links", "at", "n", "best")
-
-    def records():
-        for b in batches:
-            for k in range(b.num_rows):
-                r = {c: b.column(c)[k].values for c in columns}
-                v = {c: np.asarray(r[c]) if r[c] is not None else np.zeros(0, np.int64) for c in ("doc_at", "segs", "times", "seg_at", "links", "at", "n")}
-                n, best = np.zeros(len(v["at"]), np.int64), np.zeros(len(v["at"]), np.int64)
-                n[v["at"]] = v["n"]
-                if len(best):
-                    best[v["at"]] = r["best"].to_numpy(zero_copy_only=False)
-                # Sums over a segment's links by differences of running sums.
-                run_n, run_best = (np.concatenate([[0], np.cumsum(x[v["links"]])]) if len(v["links"]) else np.zeros(1, np.int64) for x in (n, best))
-                seg_n, seg_best = (np.diff(x[v["seg_at"]]) for x in (run_n, run_best))
-                doc_n, doc_best = (np.concatenate([[0], np.cumsum(x[v["segs"]] * v["times"])]).astype(np.int64) if len(v["segs"]) else np.zeros(1, np.int64) for x in (seg_n, seg_best))
-                sums = [np.diff(x[v["doc_at"]]).tolist() for x in (doc_best, doc_n)]
-                yield from zip(*(r[c].to_pylist() for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, r["groups_sha256"].to_pylist())
-
-    yield from batched(records(), arrow_schema(ALIGNED))
+    import pyarrow as pa
+
+    schema = arrow_schema(ALIGNED)
+    r = {c: block.column(c).combine_chunks().flatten() for c in block.column_names if c != "block"}
+    v = {c: r[c].to_numpy() for c in ("doc_at", "segs", "times", "seg_at", "links")}
+    at = answers.column("at").to_numpy()
+    n, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    n[at], best[at] = answers.column("n").to_numpy(), answers.column("best").to_numpy()
+    # Sums over a segment's links by differences of running sums.
+    run_n, run_best = (np.concatenate([[0], np.cumsum(x[v["links"]])]) if len(v["links"]) else np.zeros(1, np.int64) for x in (n, best))
+    seg_n, seg_best = (np.diff(x[v["seg_at"]]) for x in (run_n, run_best))
+    doc_n, doc_best = (np.concatenate([[0], np.cumsum(x[v["segs"]] * v["times"])]).astype(np.int64) if len(v["segs"]) else np.zeros(1, np.int64) for x in (seg_n, seg_best))
+    sums = [pa.array(np.diff(x[v["doc_at"]]), pa.int64()) for x in (doc_best, doc_n)]
+    columns = [*(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, r["groups_sha256"]]
+    return pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
 def groups(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None) -> DataFrame:

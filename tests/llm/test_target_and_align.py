@@ -160,3 +160,26 @@ def test_op5_wide_ids_and_ties(spark, tmp_path):
     assert tokenstore.ids_of(ids, 3).tolist() == [70_000, 3, 70_000] and tokenstore.ids_of(b"", 0).tolist() == []
     with pytest.raises(ValueError):
         tokenstore.ids_of(ids[:-1], 3)
+
+
+def test_op13_wide_rows_stay_few(spark, monkeypatch, tmp_path):
+    """Blocks of several MB: readers and Python get a few of them at a time."""
+    import pyarrow.parquet as pq
+
+    made, paths = align.staged, []
+
+    def staged(df, name, **options):
+        out = made(df, name, **options)
+        paths.append((name, out.inputFiles()))
+        return out
+
+    wide = "transform(sequence(0, 499999), i -> pmod(hash(i, id), 1000))"
+    rows = spark.range(0, 60, 1, 1).selectExpr("concat('b', id) as block", *[f"array(id) as {c}" for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], "array('x') as groups_sha256", "array(0, 500000) as doc_at", f"{wide} as segs", f"{wide} as times", "sequence(0, 1000) as seg_at", "sequence(0, 999) as links", "sequence(0L, 999L) as pairs", "array_repeat(1L, 1000) as n_pairs")
+    monkeypatch.setattr(align, "staged", staged)
+    monkeypatch.setattr(align, "blocks", lambda *a: rows)
+    out = align.aligned(None)
+    files = [f.removeprefix("file:") for name, fs in paths if name == "aligned-blocks" for f in fs]
+    groups = [m.row_group(i).num_rows for m in (pq.ParquetFile(f).metadata for f in files) for i in range(m.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= 20
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString().replace("FlatMapCoGroupsInArrow", "")
+    assert out.count() == 60
