@@ -454,6 +454,22 @@ def test_op9_blocks(spark):
     assert all(got[2 * i] & got[2 * i + 1] for i in range(60) if len(rows[2 * i][1].split()) > 100)
 
 
+def test_op9_crowded_bucket(spark):
+    """Lines of a bucket of any size meet: 100 near pairs that have one block in common, the same for all, are linked each."""
+    texts = []
+    for i in range(100):
+        w = words(20 + i % 7, 5000 + i)
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], w[-1] + "q"]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    thin = linededup.lines_of(docs).select("doc_id", "text_hash", "pos", "key", F.length("norm").alias("size"), F.expr("array(7L)").alias("blocks"))
+    assert thin.count() == 200 > 2 * linededup.CROWDED
+    doc = {r.key: r.doc_id for r in thin.collect()}
+    groups = {}
+    for r in linededup.groups(docs, thin).collect():
+        groups.setdefault(r.root, set()).add(doc[r.node])
+    assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(100)]
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
