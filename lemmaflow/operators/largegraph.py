@@ -28,24 +28,51 @@ def column(df: DataFrame, name: str, default):
     return F.coalesce(name, default) if name in df.columns else default
 
 
-def dealt(edges: DataFrame, hub: int, salts: int) -> tuple[DataFrame, DataFrame]:
-    """edges (proof_id, dep, k ...) with salt, by k for the edges of hubs and else 0; and the hubs (proof_id, dep, of)."""
-    hubs = edges.groupBy("proof_id", "dep").count().filter(F.col("count") > hub).select("proof_id", "dep", F.lit(salts).alias("of"))
-    salted = edges.join(hubs, ["proof_id", "dep"], "left").withColumn("salt", F.when(F.col("of").isNull(), 0).otherwise(F.pmod(F.hash("k"), F.lit(salts)))).drop("of")
+def dealt(edges: DataFrame, hub: int, salts: int, on: tuple[str, ...] = ("proof_id", "dep")) -> tuple[DataFrame, DataFrame]:
+    """edges (dep, k ...) with salt, by k for the edges of hubs and else 0; and the hubs (dep, of)."""
+    hubs = edges.groupBy(*on).count().filter(F.col("count") > hub).select(*on, F.lit(salts).alias("of"))
+    salted = edges.join(hubs, [*on], "left").withColumn("salt", F.when(F.col("of").isNull(), 0).otherwise(F.pmod(F.hash("k"), F.lit(salts)))).drop("of")
     return salted, hubs
 
 
-def along(frontier: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
+def along(frontier: DataFrame, edges: DataFrame, hubs: DataFrame, on: tuple[str, ...] = ("proof_id", "dep")) -> DataFrame:
     """The edges that start in the frontier (proof_id, dep), the frontier's hubs meeting each part of their edges."""
-    f = frontier.join(hubs, ["proof_id", "dep"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))).drop("of")
-    return f.join(edges, ["proof_id", "dep", "salt"])
+    f = frontier.join(hubs, [*on], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))).drop("of")
+    return f.join(edges, [*on, "salt"])
 
 
-def fresh(found: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct found rows not in known. known is only scanned while found is small enough to be broadcast."""
-    found = found.select(*on).distinct()
-    again = known.join(found, on, "left_semi").select(*on).distinct()
-    return found.join(again, on, "left_anti")
+def buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(stages: Stages, nodes: DataFrame):
+    """(h, proof_id, id, source, blocked of each node, in buckets by h; the function from proof_id and id to h).
+
+    h is a 64-bit hash. Two nodes of one h would be taken for each other, so that is looked for, and then another hash is taken.
+    """
+    n = nodes.dropna(subset=["proof_id", "id"])
+    for seed in range(9):
+        number = lambda id_, seed=seed: F.xxhash64(F.lit(seed), "proof_id", id_)
+        own = n.select(number("id").alias("h"), "proof_id", "id", F.coalesce(F.col("node_type").isin(SOURCE_TYPES), F.lit(False)).alias("source") if "node_type" in n.columns else F.lit(False).alias("source"), column(n, "blocked", F.lit(False)).alias("blocked"))
+        own = own.repartition(buckets(n), "h").groupBy("h", "proof_id", "id").agg(F.bool_or("source").alias("source"), F.bool_or("blocked").alias("blocked"))
+        known = stages.deal(f"nodes{seed}", own, "h")[1].drop("round")
+        if known.groupBy("h").count().filter("count > 1").isEmpty():
+            return known, number
+    raise ValueError("nodes share a hash under every seed")
+
+
+def numbered_edges(stages: Stages, edges: DataFrame, hub: int, salts: int) -> tuple[DataFrame, DataFrame]:
+    """edges (dep, k ..., numbers) in buckets by dep and salt; and the hubs."""
+    salted, hubs = dealt(edges, hub, salts, ("dep",))
+    hubs = stages.put("hubs", hubs)
+    salted = edges.join(F.broadcast(hubs), "dep", "left").withColumn("salt", F.when(F.col("of").isNull(), 0).otherwise(F.pmod(F.hash("k"), F.lit(salts)))).drop("of")
+    return stages.deal("edges", salted.repartition(buckets(edges), "dep", "salt"), "dep", "salt")[1].drop("round"), hubs
+
+
+def onward(new: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """along(), from rows with h. Only the new rows move: edges lie in buckets, and a hash table is made of the new rows."""
+    f = new.withColumnRenamed("h", "dep").join(F.broadcast(hubs), "dep", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))).drop("of")
+    return f.hint("shuffle_hash").join(edges, ["dep", "salt"]).drop("dep", "salt")
 
 
 def rules(nodes: DataFrame, inferences: DataFrame) -> DataFrame:
@@ -58,40 +85,49 @@ def rules(nodes: DataFrame, inferences: DataFrame) -> DataFrame:
     return i.join(broken, "k", "left_anti")
 
 
-def closure(nodes: DataFrame, inferences: DataFrame, hub: int = HUB, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
-    """(reached: proof_id, id, round; fired: proof_id, k, deps, conclusion): the nodes that unblocked sources derive and the
-    inferences all of whose deps are reached. A blocked node is not reached, though an inference to it may have fired.
+def reach(nodes: DataFrame, inferences: DataFrame, hub: int, salts: int) -> tuple[DataFrame, DataFrame]:
+    """(known: the nodes as numbered() has them; reached: h, round), both in buckets by h.
 
-    Each inference has a counter of its deps not yet reached. A round joins the newly reached nodes to the edges, lowers
-    the counters that they touch, and takes the conclusions of those at zero that are new.
+    A round joins the newly reached nodes to the edges and writes how many deps of an inference that meets; with what was
+    written for these inferences before, all of its deps are met or not. An end that no node has is never reached. So what moves
+    over all rounds is each edge once, and edges, nodes and what is known stay in their buckets.
     """
     stages = Stages(nodes.sparkSession, "closure")
-    usable = stages.put("rules", rules(nodes, inferences))
-    free = nodes.groupBy("proof_id", "id").agg(F.bool_or(F.col("node_type").isin(SOURCE_TYPES)).alias("source"), F.bool_or(column(nodes, "blocked", F.lit(False))).alias("blocked"))
-    free = stages.put("free", free.filter("not blocked").select("proof_id", "id", F.coalesce("source", F.lit(False)).alias("source")))
-    edges, hubs = dealt(usable.select("proof_id", "k", "conclusion", F.size("deps").alias("n"), F.explode("deps").alias("dep")), hub, salts)
-    edges, hubs = stages.put("edges", edges), stages.put("hubs", hubs)
-    # Inferences with one dep need no counter: they fire when it is met.
-    open_ = stages.put("open", usable.filter("size(deps) > 1").select("proof_id", "k", "conclusion", F.size("deps").alias("left")))
-    given = usable.filter("size(deps) = 0").select("proof_id", F.col("conclusion").alias("id")).join(free.drop("source"), ["proof_id", "id"], "left_semi")
-    new, reached = stages.add("reached", free.filter("source").select("proof_id", "id").unionByName(given).distinct())
+    known, number = numbered(stages, nodes)
+    free = known.filter("not blocked")
+    i = inferences.filter(~column(inferences, "blocked", F.lit(False))).dropna(subset=["proof_id", "conclusion"])
+    i = i.select("proof_id", F.array_distinct(F.coalesce("deps", F.array().cast("array<string>"))).alias("deps"), number("conclusion").alias("conclusion"))
+    edges = i.withColumn("k", F.monotonically_increasing_id()).select("proof_id", "k", "conclusion", F.size("deps").alias("n"), F.explode("deps").alias("dep")).dropna(subset=["dep"])
+    edges, hubs = numbered_edges(stages, edges.select(number("dep").alias("dep"), "k", "conclusion", "n"), hub, salts)
+    given = free.join(i.filter("size(deps) = 0").select(F.col("conclusion").alias("h")).distinct().hint("shuffle_hash"), "h").select("h")
+    new, reached = stages.deal("reached", free.filter("source").select("h").unionByName(given).distinct(), "h")
     while not new.isEmpty():
-        met = stages.put("met", along(new.withColumnRenamed("id", "dep"), edges, hubs).select("proof_id", "k", "conclusion", "n"))
-        lowered = open_.join(met.filter("n > 1").groupBy("k").agg(F.count("*").alias("less")), "k", "left")
-        lowered = stages.put("open", lowered.select("proof_id", "k", "conclusion", (F.col("left") - F.coalesce("less", F.lit(0))).cast("int").alias("left")))
-        ends = met.filter("n = 1").select("proof_id", "conclusion").unionByName(lowered.filter("left = 0").select("proof_id", "conclusion"))
-        open_ = lowered.filter("left > 0")
-        ends = ends.withColumnRenamed("conclusion", "id").distinct().join(free.drop("source"), ["proof_id", "id"], "left_semi")
-        new, reached = stages.add("reached", fresh(ends, reached, ["proof_id", "id"]))
+        met = onward(new, edges, hubs).groupBy("k").agg(F.max("conclusion").alias("h"), F.max("n").alias("n"), F.count("*").alias("met"))
+        met, all_met = stages.deal("met", met, "k")
+        # Inferences with one dep fire when it is met; the others, when the deps met in all rounds are as many as they have.
+        more = met.filter("met < n").select("k").hint("shuffle_hash").join(all_met, "k").groupBy("k").agg(F.max("h").alias("h"), F.max("n").alias("n"), F.sum("met").alias("met"))
+        ends = met.filter("met = n").select("h").unionByName(more.filter("met = n").select("h")).distinct()
+        ends = free.join(ends.hint("shuffle_hash"), "h").select("h")
+        new, reached = stages.deal("reached", ends.hint("shuffle_hash").join(reached.select("h", "round"), "h", "left").filter("round is null").select("h"), "h")
+    return known, reached
+
+
+def closure(nodes: DataFrame, inferences: DataFrame, hub: int = HUB, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
+    """(reached: proof_id, id, round; fired: proof_id, k, deps, conclusion): the nodes that unblocked sources derive and the
+    inferences all of whose deps are reached. A blocked node is not reached, though an inference to it may have fired.
+    """
+    known, reached = reach(nodes, inferences, hub, salts)
+    reached = known.join(reached, "h").select("proof_id", "id", "round")
+    usable = rules(nodes, inferences)
     held = usable.select("proof_id", "k", F.explode("deps").alias("id")).join(reached, ["proof_id", "id"], "left_semi").groupBy("k").agg(F.count("*").alias("held"))
     return reached, usable.join(held, "k", "left").filter("coalesce(held, 0) = size(deps)").drop("held")
 
 
-def closure_misses(nodes: DataFrame, inferences: DataFrame, **sizes) -> DataFrame:
+def closure_misses(nodes: DataFrame, inferences: DataFrame, hub: int = HUB, salts: int = SALTS) -> DataFrame:
     """proof_id, id of nodes, neither sources nor blocked, that nothing derives."""
-    reached, _ = closure(nodes, inferences, **sizes)
-    lost = nodes.filter(F.col("id").isNotNull()).groupBy("proof_id", "id").agg(F.bool_or(F.col("node_type").isin(SOURCE_TYPES)).alias("s"), F.bool_or(column(nodes, "blocked", F.lit(False))).alias("b"))
-    return lost.filter("not coalesce(s, false) and not b").select("proof_id", "id").join(reached, ["proof_id", "id"], "left_anti")
+    known, reached = reach(nodes, inferences, hub, salts)
+    lost = known.filter("not source and not blocked")
+    return lost.join(reached, "h", "left_anti").select("proof_id", "id")
 
 
 def edges_of(inferences: DataFrame) -> DataFrame:
@@ -148,25 +184,33 @@ def witness_cycles(edges: DataFrame, hub: int = HUB, salts: int = SALTS) -> Data
     return on.select("proof_id", "length", F.col("to").alias("u"), F.col("id").alias("v"))
 
 
-def declared(nodes: DataFrame, inferences: DataFrame, hub: int = HUB, salts: int = SALTS) -> DataFrame:
-    """proof_id, id, symbol: what a node declares, what an inference to it declares, and what the deps of such an inference have.
+def declared_sets(nodes: DataFrame, inferences: DataFrame, hub: int = HUB, salts: int = SALTS) -> DataFrame:
+    """proof_id, id, symbols of the nodes that have any; see declared().
 
-    Each round carries only the (node, symbol) rows that are new along the edges.
+    Each round carries the symbols that are new at a node along its edges, as one array; edges, nodes and what is known stay in buckets.
     """
     stages = Stages(nodes.sparkSession, "declared")
-    known = nodes.select("proof_id", "id").dropna().distinct()
-    edges = edges_of(inferences).select("proof_id", F.col("u").alias("dep"), F.col("v").alias("k"))
-    edges, hubs = dealt(edges.join(known.withColumnRenamed("id", "k"), ["proof_id", "k"], "left_semi"), hub, salts)
-    edges, hubs = stages.put("edges", edges), stages.put("hubs", hubs)
-    own = nodes.select("proof_id", "id", F.explode("declares").alias("symbol"))
-    if "declares" in inferences.columns:
-        made = inferences.select("proof_id", F.col("conclusion").alias("id"), F.explode("declares").alias("symbol"))
-        own = own.unionByName(made.join(known, ["proof_id", "id"], "left_semi"))
-    new, all_ = stages.add("names", own.dropna().distinct())
+    known, number = numbered(stages, nodes)
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    clean = lambda df, c: F.array_distinct(F.array_compact(c)).alias("symbols")
+    i = inferences.dropna(subset=["proof_id", "conclusion"]).select("proof_id", "deps", number("conclusion").alias("k"), column(inferences, "declares", F.array().cast("array<string>")).alias("declares"))
+    edges = i.select("proof_id", "k", F.explode("deps").alias("dep")).dropna().select(number("dep").alias("dep"), "k")
+    edges, hubs = numbered_edges(stages, edges, hub, salts)
+    own = nodes.dropna(subset=["proof_id", "id"]).select(number("id").alias("h"), clean(nodes, "declares"))
+    own = own.unionByName(i.select(F.col("k").alias("h"), clean(i, "declares"))).filter("size(symbols) > 0").groupBy("h").agg(flat("symbols").alias("found"))
+    new, names = stages.deal("names", known.select("h").join(own.hint("shuffle_hash"), "h").select("h", F.col("found").alias("symbols")), "h")
     while not new.isEmpty():
-        there = along(new.withColumnRenamed("id", "dep"), edges, hubs).select("proof_id", F.col("k").alias("id"), "symbol")
-        new, all_ = stages.add("names", fresh(there, all_, ["proof_id", "id", "symbol"]))
-    return all_.select("proof_id", "id", "symbol")
+        found = onward(new, edges, hubs).groupBy(F.col("k").alias("h")).agg(flat("symbols").alias("found"))
+        found = known.select("h").join(found.hint("shuffle_hash"), "h")
+        found = found.hint("shuffle_hash").join(names.select("h", "symbols"), "h", "left").groupBy("h", "found").agg(F.flatten(F.collect_list("symbols")).alias("had"))
+        new, names = stages.deal("names", found.select("h", F.array_except("found", "had").alias("symbols")).filter("size(symbols) > 0"), "h")
+    sets = names.groupBy("h").agg(F.flatten(F.collect_list("symbols")).alias("symbols"))
+    return known.join(sets, "h").select("proof_id", "id", "symbols")
+
+
+def declared(nodes: DataFrame, inferences: DataFrame, hub: int = HUB, salts: int = SALTS) -> DataFrame:
+    """proof_id, id, symbol: what a node declares, what an inference to it declares, and what the deps of such an inference have."""
+    return declared_sets(nodes, inferences, hub, salts).select("proof_id", "id", F.explode("symbols").alias("symbol"))
 
 
 def undeclared(proofs: DataFrame, nodes: DataFrame, inferences: DataFrame, **sizes) -> DataFrame:
@@ -177,24 +221,19 @@ def undeclared(proofs: DataFrame, nodes: DataFrame, inferences: DataFrame, **siz
     those at its deps). label: goal, claim_formal, or the instantiation's key.
     """
     base = proofs.select("proof_id", F.explode("base").alias("symbol")).distinct()
-    names = declared(nodes, inferences, **sizes)
+    names = declared_sets(nodes, inferences, **sizes)
     none = F.lit(None).cast("string")
+    strange = "symbols is null or not array_contains(symbols, symbol)"
     goals = proofs.select("proof_id", F.lit("goal").alias("kind"), none.alias("node_id"), none.alias("inference_id"), F.lit("goal").alias("label"), F.explode(symbols(F.coalesce("goal_symbolic", F.lit("")))).alias("symbol"))
-    used = nodes.select("proof_id", F.lit("node").alias("kind"), F.col("id").alias("node_id"), none.alias("inference_id"), F.lit("claim_formal").alias("label"), F.explode(symbols(F.coalesce("claim_formal", F.lit("")))).alias("symbol")).distinct()
-    used = used.join(base, ["proof_id", "symbol"], "left_anti").join(names.withColumnRenamed("id", "node_id"), ["proof_id", "node_id", "symbol"], "left_anti")
+    used = nodes.select("proof_id", F.lit("node").alias("kind"), F.col("id").alias("node_id"), none.alias("inference_id"), F.lit("claim_formal").alias("label"), F.explode(symbols(F.coalesce("claim_formal", F.lit("")))).alias("symbol"))
+    used = used.join(base, ["proof_id", "symbol"], "left_anti").join(names.withColumnRenamed("id", "node_id"), ["proof_id", "node_id"], "left").filter(strange).drop("symbols").distinct()
 
     own = column(inferences, "declares", F.array().cast("array<string>"))
     i = inferences.select("proof_id", F.col("id").alias("inference_id"), F.col("conclusion").alias("node_id"), F.coalesce("deps", F.array().cast("array<string>")).alias("deps"), own.alias("own"), F.explode("instantiation").alias("label", "value")).filter("value is not null")
     i = i.select("proof_id", "inference_id", "node_id", "deps", "own", "label", F.explode(symbols("value")).alias("symbol")).filter(~F.array_contains("own", F.col("symbol"))).drop("own")
-    i = i.join(base, ["proof_id", "symbol"], "left_anti").distinct()
-    row = ["proof_id", "inference_id", "node_id", "label", "symbol", "deps"]
-    has = i.select(*row, F.explode("deps").alias("id")).join(names, ["proof_id", "id", "symbol"], "left_semi").select(*row).distinct()
-    # A left anti join on nullable columns: rows equal in all of them, nulls included.
-    a, b = i.alias("a"), has.alias("b")
-    same = F.lit(True)
-    for c in row:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    i = a.join(b, same, "left_anti").select("proof_id", F.lit("inference").alias("kind"), "node_id", "inference_id", "label", "symbol").distinct()
+    i = Stages(nodes.sparkSession, "uses").put("uses", i.join(base, ["proof_id", "symbol"], "left_anti").withColumn("k", F.monotonically_increasing_id()))
+    has = i.select("k", "proof_id", "symbol", F.explode("deps").alias("id")).join(names, ["proof_id", "id"]).filter("array_contains(symbols, symbol)").select("k").distinct()
+    i = i.join(has, "k", "left_anti").select("proof_id", F.lit("inference").alias("kind"), "node_id", "inference_id", "label", "symbol").distinct()
     goals = goals.join(base, ["proof_id", "symbol"], "left_anti")
     columns = ["proof_id", "kind", "node_id", "inference_id", "label", "symbol"]
     return goals.select(*columns).unionByName(used.select(*columns)).unionByName(i)
