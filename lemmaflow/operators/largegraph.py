@@ -2,7 +2,8 @@
 
 graph.py folds over one row per proof, which suits proofs of a few nodes; here a graph is rows of nodes and edges, and
 one graph may be the whole table. Every fixpoint is semi-naive: a round joins only what the last round found, and its
-tables are written between rounds (sources/staging.py). A loop ends when a round finds nothing; rounds are as many as the
+tables are written between rounds (sources/staging.py). Closure and declared symbols have nodes as 64-bit numbers, in tables dealt to buckets
+once, so that only what a round finds is shuffled. A loop ends when a round finds nothing; rounds are as many as the
 longest derivation (closure, declared), the longest path (peeling), or the logarithm of the nodes on cycles (witnesses).
 
   nodes       proof_id, id, node_type; blocked (boolean) if errors block some; declares (array) for symbols
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import symbols
 from ..sources.staging import Stages
@@ -22,23 +24,38 @@ from .graph import SOURCE_TYPES
 
 #: Edges of one node from which on they are dealt to SALTS parts (and the node to all of these) before a join.
 HUB, SALTS = 50_000, 32
+#: Edges of a graph up to which it is a row and its cycle found in one pass.
+SMALL = 500
 
 
 def column(df: DataFrame, name: str, default):
     return F.coalesce(name, default) if name in df.columns else default
 
 
-def dealt(edges: DataFrame, hub: int, salts: int, on: tuple[str, ...] = ("proof_id", "dep")) -> tuple[DataFrame, DataFrame]:
-    """edges (dep, k ...) with salt, by k for the edges of hubs and else 0; and the hubs (dep, of)."""
-    hubs = edges.groupBy(*on).count().filter(F.col("count") > hub).select(*on, F.lit(salts).alias("of"))
-    salted = edges.join(hubs, [*on], "left").withColumn("salt", F.when(F.col("of").isNull(), 0).otherwise(F.pmod(F.hash("k"), F.lit(salts)))).drop("of")
-    return salted, hubs
+def hubs_of(edges: DataFrame, hub: int, salts: int, on: list[str]) -> DataFrame:
+    """The hubs (the columns on, of): nodes where more than hub edges start, and to how many parts these are dealt."""
+    return edges.groupBy(*on).count().filter(F.col("count") > hub).select(*on, F.lit(salts).alias("of"))
 
 
-def along(frontier: DataFrame, edges: DataFrame, hubs: DataFrame, on: tuple[str, ...] = ("proof_id", "dep")) -> DataFrame:
+def salted(edges: DataFrame, hubs: DataFrame, salts: int, on: list[str]) -> DataFrame:
+    """edges (the columns on, k ...) with salt, by k for the edges of hubs and else 0."""
+    return edges.join(hubs, on, "left").withColumn("salt", F.when(F.col("of").isNull(), 0).otherwise(F.pmod(F.hash("k"), F.lit(salts)))).drop("of")
+
+
+def spread(frontier: DataFrame, hubs: DataFrame, on: list[str]) -> DataFrame:
+    """The frontier (the columns on) with salt, hubs once for each part of their edges."""
+    return frontier.join(hubs, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))).drop("of")
+
+
+def dealt(edges: DataFrame, hub: int, salts: int) -> tuple[DataFrame, DataFrame]:
+    """edges (proof_id, dep, k ...) with salt; and the hubs (proof_id, dep, of)."""
+    hubs = hubs_of(edges, hub, salts, ["proof_id", "dep"])
+    return salted(edges, hubs, salts, ["proof_id", "dep"]), hubs
+
+
+def along(frontier: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
     """The edges that start in the frontier (proof_id, dep), the frontier's hubs meeting each part of their edges."""
-    f = frontier.join(hubs, [*on], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))).drop("of")
-    return f.join(edges, [*on, "salt"])
+    return spread(frontier, hubs, ["proof_id", "dep"]).join(edges, ["proof_id", "dep", "salt"])
 
 
 def buckets(df: DataFrame) -> int:
@@ -63,16 +80,14 @@ def numbered(stages: Stages, nodes: DataFrame):
 
 def numbered_edges(stages: Stages, edges: DataFrame, hub: int, salts: int) -> tuple[DataFrame, DataFrame]:
     """edges (dep, k ..., numbers) in buckets by dep and salt; and the hubs."""
-    salted, hubs = dealt(edges, hub, salts, ("dep",))
-    hubs = stages.put("hubs", hubs)
-    salted = edges.join(F.broadcast(hubs), "dep", "left").withColumn("salt", F.when(F.col("of").isNull(), 0).otherwise(F.pmod(F.hash("k"), F.lit(salts)))).drop("of")
-    return stages.deal("edges", salted.repartition(buckets(edges), "dep", "salt"), "dep", "salt")[1].drop("round"), hubs
+    hubs = stages.put("hubs", hubs_of(edges, hub, salts, ["dep"]))
+    parts = salted(edges, F.broadcast(hubs), salts, ["dep"]).repartition(buckets(edges), "dep", "salt")
+    return stages.deal("edges", parts, "dep", "salt")[1].drop("round"), hubs
 
 
 def onward(new: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
     """along(), from rows with h. Only the new rows move: edges lie in buckets, and a hash table is made of the new rows."""
-    f = new.withColumnRenamed("h", "dep").join(F.broadcast(hubs), "dep", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))).drop("of")
-    return f.hint("shuffle_hash").join(edges, ["dep", "salt"]).drop("dep", "salt")
+    return spread(new.withColumnRenamed("h", "dep"), F.broadcast(hubs), ["dep"]).hint("shuffle_hash").join(edges, ["dep", "salt"]).drop("dep", "salt")
 
 
 def rules(nodes: DataFrame, inferences: DataFrame) -> DataFrame:
@@ -131,8 +146,8 @@ def closure_misses(nodes: DataFrame, inferences: DataFrame, hub: int = HUB, salt
 
 
 def edges_of(inferences: DataFrame) -> DataFrame:
-    """proof_id, u, v: an edge from each dep to the conclusion."""
-    return inferences.select("proof_id", F.explode("deps").alias("u"), F.col("conclusion").alias("v")).dropna().distinct()
+    """proof_id, u, v: an edge from each dep to the conclusion; repeated ones are not taken out."""
+    return inferences.select("proof_id", F.explode("deps").alias("u"), F.col("conclusion").alias("v")).dropna()
 
 
 def unpeeled(edges: DataFrame, hub: int = HUB, salts: int = SALTS, stages: Stages | None = None) -> DataFrame:
@@ -161,14 +176,59 @@ def unpeeled(edges: DataFrame, hub: int = HUB, salts: int = SALTS, stages: Stage
     return rest.select("proof_id", "u", "v")
 
 
-def witness_cycles(edges: DataFrame, hub: int = HUB, salts: int = SALTS) -> DataFrame:
-    """proof_id, length, u, v: the edges of one cycle for each graph that has any.
+def witness_cycle(us: list, vs: list) -> list[tuple]:
+    """(length, u, v) of the edges of one small graph's witness, as witness_cycles() defines it."""
+    edges, size = set(zip(us, vs)), None
+    while len(edges) != size:
+        size, starts, ends = len(edges), {u for u, _ in edges}, {v for _, v in edges}
+        edges = {(u, v) for u, v in edges if u in ends and v in starts}
+    to: dict = {}
+    for u, v in edges:
+        to[v] = min(u, to.get(v, u))
+    best, seen = None, set()
+    for v in to:
+        path: dict = {}
+        while v not in seen:
+            seen.add(v)
+            path[v] = len(path)
+            v = to[v]
+        if v in path:
+            cycle = [x for x, k in path.items() if k >= path[v]]
+            best = min(best or (len(cycle), min(cycle), cycle), (len(cycle), min(cycle), cycle))
+    return [(best[0], to[v], v) for v in best[2]] if best else []
+
+
+def witness_cycles(edges: DataFrame, hub: int = HUB, salts: int = SALTS, small: int = SMALL) -> DataFrame:
+    """proof_id, length, u, v: the edges of one cycle for each graph that has any. Repeated edges count once.
 
     Of the nodes that cannot be peeled off, each points to its smallest remaining predecessor, and following the pointers ends in
     cycles; of these, the shortest is the witness, that with the smallest node among equals. (A graph may
-    have shorter cycles that no such pointers follow.) Pointers are doubled, so rounds are the logarithm of the nodes.
+    have shorter cycles that no such pointers follow.) A cycle has an edge that does not lead to a greater node, so graphs without
+    one are left out. Graphs of at most small edges are a row each, done in one pass; the others are done in rounds of joins:
+    pointers are doubled, so rounds are the logarithm of the nodes.
     """
     stages = Stages(edges.sparkSession, "witness")
+    sizes = edges.groupBy("proof_id").agg(F.count("*").alias("n"), F.bool_or(F.col("v") <= F.col("u")).alias("back"))
+    sizes = stages.put("sizes", sizes.filter("back").select("proof_id", (F.col("n") <= small).alias("few")))
+    few = edges.join(sizes.filter("few"), "proof_id").groupBy("proof_id").agg(F.collect_set(F.struct("u", "v")).alias("e")).select("proof_id", "e.u", "e.v")
+    kinds = {f.name: f.dataType for f in edges.schema.fields}
+    schema = StructType([StructField("proof_id", kinds["proof_id"]), StructField("length", LongType()), StructField("u", kinds["u"]), StructField("v", kinds["v"])])
+
+    def found(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [(p, *r) for p, us, vs in zip(*(c.to_pylist() for c in b.columns)) for r in witness_cycle(us, vs)]
+            types = [b.schema.types[0], pa.int64(), b.schema.types[1].value_type, b.schema.types[2].value_type]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["proof_id", "length", "u", "v"])
+
+    done = few.mapInArrow(found, schema)
+    if sizes.filter("not few").isEmpty():
+        return done
+    return done.unionByName(witnesses_in_rounds(edges.join(sizes.filter("not few"), "proof_id", "left_semi").select("proof_id", "u", "v").distinct(), hub, salts, stages))
+
+
+def witnesses_in_rounds(edges: DataFrame, hub: int, salts: int, stages: Stages) -> DataFrame:
     rest = stages.put("rest", unpeeled(edges, hub, salts, stages))
     first = stages.put("first", rest.groupBy("proof_id", F.col("v").alias("id")).agg(F.min("u").alias("to")))
     most = first.groupBy("proof_id").count().agg(F.max("count")).first()[0] or 0

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lemmaflow.operators import graph, largegraph
 
@@ -154,3 +155,23 @@ def test_undeclared_by_kind(spark):
 def test_ring(spark, n):
     edges = spark.createDataFrame([("r", str(i), str((i + 1) % n)) for i in range(n)] + [("r", "0", "tail")], "proof_id string, u string, v string")
     assert sorted((x.u, x.v) for x in largegraph.witness_cycles(edges).collect()) == sorted((str(i), str((i + 1) % n)) for i in range(n))
+
+
+def test_small_and_large_graphs_have_the_same_witnesses(spark):
+    r = random.Random(5)
+    rows = [(g, f"n{r.randrange(9)}", f"n{r.randrange(9)}") for g in range(200) for _ in range(r.randrange(1, 12))] + [(None, "a", "a")]
+    df = spark.createDataFrame(rows + rows[:50], "proof_id long, u string, v string")
+    one_pass, rounds = ({tuple(x) for x in largegraph.witness_cycles(df, small=n).collect()} for n in (500, 0))
+    assert one_pass == rounds and len({x[0] for x in rounds}) > 50
+
+
+def test_rounds_move_only_what_is_new(spark):
+    """In a round, edges, nodes and what is known are not shuffled: the plans' exchanges are over the rows that the round found."""
+    stages = largegraph.Stages(spark, "trial")
+    n = spark.createDataFrame([("g", f"n{i}", "lemma") for i in range(1000)], "proof_id string, id string, node_type string")
+    known, number = largegraph.numbered(stages, n)
+    edges, hubs = largegraph.numbered_edges(stages, known.select(F.col("h").alias("dep"), F.col("h").alias("k")), 10, 4)
+    new, _ = stages.deal("reached", known.select("h").limit(10), "h")
+    plan = largegraph.onward(new, edges, hubs)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning") <= 1
+    assert known.join(new.hint("shuffle_hash"), "h")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
