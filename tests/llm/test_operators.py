@@ -470,6 +470,32 @@ def test_op9_crowded_bucket(spark):
     assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(100)]
 
 
+def test_op9_pairs_of_a_crowded_bucket(spark, monkeypatch):
+    """Lines of a crowded bucket that have few words in common are no pairs: their number grows with the lines, not with its square."""
+    docs = spark.createDataFrame([(i, " ".join(["shared", "words", *words(12, 9000 + i)])) for i in range(300)], "doc_id long, text string")
+    thin = linededup.lines_of(docs).select("doc_id", "text_hash", "pos", "key", F.length("norm").alias("size"), F.expr("array(7L)").alias("blocks"))
+    made, similar = [], linededup.similar
+    monkeypatch.setattr(linededup, "similar", lambda pairs, texts: made.append(pairs.count()) or similar(pairs, texts))
+    assert linededup.groups(docs, thin).count() == 0
+    assert sum(made) < 10 * 300
+
+
+def test_op9_pairs_by_words(spark):
+    """In buckets of any size, all pairs that have COMMON of their words in common and lengths that allow the similarity are made, but for groups known."""
+    r, lines = random.Random(12), []
+    families = [[f"w{r.randrange(60):03d}" for _ in range(10)] for _ in range(12)]
+    for i in range(150):
+        own = r.sample(families[i % 12], r.randrange(3, 9))
+        lines.append((i, i % 90, own + [f"r{r.randrange(200):03d}" for _ in range(10 - len(own) + r.randrange(2))]))
+    hashed = spark.createDataFrame(lines, "key long, root long, words array<string>").withColumn("words", F.expr("array_distinct(transform(words, w -> xxhash64(w)))"))
+    mixed = hashed.select(F.expr("if(key < 10, 1L, 2L)").alias("v"), "key", F.expr("5 * size(words)").alias("size"), "root").withColumn("n", F.expr("if(key < 10, 10L, 140L)"))
+    got = {(x.a, x.b) for x in linededup.crossed(mixed, hashed.select("key", "words")).collect()}
+    sets = {x.key: (set(x.words), x.root, x.key < 10) for x in hashed.collect()}
+    close = lambda x, y: min(len(x), len(y)) >= linededup.SIMILAR * max(len(x), len(y)) and len(x & y) >= linededup.COMMON * max(len(x), len(y))
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a][1] != sets[b][1] and sets[a][2] == sets[b][2] and close(sets[a][0], sets[b][0])}
+    assert len(want) > 20 and want <= got
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
