@@ -17,9 +17,13 @@ by a join and are summed there.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
+from contextlib import contextmanager
+from itertools import chain
+from operator import attrgetter, itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,8 @@ WHITE = r"\s\u180e"
 CUT = re.compile(rf"(?<=[^{WHITE}])(?= .|\n[^{WHITE}])", re.DOTALL)
 #: Texts without this can be cut by plain splitting.
 UNCUT = re.compile(rf"[{WHITE}][ \n]|\n[{WHITE}]|[{WHITE}]$")
+#: Of a piece in B's proto output; of an alignment, the numbers of A tokens, B tokens and groups.
+ID_END, COUNTS = attrgetter("id", "end"), itemgetter(0, 1, 2)
 
 
 def byte_of() -> dict[str, int]:
@@ -98,17 +104,19 @@ class Aligner:
         text = "".join(segments)
         raw = text.encode()
         a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
-        ids_a, ids_b = np.array(a.ids, np.int64), np.fromiter((p.id for p in b), np.int64, len(b))
-        if b"".join([self.bytes[i] for i in ids_b.tolist()]) != raw:
+        # Each piece of the proto is a Python object while it is read: once is enough.
+        ids_a, of_b = np.array(a.ids, np.int64), np.fromiter(chain.from_iterable(map(ID_END, b)), np.int64, 2 * len(b))
+        ids_b = of_b[::2]
+        if b"".join(map(self.bytes.__getitem__, ids_b.tolist())) != raw:
             return None
         at = np.arange(len(raw) + 1)
         if len(raw) != len(text):  # where each character begins
             c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             at = np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))])
-        ends_a = refined(at[np.fromiter((e for _, e in a.offsets), np.int64, len(ids_a))], self.size_a[ids_a])
+        ends_a = refined(at[np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(ids_a))[1::2]], self.size_a[ids_a])
         # The blank before B's text is in no span.
-        ends_b = refined(np.fromiter((p.end for p in b), np.int64, len(b)) + 1, self.size_b[ids_b])
-        borders = np.cumsum([len(s.encode()) for s in segments])
+        ends_b = refined(of_b[1::2] + 1, self.size_b[ids_b])
+        borders = np.cumsum(list(map(len, segments if len(raw) == len(text) else map(str.encode, segments))))
         if ends_a[-1] != len(raw) or ends_b[-1] != len(raw):
             return None
         is_a, is_b = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
@@ -142,9 +150,7 @@ class Aligner:
     def of(self, segments: list[str], loose: set[str]) -> list[tuple | None]:
         """Alignments of distinct segments. loose: those that may not stand before others in one text."""
         known, made, held, size = self.known, {}, [], 0
-        for s in segments:
-            if s in known:
-                continue
+        for s in [s for s in segments if s not in known]:
             if s in loose:
                 made |= self.alone([s])
                 continue
@@ -200,6 +206,19 @@ class Places(dict):
         return n
 
 
+@contextmanager
+def uncollected():
+    """No search for cycles: a block makes millions of tuples and none of them is in a cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+@uncollected()
 def block_row(t: Aligner, docs: list[tuple]) -> tuple:
     """A row of BLOCKS of documents (doc_id, text).
 
@@ -222,7 +241,7 @@ def block_row(t: Aligner, docs: list[tuple]) -> tuple:
     bad = np.array([m is None for m in found], bool)
     ids = [i if not bad[i].any() else i[:0] for i in ids]
     meta = [m or (0, 0, 0, "", b"") for m in found]
-    counts = np.array([m[:3] for m in meta], np.int64).reshape(-1, 3)
+    counts = np.fromiter(chain.from_iterable(map(COUNTS, meta)), np.int64, 3 * len(meta)).reshape(-1, 3)
     texts = np.array([m[3] for m in meta], object)
     sizes = np.array([len(m[4]) // 8 for m in meta], np.int64)
     pairs, links = np.unique(np.frombuffer(b"".join([m[4] for m in meta]), np.int64), return_inverse=True)

@@ -144,6 +144,18 @@ def test_op13_cuts():
     assert align.Aligner.cut(" a b") == [" a", " b"] and align.Aligner.cut(" a\nb") == [" a", "\nb"]
 
 
+def test_op13_block_without_collector(monkeypatch):
+    """While a block is aligned, Python does not look for cycles; afterwards it does as before, after an error too."""
+    import gc
+
+    t, seen, of = align.aligner(tokenizer_file(align.BYTE_LEVEL), tokenizer_file(align.PIECES)), [], align.Aligner.of
+    monkeypatch.setattr(align.Aligner, "of", lambda *a: seen.append(gc.isenabled()) or of(*a))
+    assert gc.isenabled() and align.block_row(t, [(1, "naïve words"), (2, None)])[1] == [1, 2]
+    with pytest.raises(TypeError):
+        align.block_row(t, [(1, 5)])
+    assert seen == [False] and gc.isenabled()
+
+
 def test_op5_wide_ids_and_ties(spark, tmp_path):
     """Ids of four bytes are read back as such; documents of one doc_id have one order in the file and in the starts."""
     from lemmaflow.llm import tokenstore
