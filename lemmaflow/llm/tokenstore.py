@@ -31,6 +31,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 #: Entries that a cache of a Python worker may hold; a full cache keeps what it has, mostly frequent words.
 CACHED = 800_000
+#: Bytes of text, about, whose words are looked up together.
+TOGETHER = 8 << 20
 
 
 class _Pieces(dict):
@@ -103,6 +105,8 @@ class ByteLevelEncoder:
                 raise ValueError(f"added token {a.content!r} takes in what stands beside it")
         self.added = {a.content: i.to_bytes(self.width, "little") for i, a in added.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        # What plain() looks for, as a pattern of Arrow's; there is no white space beyond U+3000.
+        self.odd = "[ \n]{2}|[" + "".join(rf"\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]"
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -131,6 +135,29 @@ class ByteLevelEncoder:
             out.append((self.bare[first] if first else b"") + b"".join(map(spaced, words)))
         return newline.join(out)
 
+    def many(self, texts) -> list[bytes]:
+        """The ids of each text of an Arrow array of strings without nulls: each different word is looked up once for all of them."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring_regex(texts, self.odd)
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        # A word behind a newline has it in front, and so has a text's first one, whose newline is cut off again below.
+        marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        words = pc.split_pattern(pc.if_else(odd, "\n", marked), " ")
+        coded = words.flatten().dictionary_encode()
+        newline, bare, spaced = self.pieces["\n"], self.bare, self.spaced
+        packed = [newline + bare[w[1:]] if w[:1] == "\n" else spaced[w] for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        ids = pa.array(packed, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[words.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2])
+        out = [bytes(data[i + len(newline) : j]) for i, j in zip(ends[:-1], ends[1:])]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self(texts[k].as_py())
+        return out
+
 
 def cuts(ids) -> list[int]:
     """Ends of the content-defined chunks of a numpy array of ids; they depend on the last 16 ids only,
@@ -197,8 +224,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
         def records():
             seen: set[bytes] = set()
-            for row, (doc_id, text) in enumerate(rows(batches, "doc_id", "text")):
-                data = encoder(text or "") + end
+            for row, (doc_id, data) in enumerate(_encoded(batches, encoder)):
+                data += end
                 keys, at = [], 0
                 for e in cuts(np.frombuffer(data, kind)):
                     payload = data[at * w : e * w]
@@ -241,6 +268,21 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     discard(spark, f"{path}/objects/kind=0")
 
 
+def _encoded(batches, encoder: ByteLevelEncoder):
+    """(doc_id, packed ids) of each row of Arrow batches (doc_id, text); TOGETHER bounds the memory that this takes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ids, texts = b.column("doc_id").to_pylist(), pc.fill_null(b.column("text"), "")
+        upto, at = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)), 0
+        while at < len(ids):
+            most = TOGETHER + (int(upto[at - 1]) if at else 0)
+            n = max(1, int(np.searchsorted(upto, most, "right")) - at)
+            yield from zip(ids[at : at + n], encoder.many(texts.slice(at, n)))
+            at += n
+
+
 def pa_tables(records, ddl):
     import pyarrow as pa
 

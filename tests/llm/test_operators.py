@@ -311,6 +311,29 @@ def test_op5_added_tokens():
         assert np.frombuffer(encoder(x), f"<u{encoder.width}").tolist() == tok.encode(x, add_special_tokens=False).ids
 
 
+def test_op5_words_together(monkeypatch):
+    """Texts encoded together have the library's ids, whatever their white space; each different word is looked up once for all."""
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    tok, encoder = Tokenizer.from_file(path), tokenstore.ByteLevelEncoder(path)
+    r = random.Random(6)
+    bits = ["<|endoftext|>", " ", " ", " ", "\n", "\n", "word", "été", "中文", "'s", "12", ".", "\t", "\r", "\x0b", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\0"]
+    texts = ["", " ", "\n", "a", "\na", "a\n", " a", "a ", "a\nb", "a \nb", "a\n b", "a\n\nb", "a  b", None]
+    texts += ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(3000)] + [" ".join(words(9, i)) + "\n" + " ".join(words(5, i)) for i in range(50)]
+    monkeypatch.setattr(tokenstore, "TOGETHER", 2000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts) + 3)), "text": ["x", "y", "z", *texts]}).slice(3)
+    got = list(tokenstore._encoded([batch, batch.slice(0, 0)], encoder))
+    assert [d for d, _ in got] == list(range(3, len(texts) + 3))
+    for (_, ids), x in zip(got, texts, strict=True):
+        assert np.frombuffer(ids, f"<u{encoder.width}").tolist() == tok.encode(x or "", add_special_tokens=False).ids, repr(x)
+    plain = [x for x in texts if x is not None and encoder.plain(x) and "<|endoftext|>" not in x]
+    monkeypatch.setattr(encoder, "between", lambda text: pytest.fail(f"{text!r} was encoded by itself"))
+    assert len(plain) > 200 and len(encoder.many(pa.array(plain))) == len(plain)
+
+
 def test_op5_chunks():
     import numpy as np
 
