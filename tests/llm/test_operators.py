@@ -519,6 +519,33 @@ def test_op9_pairs_by_words(spark):
     assert len(want) > 20 and want <= got
 
 
+def test_op9_lines_of_one_passage(spark, monkeypatch):
+    """Lines of one passage that are too different are compared, in parts, but no table holds their pairs; the near ones are linked."""
+    passage, lines = words(40, 31), []
+    monkeypatch.setattr(linededup, "CROWDED", 16)
+    for i in range(100):
+        own = words(16, 7000 + (i // 2 if i % 50 < 2 else 1000 + i))
+        lines.append((i, " ".join([*own[:5], *passage, *own[5:]]) + "q" * (i % 2)))
+    near = lambda x, y: distance_at_most(x, y, int(0.1 * max(len(x), len(y))))
+    assert all(near(lines[k][1], lines[k + 1][1]) for k in (0, 50)) and not any(near(lines[k][1], lines[k + 7][1]) for k in range(0, 90, 10))
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    thin = linededup.lines_of(docs).select("doc_id", "text_hash", "pos", "key", F.length("norm").alias("size"), F.expr("array(7L, 9L)").alias("blocks"))
+    made, staged = {}, linededup.staged
+
+    def counted(df, name, **options):
+        out = staged(df, name, **options)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "staged", counted)
+    key = {r.key: r.doc_id for r in thin.select("key", "doc_id").collect()}
+    got = {}
+    for r in linededup.groups(docs, thin).collect():
+        got.setdefault(r.root, set()).add(key[r.node])
+    assert sorted(map(sorted, got.values())) == [[0, 1], [50, 51]]
+    assert max(made.values()) <= 14 * len(lines), made
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
