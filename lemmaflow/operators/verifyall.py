@@ -221,7 +221,8 @@ def failing_claims(d: DataFrame, df: DataFrame) -> DataFrame:
     """
     texts = "concat(array(problem.goal.symbolic), coalesce(transform(graph.nodes, n -> n.claim_formal), cast(array() as array<string>)))"
     own = df.select("proof_id", F.expr(CLAIMS).alias("claims"), F.expr(texts).alias("texts"), F.expr("coalesce(to_json(problem.assumptions), '')").alias("assumed"), F.expr("coalesce(to_json(problem.domain), '')").alias("domain"))
-    tested = lambda rows: rows.select("proof_id", F.md5("claims").alias("of"), symbolic.checked_all(F.col("texts"), F.col("assumed"), F.col("domain")).alias("tests")).filter("exists(tests, t -> t.failed is not null or t.counterexample is not null)")
+    # Behind a generator, as the filter would be pushed below and the claims tested twice.
+    tested = lambda rows: once(rows.select("proof_id", F.md5("claims").alias("of"), symbolic.checked_all(F.col("texts"), F.col("assumed"), F.col("domain")).alias("tests"))).filter("exists(tests, t -> t.failed is not null or t.counterexample is not null)")
     gathered = F.collect_set(F.struct("of", "tests"))
     failing = tested(own.filter("claims is not null and proof_id is not null")).groupBy(F.col("proof_id").alias("_proof")).agg(gathered.alias("_failing"))
     d = d.join(failing.hint("shuffle_hash"), F.col("proof_id") == F.col("_proof"), "left")
