@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -519,6 +520,27 @@ def test_op9_pairs_by_words(spark):
     assert len(want) > 20 and want <= got
 
 
+def test_op9_disk(spark, monkeypatch):
+    """What is staged on the way is removed, all but the dropped lines; lines of a large bucket are copied a few times, whatever its size."""
+    monkeypatch.setattr(linededup, "CROWDED", 1)
+    made, once = {}, linededup.once
+    monkeypatch.setattr(linededup, "once", lambda df, *columns: (made.update({columns[0][0]: df.count()}) if columns[0][0][-1] in "12" else None, once(df, *columns))[1])
+    passage, lines = words(40, 31), []
+    for i in range(60):
+        own = words(16, 7000 + (i // 2 if i < 8 else 1000 + i))
+        lines.append((i, " ".join([*own[:5], *passage, *own[5:]]) + "q" * (i % 2)))
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    folder = work_dir(spark, "x").removeprefix("file://").rpartition("/")[0]
+    held = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    thin = linededup.staged(linededup.lines_of(docs).select("doc_id", "text_hash", "pos", "key", F.length("norm").alias("size"), F.expr("array(7L)").alias("blocks")), "line-occurrences")
+    monkeypatch.setattr(linededup, "blocks_of", lambda lines: thin)
+    got = linededup.drops(docs)
+    assert {r.doc_id for r in got.collect()} == {1, 3, 5, 7}
+    assert made["words1"] <= 3 * len(lines) and len(lines) < made["words2"] <= linededup.PARTS * len(lines)
+    left = sorted(name.rpartition("-")[0] for name in set(os.listdir(folder)) - held)
+    assert left == ["line-drops", "line-occurrences"], left  # the second is this test's own
+
+
 def test_op9_lines_of_one_passage(spark, monkeypatch):
     """Lines of one passage that are too different are compared, in parts, but no table holds their pairs; the near ones are linked."""
     passage, lines = words(40, 31), []
